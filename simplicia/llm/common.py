@@ -49,7 +49,7 @@ def join_counted(big: DataFrame, small: DataFrame, on: list[str], rows: int, how
     beyond it on (key, salt), the small side repeated once for each salt."""
     if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
-    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns[:1], F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(spread, [*on, "_salt"], how).drop("_salt")
 
