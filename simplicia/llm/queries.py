@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from simplicia.llm import bpe
+from simplicia.llm import bpe, gam, html, licenses, maxent, quality, urls
 
 
 def queries() -> dict:
-    return {"op3_bpe": bpe.op3_bpe}
+    return {
+        "op1_quality": quality.op1_quality,
+        "op2_licenses": licenses.op2_licenses,
+        "op3_bpe": bpe.op3_bpe,
+        "op4_gam": gam.op4_gam,
+        "op8_urls": urls.op8_urls,
+        "op9_maxent": maxent.op9_maxent,
+        "op10_html": html.op10_html,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
