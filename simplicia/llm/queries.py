@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from simplicia.llm import bpe, gam, html, licenses, maxent, quality, urls
+from simplicia.llm import bpe, gam, html, jaccard, licenses, maxent, quality, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_licenses": licenses.op2_licenses,
         "op3_bpe": bpe.op3_bpe,
         "op4_gam": gam.op4_gam,
+        "op6_jaccard": jaccard.op6_jaccard,
         "op8_urls": urls.op8_urls,
         "op9_maxent": maxent.op9_maxent,
         "op10_html": html.op10_html,
