@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from simplicia.llm import bpe, gam, html, jaccard, licenses, maxent, quality, urls
+from simplicia.llm import bpe, gam, html, jaccard, licenses, lines, maxent, quality, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_bpe": bpe.op3_bpe,
         "op4_gam": gam.op4_gam,
         "op6_jaccard": jaccard.op6_jaccard,
+        "op7_lines": lines.op7_lines,
         "op8_urls": urls.op8_urls,
         "op9_maxent": maxent.op9_maxent,
         "op10_html": html.op10_html,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_lines": lines.OP7_SQL}
