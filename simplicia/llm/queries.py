@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from simplicia.llm import bpe, gam, html, jaccard, licenses, lines, maxent, quality, urls
+from simplicia.llm import bpe, decontaminate, gam, html, jaccard, licenses, lines, maxent, quality, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_licenses": licenses.op2_licenses,
         "op3_bpe": bpe.op3_bpe,
         "op4_gam": gam.op4_gam,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_jaccard": jaccard.op6_jaccard,
         "op7_lines": lines.op7_lines,
         "op8_urls": urls.op8_urls,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_lines": lines.OP7_SQL}
+    return {"op5_decontaminate": decontaminate.OP5_SQL, "op7_lines": lines.OP7_SQL}
