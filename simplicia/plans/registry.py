@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from simplicia.plans import series, shapes
+from simplicia.plans import evaluation, panels, series, shapes
 
-_MODULES = (series, shapes)
+_MODULES = (series, shapes, panels, evaluation)
 
 
 def queries() -> dict:
