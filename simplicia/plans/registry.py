@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from simplicia.plans import evaluation, panels, series, shapes
+from simplicia.plans import evaluation, learning, panels, series, shapes
 
-_MODULES = (series, shapes, panels, evaluation)
+_MODULES = (series, shapes, panels, evaluation, learning)
 
 
 def queries() -> dict:
