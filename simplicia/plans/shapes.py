@@ -20,6 +20,12 @@ def persisted(spark, sf_dir, maxdim: int = 0, m: int = M) -> DataFrame:
     return homology.persistence(x, maxdim, keep=("user_id",))
 
 
+def as_clouds(cloud: DataFrame) -> DataFrame:
+    """One row for each user from a long table of points."""
+    point = F.struct("i", F.array("x0", "x1", "x2").alias("p"))
+    return cloud.groupBy("user_id").agg(F.sort_array(F.collect_list(point)).alias("rows")).select("user_id", F.col("rows.p").alias("points"))
+
+
 def h0(spark, sf_dir) -> DataFrame:
     return homology.diagram(persisted(spark, sf_dir), "user_id", dim=0)
 
@@ -109,9 +115,7 @@ def distances_to_half(spark, sf_dir):
     """H1 of every cloud against that of half its points: Wasserstein and bottleneck distance."""
     cloud = takens(spark, sf_dir)
     half = homology.subsampled(cloud, "user_id", "i", 0.5)
-    point = F.array("x0", "x1", "x2")
-    as_cloud = lambda c: c.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", point.alias("p")))), lambda r: r["p"]).alias("points"))
-    h1 = lambda c, name: homology.persistence(as_cloud(c), 1, keep=("user_id",)).select("user_id", F.filter("bars", lambda b: (b["dim"] == 1) & (b["death"] < float("inf"))).alias(name))
+    h1 = lambda c, name: homology.persistence(as_clouds(c), 1, keep=("user_id",)).select("user_id", F.filter("bars", lambda b: (b["dim"] == 1) & (b["death"] < float("inf"))).alias(name))
     both = h1(cloud, "bars_a").join(h1(half, "bars_b"), "user_id")
     return rounded(diagrams.distance_pairs(both, ["user_id"]), "user_id")
 
@@ -159,3 +163,14 @@ QUERIES = {
     "half_distances": (distances_to_half, None),
     "persistence_images": (images, None),
 }
+
+
+def h2_features(spark, sf_dir):
+    """Bars up to H2 of a drawn third of the points of every cloud (the sampling operator; H2 of whole clouds is a
+    matter of their size)."""
+    part = homology.subsampled(takens(spark, sf_dir), "user_id", "i", 0.34, least=16)
+    got = homology.diagram(homology.persistence(as_clouds(part), 2, keep=("user_id",)), "user_id")
+    return got.groupBy("user_id", "dim").agg(F.count("*").alias("n"), F.round(F.max(F.col("death") - F.col("birth")), 6).alias("longest"))
+
+
+QUERIES["h2_features"] = (h2_features, None)
