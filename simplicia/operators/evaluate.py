@@ -95,8 +95,8 @@ def newey_west(series: DataFrame, keys: list[str], order: str, value: str) -> Da
 
 
 def ic_summary(ics: DataFrame, keys: list[str], value: str = "ic") -> DataFrame:
-    """n, mean ic, icir, t and the share above 0; null below three values."""
-    good = ics.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.avg((F.col(value) > 0).cast("int")).alias("p"))
+    """n, mean ic, icir, t and the share above 0 (beyond rounding); null below three values."""
+    good = ics.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.avg((F.col(value) > 1e-12).cast("int")).alias("p"))
     ok = F.col("n") >= 3
     spread = ok & (F.col("s") > 0)
     return good.select(*keys, "n", F.when(ok, F.col("m")).alias("ic"), F.when(spread, F.col("m") / F.col("s")).alias("icir"), F.when(spread, F.col("m") / (F.col("s") / F.sqrt("n"))).alias("t"), F.when(ok, F.col("p")).alias("positive"))

@@ -117,7 +117,10 @@ g AS (SELECT a.feature, b.t - a.t AS lag, sum(a.e * b.e) / any_value(a.n) AS g,
 s AS (SELECT feature, any_value(n) AS n, sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / (floor(4 * (n / 100.0) ** (2.0 / 9)) + 1)) * g END) AS s FROM g GROUP BY 1)
 SELECT s.feature, s.n, round(m, 6) AS mean, round(sd, 6) AS sd, round(CASE WHEN s.n >= 4 THEN m / sqrt(greatest(s, 1e-18) / s.n) END, 6) AS nw_t FROM s JOIN (SELECT feature, avg(ic) AS m, stddev_samp(ic) AS sd FROM ics GROUP BY 1) USING (feature)"""
 
-SUMMARY_SQL = f"WITH {ICS} SELECT feature, count(ic) AS n, round(avg(ic), 6) AS ic, round(avg(ic) / stddev_samp(ic), 6) AS icir, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t, round(avg((ic > 0)::INT), 6) AS positive FROM ics WHERE ic IS NOT NULL GROUP BY 1"
+SUMMARY_SQL = f"""
+WITH {ICS}, g AS (SELECT feature, count(*) AS n, avg(ic) AS m, stddev_samp(ic) AS s, avg((ic > 1e-12)::INT) AS p FROM ics WHERE ic IS NOT NULL GROUP BY 1)
+SELECT feature, n, CASE WHEN n >= 3 THEN round(m, 6) END AS ic, CASE WHEN n >= 3 AND s > 0 THEN round(m / s, 6) END AS icir, CASE WHEN n >= 3 AND s > 0 THEN round(m / (s / sqrt(n)), 6) END AS t,
+  CASE WHEN n >= 3 THEN round(p, 6) END AS positive FROM g"""
 
 
 def paired(spark, sf_dir):
