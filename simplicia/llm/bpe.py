@@ -19,10 +19,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.llm.common import raw_texts, sliced, table
+from simplicia.llm.common import bounded_batches, raw_texts, sliced, table
 
-#: Pieces remembered by a Python worker before it starts anew; bounds its memory only.
-CACHE_PIECES = 1_200_000
+#: Pieces, and pairs of tokens, that a task remembers before it starts anew; they bound its memory only.
+CACHE_PIECES, CACHE_PAIRS = 200_000, 100_000
 #: Longest piece, in characters, worth remembering.
 CACHE_CHARS = 40
 #: Fixed value of byte-level BPE: how text is split before merging.
@@ -158,7 +158,7 @@ class PrefixCoder:
             else:
                 # of two equal merges the left one comes first: a merge as early as the right part's still loses
                 until, right = right + 1, halves[right][0]
-        if len(self.beside) > CACHE_PIECES:
+        if len(self.beside) > CACHE_PAIRS:
             self.beside.clear()
         self.beside[key] = verdict
         return verdict
@@ -217,6 +217,11 @@ class PrefixCoder:
                 put(got)
         return ids
 
+    def forget(self) -> None:
+        """Gives back what the caches hold; Spark keeps its Python workers for later stages."""
+        self.known.clear()
+        self.beside.clear()
+
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -231,6 +236,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
     its text, a megabyte or two whatever the corpus, goes to the executors as one broadcast variable."""
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+    bounded_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
     schema = StructType([*kept, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
@@ -243,6 +249,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
         for batch in sliced(batches):
             ids = [coder.encode(t.decode("utf-8", "replace")) for t in raw_texts(batch.column(batch.schema.get_field_index(text)))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(ids, pa.list_(pa.int32())), pa.array([coder.decode(x) for x in ids], pa.string())], names=[*names, "ids", "decoded"])
+        coder.forget()
 
     return docs.select(*names).mapInArrow(run, schema)
 
@@ -267,6 +274,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        coder.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -14,7 +14,16 @@ SLICE_ROWS = 1024
 BROADCAST_ROWS = 200_000
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch to SLICE_ROWS: whole texts may be long, and the default of ten thousand rows
+    is held several times over, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= SLICE_ROWS:
+        spark.conf.set(key, str(SLICE_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    bounded_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -30,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
