@@ -226,6 +226,27 @@ def test_jaccard_against_brute_force(spark, monkeypatch, small):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_jaccard_links_across_pivots(spark, monkeypatch, seed):
+    """Chains in one large region: n_links and components by brute force over all pairs, whichever pivots come first."""
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 4, raising=False)
+    rng = np.random.default_rng(seed)
+    words = [f"w{seed}_{i}" for i in range(300)]
+    rows = [(i + 1, " ".join(words[4 * i : 4 * i + 60])) for i in range(40)]  # each links only with its neighbours
+    base = list(rng.choice(words, 50))
+    for _ in range(30):
+        t = list(base)
+        for at in rng.integers(len(t), size=2):
+            t[at] = rng.choice(words)
+        rows.append((len(rows) + 1, " ".join(t)))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    degree = {i: sum(100 * len(x & y) >= 75 * len(x | y) for y in {frozenset(z) for z in sets.values()} - {frozenset(x)}) for i, x in sets.items()}
+    got = {r.doc_id: r for r in jaccard.near_duplicates(docs(spark, rows)).collect()}
+    assert {i: r.n_links for i, r in got.items()} == degree
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == components(rows)
+
+
 def test_jaccard_on_nothing_and_repeated_rows(spark):
     assert jaccard.near_duplicates(docs(spark, [])).count() == 0
     got = jaccard.near_duplicates(docs(spark, ODD)).collect()
