@@ -2,7 +2,8 @@
 
 Words fall into classes of about equal mass by their frequency; the rare and the unknown share the last class.
 P(word | history) = P(class | features of the history) * P(word | class). The features (last word, last two words,
-the word before the last) are hashed into a weight matrix of fixed size. An epoch runs over all
+the word before the last, the third last) are hashed into a weight matrix. Its rows grow with the distinct words of
+the training texts, one for every WORDS_A_ROW of them, and its classes with the square root. An epoch runs over all
 training texts: every task makes gradient updates on a copy of the weights, and Spark averages what the tasks
 changed, row by row of the matrix. Texts are scored in sparse numpy batches.
 
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from simplicia.llm.common import crc_mod5, raw_texts, sliced, stored, table
 
 #: Production parameters: words in the broadcast, classes, rows of the weight matrix, tokens of an update, step, epochs.
-FREQUENT, CLASSES, ROWS, UPDATE, RATE, EPOCHS = 1 << 17, 16, 1 << 14, 8192, 0.25, 1
+FREQUENT, CLASSES, ROWS, UPDATE, RATE, EPOCHS = 1 << 17, 32, 1 << 15, 8192, 0.25, 1
+#: CLASSES and ROWS hold up to ROWS * WORDS_A_ROW distinct words; beyond it both grow.
+WORDS_A_ROW = 8
 #: The end token, which no word equals.
 END = b"\n"
 #: Distinct words a task gathers before it sends them on.
 FLUSH = 400_000
-_N_FEATURES = 3
+_N_FEATURES = 4
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -85,18 +88,27 @@ class Lexicon:
     log_inside: np.ndarray
     log_prior: np.ndarray
     tail_log_total: float
+    rows: int
+    classes: int
+
+
+def model_size(distinct: int) -> tuple[int, int]:
+    """Rows (a power of two) and classes of the weight matrix for so many distinct words."""
+    rows = max(ROWS, 1 << max(0, -(-distinct // WORDS_A_ROW) - 1).bit_length())
+    return rows, int(CLASSES * (rows / ROWS) ** 0.5)
 
 
 def lexicon(top: list[tuple[bytes, int]], total: int, distinct: int) -> Lexicon:
     c = np.array([x for _, x in top], float)
+    rows, n_classes = model_size(distinct)
     mass = np.cumsum(c) - c / 2
-    classes = np.minimum((mass / max(c.sum(), 1) * (CLASSES - 1)).astype(np.int64), CLASSES - 2)
+    classes = np.minimum((mass / max(c.sum(), 1) * (n_classes - 1)).astype(np.int64), n_classes - 2)
     tail, tail_distinct = total - c.sum(), distinct - len(top)
-    by_class = np.bincount(classes, c, CLASSES)
+    by_class = np.bincount(classes, c, n_classes)
     prior = np.append(by_class[:-1], tail) + 0.5
     return Lexicon(
-        {w: i for i, (w, _) in enumerate(top)}, np.append(classes, CLASSES - 1), np.log10(c + 0.5), np.log10(np.maximum(c, 1e-300) / np.maximum(by_class[classes], 1e-300)),
-        np.log(prior / prior.sum()), float(np.log10(tail + 0.5 * (tail_distinct + 1))),
+        {w: i for i, (w, _) in enumerate(top)}, np.append(classes, n_classes - 1), np.log10(c + 0.5), np.log10(np.maximum(c, 1e-300) / np.maximum(by_class[classes], 1e-300)),
+        np.log(prior / prior.sum()), float(np.log10(tail + 0.5 * (tail_distinct + 1))), rows, n_classes,
     )
 
 
@@ -115,14 +127,14 @@ def contexts(words: list[list[bytes]], lex: Lexicon) -> tuple[list[bytes], np.nd
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
     here = np.arange(len(flat))
     back = []
-    for k in (1, 2):
+    for k in (1, 2, 3):
         at = here - k
         back.append(np.where(at >= starts, seen[np.maximum(at, 0)], -k).astype(np.uint64))
     mix = np.uint64(0x9E3779B97F4A7C15)
-    shift = np.uint64(64 - ROWS.bit_length() + 1)
-    rows = lambda v, salt: (((v + np.uint64(salt)) * mix) >> shift).astype(np.uint16)
+    shift = np.uint64(64 - lex.rows.bit_length() + 1)
+    rows = lambda v, salt: (((v + np.uint64(salt)) * mix) >> shift).astype(np.uint16 if lex.rows <= 1 << 16 else np.uint32)
     pair = (back[0] * np.uint64(0xBF58476D1CE4E5B9)) ^ (back[1] + np.uint64(77))
-    return flat, ids, np.stack([rows(back[0], 1), rows(pair, 3), rows(back[1], 1 << 33)]), lengths
+    return flat, ids, np.stack([rows(back[0], 1), rows(pair, 3), rows(back[1], 1 << 33), rows(back[2], 1 << 41)]), lengths
 
 
 def class_logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -146,9 +158,9 @@ def _sum_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
 def train(docs: DataFrame, lex: Lexicon, epochs: int = EPOCHS) -> np.ndarray:
     """The weights after `epochs` passes over all training texts."""
     sc = docs.sparkSession.sparkContext
-    w = np.zeros((ROWS, CLASSES), np.float32)
+    w = np.zeros((lex.rows, lex.classes), np.float32)
     shared = sc.broadcast(lex)
-    names = [f"d{i}" for i in range(CLASSES)]
+    names = [f"d{i}" for i in range(lex.classes)]
     for _ in range(epochs):
         start = sc.broadcast(w)
 
@@ -157,8 +169,8 @@ def train(docs: DataFrame, lex: Lexicon, epochs: int = EPOCHS) -> np.ndarray:
 
             lex = shared.value
             mine = start.value.copy()
-            squares = np.full(ROWS, 1e-2, np.float32)
-            used = np.zeros(ROWS, np.int64)
+            squares = np.full(lex.rows, 1e-2, np.float32)
+            used = np.zeros(lex.rows, np.int64)
             bias = lex.log_prior.astype(np.float32)
             for batch in sliced(batches):
                 _, ids, rows, _ = contexts([tokens(x) for x in raw_texts(batch.column(0))], lex)
@@ -171,15 +183,15 @@ def train(docs: DataFrame, lex: Lexicon, epochs: int = EPOCHS) -> np.ndarray:
                         at, total = _sum_rows(r[k], g)
                         squares[at] += np.square(total).mean(axis=1)
                         mine[at] += RATE * total / np.sqrt(squares[at])[:, None]
-                    used += np.bincount(r.ravel(), minlength=ROWS)
+                    used += np.bincount(r.ravel(), minlength=lex.rows)
             at = np.flatnonzero(used)
             change = (mine[at] - start.value[at]).astype(np.float64) * used[at, None]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(used[at]), *(pa.array(change[:, i]) for i in range(CLASSES))], names=["at", "used", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(used[at]), *(pa.array(change[:, i]) for i in range(lex.classes))], names=["at", "used", *names])
 
         moved = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "at long, used long, " + ", ".join(f"{n} double" for n in names))
-        mean = moved.groupBy("at").agg(*((F.sum(n) / F.sum("used")).alias(n) for n in names)).toPandas()  # at most ROWS rows
+        mean = moved.groupBy("at").agg(*((F.sum(n) / F.sum("used")).alias(n) for n in names)).toPandas()  # at most lex.rows rows
         w = w.copy()
-        w[mean["at"].to_numpy(np.int64)] += mean[names].to_numpy(np.float32).reshape(-1, CLASSES)
+        w[mean["at"].to_numpy(np.int64)] += mean[names].to_numpy(np.float32).reshape(-1, lex.classes)
         start.unpersist()
     return w
 

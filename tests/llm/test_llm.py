@@ -355,6 +355,15 @@ def test_language_model(spark):
     assert out.score.sum() > out.base_score.sum()
 
 
+def test_language_model_sees_three_words_and_grows():
+    lex = maxent.lexicon([(b"a", 4), (b"b", 3), (b"c", 2), (b"d", 1)], 10, 4)
+    assert lex.classes >= 32 and lex.rows >= 1 << 15
+    rows = [maxent.contexts([t.split()], lex)[2][:, 3] for t in (b"a b c d", b"b b c d")]
+    assert (rows[0] != rows[1]).any()  # only the third last word differs
+    more = maxent.model_size(10_000_000)
+    assert more[0] > lex.rows and more[1] > lex.classes
+
+
 def test_language_model_with_rare_words_and_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(maxent, "FREQUENT", 2)
     rows = docs(spark, [*ODD, (20, "a a a b b c unseen"), (21, "a b")])
