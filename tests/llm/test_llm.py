@@ -383,6 +383,16 @@ PAGE = """<html><head><title>t</title><script>x='</p>'</script></head><body><hea
 <aside>S</aside><div class="cookie-banner">N</div><footer>F &copy;</footer>"""
 
 
+def test_html_keeps_heading_and_lead_and_mixed_templates(spark):
+    body = "word " * 200
+    page = f"<html><body><article><h1>Heading</h1><p>The lead.</p><div class=body><p>{body}</p></div></article></body></html>"
+    other = f"<html><body><article><p>A small box.</p></article><div class=story><p>{body}</p></div></body></html>"
+    rows = [(i, f"https://a.example/{i}", page) for i in range(20)] + [(90, "https://a.example/90", other), (91, "https://b.example/", page)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].split("\n")[:2] == ["Heading", "The lead."] for i in (*range(20), 91))
+    assert "A small box." not in got[90] and got[90].count("word") == 200
+
+
 @needs_tables
 def test_html(spark):
     rows = [(1, "http://a.test/1", PAGE), (2, "http://a.test/2", PAGE.replace("One", "Uno")), (3, None, None), (4, "http://b.test", ""), (5, "http://b.test", "no markup at all"), (6, "x", "<p>" * 3000 + "deep"), (7, "http://c.test", "<div><p>1 < 2 & 3 <b")]
