@@ -1,13 +1,18 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 For every prefix of a piece of text exactly one token can be the last of its encoding. A suffix automaton of
-the vocabulary lists the tokens that end at a position; a candidate is the one if the token stored for the
-prefix before it may stand beside it, that is if merging would keep the border between the two. Following the
-stored tokens back from the end gives the ids. Nothing is merged step by step, and the work for a piece grows
+the vocabulary lists the tokens that end at a position, longest first; a candidate is the one if the token stored
+for the prefix before it may stand beside it, that is if merging would keep the border between the two. Following
+the stored tokens back from the end gives the ids. Nothing is merged step by step, and the work for a piece grows
 with its length only.
 
+The automaton is built once, on the driver, as a few megabytes of numpy arrays that depend on the vocabulary alone,
+and goes to the executors as one broadcast variable. A task cuts an Arrow batch into pieces by character classes,
+takes the distinct ones and advances all of them by one byte at a time, so the interpreter sees a batch, not a byte.
+
 Documents are independent: one Arrow pass, no shuffle. A null or empty text gives no ids. Repeated rows give
-equal rows; extra columns are not read.
+equal rows; extra columns are not read. A piece is one word, number, run of signs or run of blanks, so a text is
+whole however long it is.
 """
 
 from __future__ import annotations
@@ -15,18 +20,22 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.llm.common import bounded_batches, raw_texts, sliced, table
+from simplicia.llm.common import bounded_batches, chunked, raw_texts, sliced, spans, table
 
-#: Pieces, and pairs of tokens, that a task remembers before it starts anew; they bound its memory only.
-CACHE_PIECES, CACHE_PAIRS = 200_000, 100_000
-#: Longest piece, in characters, worth remembering.
-CACHE_CHARS = 40
-#: Fixed value of byte-level BPE: how text is split before merging.
-PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Slots (a power of two) of a worker's cache of pairs of tokens; it bounds memory only.
+PAIR_SLOTS = 1 << 18
+#: Fixed values of byte-level BPE: the classes of characters that it cuts by, and what may follow an apostrophe. A
+#: piece is a contraction, or a run of one class with one space before it; of a run of white space before something
+#: else the last character is left to the next piece.
+LETTER, NUMBER, SPACE = 1, 2, 3
+CLASSES = {LETTER: r"\p{L}+", NUMBER: r"\p{N}+", SPACE: r"\s+"}
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,10 +46,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def character_classes() -> np.ndarray:
+    """The class of every code point."""
+    import regex
+
+    found = np.zeros(0x110000, np.uint8)
+    for first, last in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(first, last)))
+        for kind, pattern in CLASSES.items():
+            for m in regex.finditer(pattern, every):
+                found[first + m.start() : first + m.end()] = kind
+    return found
+
+
 class SuffixAutomaton:
     """Generalised suffix automaton of a set of byte strings, built over their trie level by level."""
 
-    def __init__(self, strings: dict[bytes, int]):
+    def __init__(self, strings):
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         trie: list[dict[int, int]] = [{}]
@@ -59,20 +81,6 @@ class SuffixAutomaton:
                 for b, child in trie[node].items():
                     below.append((child, self._extend(state, b)))
             level = below
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.step)
-        found: dict[int, list[tuple[int, int]]] = {}
-        for s, token in strings.items():
-            at = 0
-            for b in s:
-                at = self.step[at][b]
-            found.setdefault(at, []).append((len(s), token))
-        for at, tokens in found.items():
-            self.ends[at] = tuple(sorted(tokens, reverse=True))
-        # every token that is a suffix of the longest string of a state, longest first
-        self.below: list[tuple[tuple[int, int], ...]] = [()] * len(self.step)
-        for at in sorted(range(1, len(self.step)), key=self.length.__getitem__):
-            up = self.link[at]
-            self.below[at] = self.ends[up] + self.below[up] if self.ends[up] else self.below[up]
 
     def _extend(self, last: int, b: int) -> int:
         step, link, length = self.step, self.link, self.length
@@ -106,177 +114,345 @@ class SuffixAutomaton:
             p = link[p]
         return twin
 
-
+    def state_of(self, s: bytes) -> int:
+        at = 0
+        for b in s:
+            at = self.step[at][b]
+        return at
+
+
+class Lookup:
+    """Values by non-negative integer keys, for whole arrays of keys at once; -1 where there is none."""
+
+    def __init__(self, keys, values):
+        keys, values = np.asarray(keys, np.int64), np.asarray(values, np.int32)
+        self.shift = np.uint64(62 - max(4, len(keys)).bit_length())
+        self.mask = (1 << int(64 - self.shift)) - 1
+        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = left[self.keys[at[left]] == -1]
+            slots, first = np.unique(at[free], return_index=True)
+            self.keys[slots], self.values[slots] = keys[free[first]], values[free[first]]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _home(self, keys):
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys):
+        at = self._home(keys)
+        there = self.keys[at]
+        found = np.where(there == keys, self.values[at], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there != -1))
+        while len(left):
+            at = (at[left] if len(at) != len(left) else at) + 1 & self.mask
+            there = self.keys[at]
+            hit = there == keys[left]
+            found[left[hit]] = self.values[at[hit]]
+            on = ~hit & (there != -1)
+            left, at = left[on], at[on]
+        return found
+
+
+@dataclass
 class PrefixCoder:
-    """Encoder and decoder for one byte-level vocabulary (the text of its JSON file)."""
-
-    def __init__(self, spec: str):
-        import regex
-
+    """Encoder and decoder for one byte-level vocabulary, all in numpy arrays."""
+
+    steps: Lookup  # state * 256 + byte -> state
+    link: np.ndarray
+    length: np.ndarray
+    longest: np.ndarray  # by state: the longest token that ends there
+    shorter: np.ndarray  # by token: the longest token that is a proper suffix of it
+    size: np.ndarray  # by token: its bytes
+    halves: np.ndarray  # by token: the two that merge to it
+    merges: Lookup  # left << 20 | right -> token
+    id_of: np.ndarray
+    added: dict[bytes, int]
+    spelled: np.ndarray  # bytes of all ids, one after the other
+    spelled_at: np.ndarray  # by id: where its bytes begin; one more for the end
+    classes: np.ndarray
+    pairs: np.ndarray | None = field(default=None, repr=False)
+
+    @classmethod
+    def of(cls, spec: str) -> PrefixCoder:
+        """From the text of the tokenizer's JSON file."""
         data = json.loads(spec)
         alphabet = byte_alphabet()
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
         vocab = {as_bytes(k): v for k, v in data["model"]["vocab"].items()}
         # inner numbers: 0-255 the bytes, then merges in their order, so a smaller number merges earlier
-        self.halves: list[tuple[int, int]] = [(i, i) for i in range(256)]
-        number = {bytes([i]): i for i in range(256)}
-        self.merged: dict[tuple[int, int], int] = {}
+        halves, number, merged = [(i, i) for i in range(256)], {bytes([i]): i for i in range(256)}, {}
         for pair in data["model"]["merges"]:
             a, b = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             if a + b not in number:
-                number[a + b] = len(self.halves)
-                self.halves.append((number[a], number[b]))
-            self.merged[number[a], number[b]] = number[a + b]
-        self.id_of = [vocab.get(s, -1) for s in sorted(number, key=number.__getitem__)]
-        self.bytes_of = {v: k for k, v in vocab.items()} | {t["id"]: t["content"].encode() for t in data.get("added_tokens", [])}
-        self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
-        self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pieces = regex.compile(PIECE_PATTERN).findall
-        self.automaton = SuffixAutomaton(number)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
-
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether no merge would cross the border between two tokens that stand side by side.
+                number[a + b] = len(halves)
+                halves.append((number[a], number[b]))
+            merged[number[a], number[b]] = number[a + b]
+        auto = SuffixAutomaton(number)
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for s, token in number.items():
+            ends.setdefault(auto.state_of(s), []).append((len(s), token))
+        longest, shorter = [-1] * len(auto.step), [-1] * len(number)
+        for at in sorted(range(1, len(auto.step)), key=auto.length.__getitem__):
+            longest[at] = longest[auto.link[at]]
+            for _, token in sorted(ends.get(at, ())):
+                shorter[token], longest[at] = longest[at], token
+        added = {t["content"].encode(): t["id"] for t in data.get("added_tokens", [])}
+        spelled = {v: k for k, v in vocab.items()} | {v: k for k, v in added.items()}
+        by_id = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+        return cls(
+            Lookup([s << 8 | b for s, step in enumerate(auto.step) for b in step], [q for step in auto.step for q in step.values()]),
+            np.array(auto.link, np.int32), np.array(auto.length, np.int32), np.array(longest, np.int32), np.array(shorter, np.int32), np.array([len(s) for s in number], np.int32),
+            np.array(halves, np.int32), Lookup([a << 20 | b for a, b in merged], list(merged.values())), np.array([vocab.get(s, -1) for s in number], np.int32), added,
+            np.frombuffer(b"".join(by_id), np.uint8), np.cumsum([0, *map(len, by_id)]), character_classes(),
+        )
+
+    def _beside(self, left, right):
+        """Whether no merge would cross the border between two tokens that stand side by side, for arrays of pairs.
 
         The two are taken apart from the border outwards, latest merge first; at every stage the pieces that
         touch at the border must not form a token that would have been merged before the stage ended."""
-        key = (left, right)
-        found = self.beside.get(key)
-        if found is not None:
-            return found
-        halves, merged, until, verdict = self.halves, self.merged, len(self.halves), True
-        while True:
-            together = merged.get((left, right))
-            if together is not None and together < until:
-                verdict = False
-                break
-            if left < 256 and right < 256:
-                break
-            if left > right or (right < 256 <= left):
-                until, left = left, halves[left][1]
-            else:
-                # of two equal merges the left one comes first: a merge as early as the right part's still loses
-                until, right = right + 1, halves[right][0]
-        if len(self.beside) > CACHE_PAIRS:
-            self.beside.clear()
-        self.beside[key] = verdict
+        left, right = left.copy(), right.copy()
+        verdict, on = np.ones(len(left), bool), np.arange(len(left))
+        until = np.full(len(left), len(self.halves), np.int32)
+        while len(on):
+            x, y = left[on], right[on]
+            together = self.merges.get(x.astype(np.int64) << 20 | y)
+            crossed = (together >= 0) & (together < until[on])
+            verdict[on[crossed]] = False
+            more = ~crossed & ((x >= 256) | (y >= 256))
+            on, x, y = on[more], x[more], y[more]
+            of_left = (x > y) | ((y < 256) & (x >= 256))
+            # of two equal merges the left one comes first: a merge as early as the right part's still loses
+            until[on] = np.where(of_left, x, y + 1)
+            left[on] = np.where(of_left, self.halves[x, 1], x)
+            right[on] = np.where(of_left, y, self.halves[y, 0])
         return verdict
 
-    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
-        step, link, length, ends, below = self.automaton.step, self.automaton.link, self.automaton.length, self.automaton.ends, self.automaton.below
-        beside, compatible = self.beside, self.compatible
-        last, size, state, matched, i = [-1], [0], 0, 0, 0
-        for b in piece:
-            i += 1
-            while b not in step[state]:
-                state = link[state]
-                matched = length[state]
-            state = step[state][b]
-            matched += 1
-            chosen = chosen_size = 0
-            for tokens in (ends[state], below[state]):
-                for n, token in tokens:
-                    if n > matched:
-                        continue
-                    before = last[i - n]
-                    if before < 0:
-                        fits = True
-                    else:
-                        fits = beside.get((before, token))
-                        if fits is None:
-                            fits = compatible(before, token)
-                    if fits:
-                        chosen, chosen_size = token, n
-                        break
-                if chosen_size:
-                    break
-            last.append(chosen)
-            size.append(chosen_size)
-        ids, at = [], i
-        while at:
-            ids.append(self.id_of[last[at]])
-            at -= size[at]
-        return tuple(reversed(ids))
+    def compatible(self, left, right):
+        """_beside by way of the cache; left is -1 at the start of a piece, where everything fits."""
+        if self.pairs is None:
+            self.pairs = np.full(PAIR_SLOTS, -1, np.int64)
+        key = np.maximum(left, 0).astype(np.int64) << 20 | right
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - PAIR_SLOTS.bit_length())).astype(np.int64)
+        known = self.pairs[at]
+        new = np.flatnonzero((known >> 1 != key) & (left >= 0))
+        if len(new):
+            known[new] = key[new] << 1 | self._beside(left[new], right[new])
+            self.pairs[at[new]] = known[new]
+        return (left < 0) | (known & 1 == 1)
+
+    def encode_pieces(self, data, begin, sizes):
+        """ids of all pieces, one after the other, and how many each has. The pieces go on by one byte a step, the
+        longest first in order, so that those still going on are the first ones."""
+        order = np.argsort(-sizes, kind="stable")
+        begin, sizes = begin[order], sizes[order]
+        base = np.cumsum(sizes + 1) - (sizes + 1)
+        last = np.full(int((sizes + 1).sum()), -1, np.int32)
+        used = np.zeros(len(last), np.int32)
+        state, matched = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int32)
+        going = np.searchsorted(-sizes, -np.arange(1, (int(sizes[0]) if len(sizes) else 0) + 1), side="right")
+        for i, n in enumerate(going.tolist(), 1):
+            byte, now, reach, here = data[begin[:n] + (i - 1)].astype(np.int64), state[:n], matched[:n], base[:n] + i
+            after = self.steps.get(now.astype(np.int64) << 8 | byte)
+            lost = np.flatnonzero(after < 0)
+            while len(lost):
+                up = self.link[now[lost]]
+                now[lost], reach[lost] = up, self.length[up]
+                after[lost] = self.steps.get(up.astype(np.int64) << 8 | byte[lost])
+                lost = lost[after[lost] < 0]
+            now[:] = after
+            reach += 1
+            token, open_ = self.longest[after], np.arange(n)
+            while len(open_):
+                t = token[open_]
+                size = self.size[t]
+                fits = size <= reach[open_]
+                short = np.flatnonzero(fits)
+                fits[short] = self.compatible(last[here[open_[short]] - size[short]], t[short])
+                open_ = open_[~fits]
+                token[open_] = self.shorter[t[~fits]]
+            last[here] = token
+            used[here] = used[here - self.size[token]] + 1
+        at, counts = sizes.astype(np.int64), used[base + sizes]
+        out = np.empty(int(counts.sum()), np.int32)
+        by_piece = np.empty(len(order), np.int32)
+        by_piece[order] = counts
+        place = (np.cumsum(by_piece, dtype=np.int64) - 1)[order]
+        on = np.flatnonzero(at > 0)
+        while len(on):
+            t = last[base[on] + at[on]]
+            out[place[on]] = self.id_of[t]
+            place[on] -= 1
+            at[on] -= self.size[t]
+            on = on[at[on] > 0]
+        return out, by_piece
+
+    def cut(self, joined: bytes, sizes):
+        """Where the pieces of texts that stand one after the other begin (bytes), given the texts' sizes."""
+        raw = np.frombuffer(joined, np.uint8)
+        if joined.isascii():
+            points, at = raw, None
+        else:
+            points = np.frombuffer(joined.decode().encode("utf-32-le"), "<u4")
+            at = np.flatnonzero((raw & 0xC0) != 0x80)
+        n = len(points)
+        first = np.zeros(n + 3, bool)  # of a text; as if one began behind the end
+        begin = np.cumsum(sizes) - sizes
+        begin = begin[sizes > 0]
+        first[begin if at is None else np.searchsorted(at, begin)] = True
+        first[n:] = True
+        kind = np.zeros(n + 3, np.uint8)
+        kind[:n] = self.classes[points]
+        start = first.copy()
+        start[1:n] |= kind[1:n] != kind[: n - 1]
+        before = np.flatnonzero((kind[:n] == SPACE) & (kind[1 : n + 1] != SPACE) & ~first[1 : n + 1])
+        start[before] = True
+        start[before[points[before] == 32] + 1] = False
+        quotes = np.flatnonzero((points == 39) & start[:n] & ~first[1 : n + 1])
+        for letters in CONTRACTIONS:
+            if len(quotes):
+                there, size = quotes[quotes + len(letters) < n], len(letters)
+                for k, c in enumerate(letters, 1):
+                    there = there[(points[there + k] == ord(c)) & ~first[there + k]]
+                start[there + 1] = False
+                start[there + 1 + size] = True
+        found = np.flatnonzero(start[:n])
+        return found if at is None else at[found]
+
+    def encode_texts(self, texts: list[bytes]):
+        """ids of all texts, one after the other, and where each begins (one more for the end)."""
+        import pyarrow as pa
+
+        parts, owner, special = texts, None, {}
+        if any(any(a in t for t in texts) for a in self.added):
+            parts, owner, special = self._around_added(texts)
+        joined = b"".join(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        begin = self.cut(joined, sizes)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(joined)).astype(np.int64)), pa.py_buffer(joined)])
+        coded = pieces.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        offsets, data = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1], coded.dictionary.buffers()[2]
+        ids, counts = self.encode_pieces(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets[:-1], np.diff(offsets))
+        flat = spans(ids, (np.cumsum(counts, dtype=np.int64) - counts)[codes], counts[codes])
+        ends = np.append(0, np.cumsum(counts[codes], dtype=np.int64))
+        borders = ends[np.searchsorted(begin, np.append(0, np.cumsum(sizes)))]
+        if owner is None:
+            return flat, borders
+        out: list[list] = [[] for _ in texts]
+        for k, i in enumerate(owner):
+            out[i].append([special[k]] if k in special else flat[borders[k] : borders[k + 1]])
+        whole = [np.concatenate([np.asarray(x, np.int32) for x in one]) if one else np.zeros(0, np.int32) for one in out]
+        return np.concatenate(whole), np.cumsum([0, *map(len, whole)])
+
+    def _around_added(self, texts: list[bytes]):
+        """Texts cut at added tokens: the parts, the text of each, and the id of those that are such a token (as
+        empty parts)."""
+        import re
+
+        at_added = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")").split
+        parts, owner, special = [], [], {}
+        for i, text in enumerate(texts):
+            for k, part in enumerate(at_added(text)):
+                if k % 2:
+                    special[len(parts)] = self.added[part]
+                parts.append(b"" if k % 2 else part)
+                owner.append(i)
+        return parts, owner, special
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, put = self.known, ids.extend
-        for k, part in enumerate(self.added_pattern.split(text)) if self.added_pattern else [(0, text)]:
-            if k % 2:
-                ids.append(self.added[part])
-                continue
-            for piece in self.pieces(part):
-                got = known.get(piece)
-                if got is None:
-                    got = self.encode_piece(piece.encode())
-                    if len(piece) <= CACHE_CHARS:
-                        if len(known) >= CACHE_PIECES:
-                            known.clear()
-                        known[piece] = got
-                put(got)
-        return ids
-
-    def forget(self) -> None:
-        """Gives back what the caches hold; Spark keeps its Python workers for later stages."""
-        self.known.clear()
-        self.beside.clear()
-
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.encode_texts([text.encode()])[0].tolist()
+
+    def decode_texts(self, ids, borders) -> list[bytes]:
+        """The texts in UTF-8; what isn't valid becomes U+FFFD."""
+        sizes = np.diff(self.spelled_at)[ids]
+        raw = spans(self.spelled, self.spelled_at[ids], sizes).tobytes()
+        ends = np.append(0, np.cumsum(sizes))[borders].tolist()
+        found = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return [x if x.isascii() else x.decode("utf-8", "replace").encode() for x in found]
 
 
 @functools.lru_cache(maxsize=2)
-def _coder(spec: str) -> PrefixCoder:
-    return PrefixCoder(spec)
+def _coder(vocabulary: str) -> PrefixCoder:
+    return PrefixCoder.of(open(vocabulary, encoding="utf-8").read())
+
+
+def _coded(docs: DataFrame, vocabulary: str, text: str, keep: list[str], schema, columns) -> DataFrame:
+    """keep of docs, and columns(raw texts, ids, borders, coder) as Arrow arrays behind them."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(_coder(vocabulary))
+
+    def run(batches):
+        import pyarrow as pa
+
+        coder = shared.value
+        for batch in sliced(batches):
+            raws = [x if x.isascii() else x.decode("utf-8", "replace").encode() for x in raw_texts(batch.column(batch.schema.get_field_index(text)))]
+            for i, j in chunked(raws):
+                ids, borders = coder.encode_texts(raws[i:j])
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in keep), *columns(raws[i:j], ids, borders, coder)], names=schema.names)
+
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
+def _lists(ids, borders):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """docs plus ids array<int> and decoded string. vocabulary: path of the tokenizer's JSON file, on the driver;
-    its text, a megabyte or two whatever the corpus, goes to the executors as one broadcast variable."""
+    """docs plus ids array<int> and decoded string (columns of docs with those names are replaced). vocabulary: path
+    of the tokenizer's JSON file, on the driver."""
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-    bounded_batches(docs.sparkSession)
-    spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
     schema = StructType([*kept, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
-    names = [f.name for f in kept]
+    return _coded(docs, vocabulary, text, [f.name for f in kept], schema, lambda raws, ids, borders, coder: [_lists(ids, borders), _strings(coder.decode_texts(ids, borders))])
 
-    def run(batches):
+
+def _strings(raws: list[bytes]):
+    import pyarrow as pa
+
+    return pa.array(raws, pa.binary()).cast(pa.string())
+
+
+def encoded(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns keep of docs, n_tokens, ids and round_trip, whether decoding gives the text back. The text and the
+    decoded text stay inside the tasks."""
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+
+    schema = StructType([*(docs.schema[n] for n in keep), StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+
+    def columns(raws, ids, borders, coder):
         import pyarrow as pa
 
-        coder = _coder(spec.value)
-        for batch in sliced(batches):
-            ids = [coder.encode(t.decode("utf-8", "replace")) for t in raw_texts(batch.column(batch.schema.get_field_index(text)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(ids, pa.list_(pa.int32())), pa.array([coder.decode(x) for x in ids], pa.string())], names=[*names, "ids", "decoded"])
-        coder.forget()
+        back = coder.decode_texts(ids, borders)
+        return [pa.array(np.diff(borders), pa.int64()), _lists(ids, borders), pa.array([x == y for x, y in zip(raws, back, strict=True)], pa.bool_())]
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return _coded(docs, vocabulary, text, keep, schema, columns)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; the ids stay inside the tasks."""
-    spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    def run(batches):
-        import numpy as np
+    schema = StructType([StructField("doc_id", LongType()), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+
+    def columns(raws, ids, borders, coder):
         import pyarrow as pa
 
-        coder = _coder(spec.value)
-        for batch in sliced(batches):
-            ids = [coder.encode(t.decode("utf-8", "replace")) for t in raw_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-        coder.forget()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        raw, at = ids.astype("<u4").tobytes(), (borders * 4).tolist()
+        return [
+            pa.array(np.diff(borders), pa.int64()),
+            pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)], pa.string()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in coder.decode_texts(ids, borders)], pa.string()),
+        ]
+
+    return _coded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), vocabulary, "text", ["doc_id"], schema, columns)
 
 
 def default_vocabulary() -> str:

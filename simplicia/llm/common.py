@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 1024
 #: A side of a join is broadcast only when it was counted and has at most this many narrow rows.
 BROADCAST_ROWS = 200_000
+#: Bytes of text that a Python kernel works on at once; a longer text goes alone, whole.
+CHUNK_BYTES = 1 << 22
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -32,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only an unset one (local tests) gets a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -76,3 +81,47 @@ def raw_texts(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()]
+
+
+def chunked(raws: list[bytes]):
+    """(first, last + 1) of runs of texts with no more than CHUNK_BYTES, or of one longer text."""
+    i = held = 0
+    for j, raw in enumerate(raws):
+        if j > i and held + len(raw) > CHUNK_BYTES:
+            yield i, j
+            i, held = j, 0
+        held += len(raw)
+    if len(raws) > i:
+        yield i, len(raws)
+
+
+def spans(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[begin : begin + size] of every span, one after the other."""
+    sizes = sizes.astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = np.repeat(begin - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return values[at]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words_of(raws: list[bytes]):
+    """The words of texts, cut at ASCII white space: the distinct ones (an Arrow binary array), the number of each word
+    among them in order, and how many words each text has."""
+    import pyarrow as pa
+
+    joined = b"\n".join(raws) + b"\n"
+    raw = np.frombuffer(joined, np.uint8)
+    space = _SPACE[raw]
+    ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    letters = raw[~space]
+    if not len(letters):
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(len(raws), np.int64)
+    offsets = np.append(0, (ends - np.cumsum(space)[ends - 1]))
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(letters)])
+    coded = words.dictionary_encode()
+    borders = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1), side="left")
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.diff(np.append(0, borders))

@@ -129,9 +129,31 @@ def test_bpe_equals_the_library(spark, tokenizer):
 
 
 def test_every_vocabulary_entry_encodes_like_the_library(tokenizer):
-    coder = bpe.PrefixCoder(open(bpe.default_vocabulary(), encoding="utf-8").read())
-    entries = [b.decode("utf-8", "ignore") for b in list(coder.bytes_of.values())[:20_000]]
-    assert [coder.encode(e) for e in entries] == [x.ids for x in tokenizer.encode_batch(entries, add_special_tokens=False)]
+    coder = bpe._coder(bpe.default_vocabulary())
+    ends = coder.spelled_at.tolist()
+    entries = [coder.spelled[a:b].tobytes().decode("utf-8", "ignore") for a, b in zip(ends, ends[1:], strict=False)]
+    ids, borders = coder.encode_texts([e.encode() for e in entries])
+    got = [ids[a:b].tolist() for a, b in zip(borders, borders[1:], strict=False)]
+    assert len(entries) > 50_000 and got == [x.ids for x in tokenizer.encode_batch(entries, add_special_tokens=False)]
+
+
+def test_bpe_pieces_of_any_characters(tokenizer):
+    """Blanks of all kinds, apostrophes and contractions at every border, against the library."""
+    rng = np.random.default_rng(5)
+    points = [9, 10, 13, 32, 32, 32, 39, 39, 39, 0xA0, 0x85, 0x2028, 48, 0x660, 46, 0x1F600, 233, 0x3042, *map(ord, "strevmld")]
+    made = ["".join(map(chr, rng.choice(points, rng.integers(0, 40)))) for _ in range(4000)]
+    made = [t if i % 50 else t + "<|endoftext|>" + t for i, t in enumerate(made)]
+    coder = bpe._coder(bpe.default_vocabulary())
+    ids, borders = coder.encode_texts([t.encode() for t in made])
+    assert [ids[a:b].tolist() for a, b in zip(borders, borders[1:], strict=False)] == [x.ids for x in tokenizer.encode_batch(made, add_special_tokens=False)]
+    assert coder.decode_texts(ids, borders) == [t.encode() for t in made]
+
+
+def test_bpe_keeps_columns_and_checks_the_round_trip(spark):
+    df = docs(spark, [(1, "a b"), (2, None), (None, "")]).withColumn("n_tokens", F.lit(7))
+    got = {r.doc_id: r for r in bpe.encoded(df.drop("n_tokens"), bpe.default_vocabulary(), ["doc_id", "lang"]).collect()}
+    assert got[1].n_tokens == len(got[1].ids) == 2 and got[2].ids == [] and all(r.round_trip and r.lang == "en" for r in got.values())
+    assert bpe.digests(docs(spark, []), bpe.default_vocabulary()).count() == 0
 
 
 # classifier
