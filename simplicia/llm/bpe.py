@@ -292,6 +292,8 @@ class PrefixCoder:
     def cut(self, joined: bytes, sizes):
         """Where the pieces of texts that stand one after the other begin (bytes), given the texts' sizes."""
         raw = np.frombuffer(joined, np.uint8)
+        if not len(raw):
+            return np.zeros(0, np.int64)
         if joined.isascii():
             points, at = raw, None
         else:
