@@ -226,10 +226,12 @@ def components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("small", [256, 3])
-def test_jaccard_against_brute_force(spark, monkeypatch, small):
-    """A small region size sends the groups through the pivots."""
+@pytest.mark.parametrize(("rounds", "small"), [(3, 32), (1, 32), (1, 2)])
+def test_jaccard_against_brute_force(spark, monkeypatch, rounds, small):
+    """Few rounds leave components to the pairs; a small region size sends regions through the recursion and the blocks."""
     monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(500)]
     passage = " ".join(rng.choice(words, 12))
@@ -241,32 +243,25 @@ def test_jaccard_against_brute_force(spark, monkeypatch, small):
             for _ in range(k % 5):
                 t[rng.integers(len(t))] = rng.choice(words)
             rows.append((len(rows) + 1, " ".join(t)))
+    for at in range(0, 160, 4):  # a chain: each links only with its neighbours
+        rows.append((len(rows) + 1, " ".join(f"c{i}" for i in range(at, at + 60))))
+    long = " ".join(rng.choice(words, 60))
+    rows += [(len(rows) + 1 + i, long + " " + " ".join(rng.choice(words, 9 + i % 9))) for i in range(40)]  # around the threshold
     rows += [(len(rows) + 100 + i, passage + " " + " ".join(rng.choice(words, 40))) for i in range(10)]
-    rows += [(900, None), (901, ""), (902, "one two"), (903, "One TWO"), (904, "one two three four five"), (905, rows[0][1])]
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "One TWO"), (904, "one two three four five"), (905, rows[0][1]), (None, rows[0][1])]
     df = docs(spark, rows).withColumn("cls", F.lit("clash"))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
-    assert got == components(rows)
-
-
-@pytest.mark.parametrize("seed", range(2))
-def test_jaccard_links_across_pivots(spark, monkeypatch, seed):
-    """Chains in one large region: n_links and components by brute force over all pairs, whichever pivots come first."""
-    monkeypatch.setattr(jaccard, "SMALL", 3)
-    monkeypatch.setattr(jaccard, "BLOCK", 4, raising=False)
-    rng = np.random.default_rng(seed)
-    words = [f"w{seed}_{i}" for i in range(300)]
-    rows = [(i + 1, " ".join(words[4 * i : 4 * i + 60])) for i in range(40)]  # each links only with its neighbours
-    base = list(rng.choice(words, 50))
-    for _ in range(30):
-        t = list(base)
-        for at in rng.integers(len(t), size=2):
-            t[at] = rng.choice(words)
-        rows.append((len(rows) + 1, " ".join(t)))
-    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
-    degree = {i: sum(100 * len(x & y) >= 75 * len(x | y) for y in {frozenset(z) for z in sets.values()} - {frozenset(x)}) for i, x in sets.items()}
-    got = {r.doc_id: r for r in jaccard.near_duplicates(docs(spark, rows)).collect()}
-    assert {i: r.n_links for i, r in got.items()} == degree
-    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect() if r.doc_id is not None}
+    assert got == components([r for r in rows if r[0] is not None])
+
+
+def test_jaccard_links_texts_that_different_pivots_reach(spark):
+    """Two large groups whose members link across the groups only by one text of each."""
+    rng = np.random.default_rng(0)
+    some = lambda name, n: [f"{name}{rng.integers(1 << 40)}" for _ in range(n)]
+    i, x, y, a, b = some("i", 600), some("x", 80), some("y", 80), some("a", 100), some("b", 100)
+    texts_ = [i + x + a + [f"u{k}"] for k in range(300)] + [i + y + b + [f"v{k}"] for k in range(300)] + [i + x, i + y]
+    got = jaccard.near_duplicates(docs(spark, [(k, " ".join(t)) for k, t in enumerate(texts_)])).collect()
+    assert len(got) == 602 and {r.component_id for r in got} == {0}
 
 
 def test_jaccard_on_nothing_and_repeated_rows(spark):
