@@ -52,8 +52,8 @@ def clip(c: Column, lo: float, hi: float) -> Column:
 
 
 def bin_of(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Number of an equal-width bin from 0; the last bin is closed."""
-    return F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    """Number of an equal-width bin from 0; the last bin is closed, and equal ends make one bin, 0."""
+    return F.when(hi > lo, F.least(F.floor(F.try_divide(x - lo, hi - lo) * bins), F.lit(bins - 1))).when(x.isNotNull(), 0).cast("int")
 
 
 def soft_mask(persistence: Column, threshold: Column, eta: float) -> Column:

@@ -27,7 +27,7 @@ def summary(dgm: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key)
     p = with_persistence(dgm)
     p = p.withColumns({"top": F.max("p").over(w), "all": F.sum("p").over(w), "rank": F.row_number().over(w.orderBy(F.desc("p")))})
-    share = F.col("p") / F.col("all")
+    share = F.try_divide("p", "all")
     ring = lambda r: F.count_if((F.col("p") > r * F.col("top")) & (F.col("top") > 0))
     return p.groupBy(key).agg(
         F.count("*").alias("n_bars"),

@@ -81,15 +81,16 @@ def min_max(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def autocorrelations(x: Column, lags: Column) -> Column:
-    """Autocovariances at lags 1..lags over that at 0, from an array."""
-    mean = total(x) / F.size(x)
+    """Autocovariances at lags 1..lags over that at 0, from an array; null for a constant series."""
+    mean = F.try_divide(total(x), F.size(x).cast("double"))
     c = F.transform(x, lambda v: v - mean)
     n = F.size(x)
-    return F.transform(F.sequence(F.lit(1), lags), lambda k: dot(F.slice(c, F.lit(1), n - k), F.slice(c, k + 1, n - k)) / dot(c, c))
+    return F.transform(F.sequence(F.lit(1), lags), lambda k: F.try_divide(dot(F.slice(c, F.lit(1), n - k), F.slice(c, k + 1, n - k)), dot(c, c)))
 
 
 def tau_autocorrelation(arrays: DataFrame, x: str = "x") -> DataFrame:
-    """Adds tau_ac: the first lag below a third of the length with an autocorrelation not above 0, else 1."""
+    """Adds tau_ac: the first lag below a third of the length with an autocorrelation not above 0, else 1 (so for a
+    constant series)."""
     top = F.floor(F.col("n") / 3).cast("int") - 1
     ac = F.when(top >= 1, autocorrelations(F.col(x), top)).otherwise(F.array().cast("array<double>"))
     df = arrays.withColumn("_ac", ac)

@@ -48,11 +48,11 @@ def whole_groups(df: DataFrame, keys: list[str], size: int, valid: Column) -> Da
 
 def bar_channels(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Channels of bars (open, high, low, close, volume, amount): log return to the bar before (0 for the first),
-    log volume, relative range, log amount."""
+    log volume, relative range, log amount. What a price of 0 leaves undefined is null."""
     w = Window.partitionBy(*keys).orderBy(order)
     return bars.select(
-        *keys, order, F.ln(F.col("close") / F.coalesce(F.lag("close").over(w), "close")).alias("ret"), F.log1p("volume").alias("logvol"),
-        ((F.col("high") - F.col("low")) / F.col("close")).alias("rng"), F.log1p("amount").alias("lamt"),
+        *keys, order, F.ln(F.try_divide(F.col("close"), F.coalesce(F.lag("close").over(w), "close"))).alias("ret"), F.log1p("volume").alias("logvol"),
+        F.try_divide(F.col("high") - F.col("low"), F.col("close")).alias("rng"), F.log1p("amount").alias("lamt"),
     )
 
 

@@ -18,14 +18,14 @@ def monthly(spark, sf_dir) -> DataFrame:
     li = read(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
     m = li.groupBy(F.col("l_suppkey").alias("supp"), F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(
         F.avg("l_quantity").alias("f_qty"), F.round(F.avg("l_discount"), 6).alias("f_disc"), F.round(F.avg("l_tax"), 6).alias("f_tax"), F.count("*").cast("double").alias("f_rows"),
-        F.avg((F.col("l_returnflag") == "R").cast("int")).alias("f_ret"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.avg((F.col("l_returnflag") == "R").cast("int")).alias("f_ret"), F.avg(F.try_divide("l_extendedprice", "l_quantity")).alias("price"),
     )
     w = Window.partitionBy("supp").orderBy("month")
     return m.withColumn("y", F.round(F.lead("price").over(w), 6)).drop("price")
 
 
 MONTHLY = """m0 AS (SELECT l_suppkey AS supp, strftime(l_shipdate, '%Y-%m') AS month, avg(l_quantity) AS f_qty, round(avg(l_discount), 6) AS f_disc, round(avg(l_tax), 6) AS f_tax, count(*)::DOUBLE AS f_rows,
-  avg((l_returnflag = 'R')::INT) AS f_ret, avg(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2),
+  avg((l_returnflag = 'R')::INT) AS f_ret, avg(l_extendedprice / nullif(l_quantity, 0)) AS price FROM lineitem GROUP BY 1, 2),
 m AS (SELECT * EXCLUDE (price), round(lead(price) OVER (PARTITION BY supp ORDER BY month), 6) AS y FROM m0)"""
 LONG = "long AS (SELECT supp, month, y, feature, x FROM (SELECT supp, month, y, f_qty, f_disc, f_tax, f_rows, f_ret FROM m) UNPIVOT (x FOR feature IN (f_qty, f_disc, f_tax, f_rows, f_ret)))"
 

@@ -22,12 +22,12 @@ def daily(spark, sf_dir) -> DataFrame:
     li = read(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_returnflag", "l_quantity", "l_extendedprice")
     q = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")))
     return li.groupBy(F.col("l_suppkey").alias("supp"), F.to_date("l_shipdate").alias("day")).agg(
-        q("A").alias("buy"), q("R").alias("sell"), q("N").alias("other"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price")
+        q("A").alias("buy"), q("R").alias("sell"), q("N").alias("other"), F.avg(F.try_divide("l_extendedprice", "l_quantity")).alias("price")
     )
 
 
 DAILY = """daily AS (SELECT l_suppkey AS supp, l_shipdate::DATE AS day, sum(l_quantity) FILTER (WHERE l_returnflag = 'A') AS buy, sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS sell,
-  sum(l_quantity) FILTER (WHERE l_returnflag = 'N') AS other, avg(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2)"""
+  sum(l_quantity) FILTER (WHERE l_returnflag = 'N') AS other, avg(l_extendedprice / nullif(l_quantity, 0)) AS price FROM lineitem GROUP BY 1, 2)"""
 
 
 def imbalance(spark, sf_dir):
@@ -72,15 +72,15 @@ SELECT l_suppkey AS supp, day::VARCHAR AS day, round(shipped, 6) AS shipped, rou
 
 def forward_labels(spark, sf_dir):
     """Returns of each user's series and labels looking ahead: volatility of the next 5 log returns, mean and sum of
-    the next 5."""
+    the next 5. A value of 0 has no log return to or from it."""
     w = Window.partitionBy("user_id").orderBy("i")
-    s = embedding.indexed(events(spark, sf_dir), "user_id", ORDER, "x").withColumn("ret", F.ln(F.col("x") / F.lag("x").over(w)))
+    s = embedding.indexed(events(spark, sf_dir), "user_id", ORDER, "x").withColumn("ret", F.ln(F.try_divide(F.col("x"), F.lag("x").over(w))))
     out = s.select("user_id", "i", "ret", panel.forward_volatility("user_id", ["i"], "ret", 5).alias("fwd_rv"), panel.forward_mean("user_id", ["i"], "x", 5).alias("fwd_mean"), panel.forward_sum("user_id", ["i"], "ret", 5).alias("fwd_ret"))
     return rounded(out, "user_id", "i")
 
 
 FORWARD_SQL = f"""
-WITH {S}, r AS (SELECT user_id, i, x, ln(x / lag(x) OVER (PARTITION BY user_id ORDER BY i)) AS ret FROM s)
+WITH {S}, q AS (SELECT user_id, i, x, x / nullif(lag(x) OVER (PARTITION BY user_id ORDER BY i), 0) AS q FROM s), r AS (SELECT user_id, i, x, CASE WHEN q > 0 THEN ln(q) END AS ret FROM q)
 SELECT user_id, i, round(ret, 6) AS ret, CASE WHEN count(ret) OVER w >= 3 THEN round(stddev_samp(ret) OVER w, 6) END AS fwd_rv, round(avg(x) OVER w, 6) AS fwd_mean,
   CASE WHEN count(ret) OVER w >= 2 THEN round(sum(ret) OVER w, 6) END AS fwd_ret FROM r WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"""
 
@@ -101,7 +101,7 @@ def windows(spark, sf_dir):
 
 
 WINDOWS_SQL = f"""
-WITH {S}, w AS (SELECT DISTINCT user_id, n, st FROM s, unnest(range(0, 400, 8)) AS u(st) WHERE st + 24 <= n AND st + 24 + 5 <= n AND n >= 34)
+WITH {S}, w AS (SELECT DISTINCT user_id, n, st FROM s, unnest(range(0, (SELECT max(n) FROM s), 8)) AS u(st) WHERE st + 24 <= n AND st + 24 + 5 <= n AND n >= 34)
 SELECT w.user_id, st AS start, round(avg(x), 6) AS mean, round(max(x), 6) AS most FROM w JOIN s ON s.user_id = w.user_id AND s.i BETWEEN st AND st + 23 GROUP BY 1, 2"""
 
 
@@ -132,28 +132,28 @@ def limit_labels(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("i")
     s = embedding.indexed(events(spark, sf_dir), "user_id", ORDER, "x")
     sym = F.col("user_id").cast("string")
-    r = s.withColumn("r", F.col("x") / F.lag("x").over(w) - 1).filter(F.col("r").isNotNull())
+    r = s.withColumn("r", F.try_divide(F.col("x"), F.lag("x").over(w)) - 1).filter(F.col("r").isNotNull())
     return r.select("user_id", "i", scalars.padded_id(sym).alias("code"), scalars.exchange_code(scalars.padded_id(sym)).alias("market"), (F.col("r") > 0.98 * scalars.price_limit(sym)).cast("int").alias("limit_up"))
 
 
 LIMIT_SQL = f"""
-WITH {S}, r AS (SELECT user_id, i, x / lag(x) OVER (PARTITION BY user_id ORDER BY i) - 1 AS r, CASE WHEN length(user_id::VARCHAR) < 6 THEN lpad(user_id::VARCHAR, 6, '0') ELSE user_id::VARCHAR END AS code FROM s)
+WITH {S}, r AS (SELECT user_id, i, x / nullif(lag(x) OVER (PARTITION BY user_id ORDER BY i), 0) - 1 AS r, CASE WHEN length(user_id::VARCHAR) < 6 THEN lpad(user_id::VARCHAR, 6, '0') ELSE user_id::VARCHAR END AS code FROM s)
 SELECT user_id, i, code, CASE WHEN code[1] = '6' THEN 'sh.' || code WHEN code[1] IN ('0', '3') THEN 'sz.' || code END AS market,
   (r > 0.98 * CASE WHEN user_id::VARCHAR LIKE '3%' OR user_id::VARCHAR LIKE '688%' THEN 0.2 ELSE 0.1 END)::INT AS limit_up FROM r WHERE r IS NOT NULL"""
 
 
 def bars(spark, sf_dir):
     """Channels of daily supplier bars: open, high, low, close by order of line, volume and amount."""
-    li = read(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").withColumn("p", F.col("l_extendedprice") / F.col("l_quantity"))
+    li = read(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").withColumn("p", F.try_divide("l_extendedprice", "l_quantity"))
     key = F.struct("l_orderkey", "l_linenumber", "p")
     day = li.groupBy(F.col("l_suppkey").alias("supp"), F.to_date("l_shipdate").alias("day")).agg(F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", key).alias("close"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("amount"))
     return rounded(panel.bar_channels(day, ["supp"], "day").withColumn("day", F.col("day").cast("string")), "supp", "day")
 
 
 BARS_SQL = """
-WITH l AS (SELECT l_suppkey AS supp, l_shipdate::DATE AS day, l_extendedprice / l_quantity AS p, l_quantity AS q, l_extendedprice AS e, l_orderkey AS o, l_linenumber AS n FROM lineitem),
+WITH l AS (SELECT l_suppkey AS supp, l_shipdate::DATE AS day, l_extendedprice / nullif(l_quantity, 0) AS p, l_quantity AS q, l_extendedprice AS e, l_orderkey AS o, l_linenumber AS n FROM lineitem),
 d AS (SELECT supp, day, max(p) AS high, min(p) AS low, last(p ORDER BY o, n, p) AS close, sum(q) AS volume, sum(e) AS amount FROM l GROUP BY 1, 2)
-SELECT supp, day::VARCHAR AS day, round(ln(close / coalesce(lag(close) OVER (PARTITION BY supp ORDER BY day), close)), 6) AS ret, round(ln(1 + volume), 6) AS logvol, round((high - low) / close, 6) AS rng, round(ln(1 + amount), 6) AS lamt FROM d"""
+SELECT supp, day::VARCHAR AS day, CASE WHEN close / nullif(coalesce(lag(close) OVER (PARTITION BY supp ORDER BY day), close), 0) > 0 THEN round(ln(close / coalesce(lag(close) OVER (PARTITION BY supp ORDER BY day), close)), 6) END AS ret, round(ln(1 + volume), 6) AS logvol, round((high - low) / nullif(close, 0), 6) AS rng, round(ln(1 + amount), 6) AS lamt FROM d"""
 
 
 def whole_orders(spark, sf_dir):
@@ -176,8 +176,8 @@ SELECT event_id, (props ->> '$.k')::DOUBLE AS k, CASE WHEN event_id % 3 <> 0 AND
 def histogram(spark, sf_dir):
     """Counts in 20 equal bins of the values of each event type, the last bin closed."""
     e = events(spark, sf_dir)
-    w = Window.partitionBy("event_type")
-    b = e.select("event_type", scalars.bin_of(F.col("x"), F.min("x").over(w), F.max("x").over(w), 20).alias("bin"))
+    ends = e.groupBy("event_type").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # a row for each type, no window over all rows of one
+    b = e.join(ends, "event_type").select("event_type", scalars.bin_of(F.col("x"), F.col("lo"), F.col("hi"), 20).alias("bin"))
     return b.groupBy("event_type", "bin").agg(F.count("*").alias("n"))
 
 
@@ -225,7 +225,7 @@ QUERIES = {
     "bar_channels": (bars, BARS_SQL),
     "whole_groups": (whole_orders, "WITH w AS (SELECT *, count(*) OVER w AS n, min(l_quantity) OVER w AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)) SELECT l_orderkey, l_linenumber, round(l_extendedprice, 6) AS price FROM w WHERE n = 4 AND q > 2"),
     "clean_numbers": (cleaned_props, CLEAN_SQL),
-    "histogram": (histogram, "WITH w AS (SELECT event_type, least(floor((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 20), 19)::INT AS bin FROM events WINDOW w AS (PARTITION BY event_type)) SELECT event_type, bin, count(*) AS n FROM w GROUP BY 1, 2"),
+    "histogram": (histogram, "WITH w AS (SELECT event_type, CASE WHEN max(value) OVER w > min(value) OVER w THEN least(floor((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 20), 19) ELSE 0 END::INT AS bin FROM events WINDOW w AS (PARTITION BY event_type)) SELECT event_type, bin, count(*) AS n FROM w GROUP BY 1, 2"),
     "seeds": (seeds, "SELECT o_orderkey, ('0x' || md5(o_orderstatus || '|' || o_orderkey)[1:8])::BIGINT % 2147483648 AS seed FROM orders"),
     "subsample_scan": (subsample_scan, None),
     "missing_profile": (missing, f"WITH {DAILY} SELECT 'buy' AS column, round(avg((buy IS NULL)::INT), 6) AS missing FROM daily UNION ALL SELECT 'sell', round(avg((sell IS NULL)::INT), 6) FROM daily UNION ALL SELECT 'other', round(avg((other IS NULL)::INT), 6) FROM daily UNION ALL SELECT 'price', round(avg((price IS NULL)::INT), 6) FROM daily"),

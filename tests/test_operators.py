@@ -117,3 +117,22 @@ def test_kernel_machine_and_votes(spark):
 def test_least_ratio(spark):
     df = spark.createDataFrame([("a", 50, 0.5, 1.0), ("a", 80, 0.05, 1.0), ("b", 50, 0.5, 1.0)], "k string, ratio int, d double, diam double")
     assert {r.k: r.min_ratio for r in panel.least_ratio(df, "k", "ratio", "d", "diam", 0.1).collect()} == {"a": 80, "b": 100}
+
+
+def test_zeros_and_constant_series(spark):
+    """Divisions by values of the data: zeros give nulls and constant series their stated results, no error."""
+    from simplicia.functions import scalars
+    from simplicia.operators import classic, diagrams, embedding, panel
+
+    flat = spark.createDataFrame([(k, i, 2.0 if k else 0.0) for k in (0, 1) for i in range(40)], "k int, i int, x double")
+    arrays = embedding.as_arrays(flat, "k", ["i"], "x")
+    assert [r.tau_ac for r in embedding.tau_autocorrelation(arrays).collect()] == [1, 1]
+    assert {r.tau_mi for r in embedding.tau_mutual_information(flat, "k").collect()} == {1}
+    assert {r.bin for r in flat.select(scalars.bin_of(F.col("x"), F.col("x"), F.col("x"), 20).alias("bin")).collect()} == {0}
+    assert classic.spectrum_features(classic.periodogram(arrays), "k").count() == 2
+    assert {r.skew for r in classic.moments(flat, "k", "x").collect()} == {0.0}
+    bars = spark.createDataFrame([(1, d, 1.0, 0.0, float(d % 2), 3.0, 4.0) for d in range(4)], "k int, d int, high double, low double, close double, volume double, amount double")
+    got = {r.d: (r.ret, r.rng) for r in panel.bar_channels(bars, ["k"], "d").collect()}
+    assert got[0] == (None, None) and got[1] == (None, 1.0) and got[2][0] is None
+    bars0 = spark.createDataFrame([(1, 0.5, 0.5), (1, 0.2, 0.2)], "k int, birth double, death double")
+    assert diagrams.summary(bars0, "k").collect()[0].entropy == 0.0
