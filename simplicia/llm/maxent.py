@@ -1,34 +1,37 @@
 """LM scoring: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax.
 
-Words fall into classes of about equal mass by their frequency; the rare and the unknown share the last class.
-P(word | history) = P(class | features of the history) * P(word | class). The features (last word, last two words,
-the word before the last, the third last) are hashed into a weight matrix. Its rows grow with the distinct words of
-the training texts, one for every WORDS_A_ROW of them, and its classes with the square root. An epoch runs over all
-training texts: every task makes gradient updates on a copy of the weights, and Spark averages what the tasks
-changed, row by row of the matrix. Texts are scored in sparse numpy batches.
+Words fall into classes of about equal mass by their frequency, and the words of a class into bins of about equal
+mass; a class of no more than BINS words has a bin for each. The rare and the unknown share the last class.
+P(word | history) = P(class | history) * P(bin | class, history) * P(word | bin): two trained softmaxes, and within a bin,
+which mostly is one word, the words' shares of its mass. The features (last word, last two words, the word before the
+last, the third last) are hashed into two weight matrices, for the second one together with the class. Rows and
+classes grow with the distinct words of the training texts (`model_size`). An epoch runs over all training texts: every
+task makes gradient updates on a copy of the weights, and Spark averages what the tasks changed, row by row of the
+matrices. Texts are scored in sparse numpy batches.
 
 Counts cover all training tokens. The most frequent FREQUENT words (a bound, not a cap: the rest take the join)
 go to the tasks as a broadcast; tokens beyond them are looked up by a shuffled join on the word, so no task holds
 the vocabulary. A null or empty text is one end token. Repeated rows are scored each; extra columns are not read;
-without training rows base_score is 0 and score that of equally likely classes.
+without training rows base_score is 0 and score that of equally likely classes. A row without a doc_id isn't held out.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.llm.common import crc_mod5, raw_texts, sliced, stored, table
+from simplicia.llm.common import chunked, crc_mod5, raw_texts, sliced, stored, table, words_of
 
-#: Production parameters: words in the broadcast, classes, rows of the weight matrix, tokens of an update, step, epochs.
-FREQUENT, CLASSES, ROWS, UPDATE, RATE, EPOCHS = 1 << 17, 32, 1 << 15, 8192, 0.25, 1
-#: CLASSES and ROWS hold up to ROWS * WORDS_A_ROW distinct words; beyond it both grow.
-WORDS_A_ROW = 8
+#: Production parameters: words in the broadcast, classes, bins of a class, rows of each weight matrix, tokens of an
+#: update, step, epochs.
+FREQUENT, CLASSES, BINS, ROWS, UPDATE, RATE, EPOCHS = 1 << 17, 32, 16, 1 << 15, 8192, 0.25, 1
+#: CLASSES and ROWS are for up to so many distinct words; beyond it rows grow with their root and classes with the
+#: root of the root of the root, so that a task's changes to them stay below the text that it reads.
+DISTINCT = 1 << 20
 #: The end token, which no word equals.
 END = b"\n"
 #: Distinct words a task gathers before it sends them on.
@@ -36,11 +39,16 @@ FLUSH = 400_000
 _N_FEATURES = 4
 
 
-def tokens(raw: bytes) -> list[bytes]:
-    """bytes.lower changes A-Z only; bytes.split cuts at ASCII white space only."""
-    words = raw.lower().split()
-    words.append(END)
-    return words
+def tokens_of(raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens of texts (the last is the end), the number of each token among them in order, and how many
+    each text has. bytes.lower changes A-Z only."""
+    distinct, codes, n = words_of([x.lower() for x in raws])
+    lengths = n + 1
+    flat = np.full(int(lengths.sum()), len(distinct), np.int64)
+    words = np.ones(len(flat), bool)
+    words[np.cumsum(lengths) - 1] = False
+    flat[words] = codes
+    return [*distinct.to_pylist(), END], flat, lengths
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -49,24 +57,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        found: Counter = Counter()
+        found: dict[bytes, int] = {}
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
         for batch in sliced(batches):
-            for raw in raw_texts(batch.column(0)):
-                found.update(tokens(raw))
-            if len(found) > FLUSH:
-                yield rows()
-                found.clear()
+            raws = raw_texts(batch.column(0))
+            for i, j in chunked(raws):
+                distinct, flat, _ = tokens_of(raws[i:j])
+                for w, c in zip(distinct, np.bincount(flat, minlength=len(distinct)).tolist(), strict=True):
+                    found[w] = found.get(w, 0) + c
+                if len(found) > FLUSH:
+                    yield rows()
+                    found.clear()
         yield rows()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, c long").filter("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(counts: DataFrame, bound: int = FREQUENT) -> list[tuple[bytes, int]]:
+def most_frequent(counts: DataFrame, bound: int | None = None) -> list[tuple[bytes, int]]:
     """The words from the lowest count on at which no more than `bound` words are left, most frequent first. The
     limit is found on a histogram of a few hundred steps, so nothing is sorted as a whole."""
     step = F.floor(F.log2("c") * 16).alias("step")
-    left, least = bound, None
+    left, least = bound or FREQUENT, None
     for r in counts.groupBy(step).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect():
         left -= r["n"]
         if left < 0:
@@ -80,65 +91,87 @@ def most_frequent(counts: DataFrame, bound: int = FREQUENT) -> list[tuple[bytes,
 
 @dataclass
 class Lexicon:
-    """number: of the frequent words; classes, log10 of (c + 0.5) and log10 P(word | class) by number."""
+    """number: of the frequent words. By number (one more, last, for all other words): class, bin, log10 of (c + 0.5) and
+    log10 P(word | bin). log_prior and bin_prior: natural logs of the shares of classes and of the bins in them."""
 
     number: dict[bytes, int]
     class_of: np.ndarray
+    bin_of: np.ndarray
     log_count: np.ndarray
     log_inside: np.ndarray
     log_prior: np.ndarray
+    bin_prior: np.ndarray
     tail_log_total: float
     rows: int
     classes: int
 
 
 def model_size(distinct: int) -> tuple[int, int]:
-    """Rows (a power of two) and classes of the weight matrix for so many distinct words."""
-    rows = max(ROWS, 1 << max(0, -(-distinct // WORDS_A_ROW) - 1).bit_length())
-    return rows, int(CLASSES * (rows / ROWS) ** 0.5)
+    """Rows (a power of two) and classes of the weight matrices for so many distinct words."""
+    grown = max(1.0, distinct / DISTINCT)
+    return ROWS << round(np.log2(grown) / 2), int(CLASSES * grown**0.125)
+
+
+def _bins_by_mass(c: np.ndarray, bins: int) -> np.ndarray:
+    """Bins of about equal mass for counts in descending order; one each if they are no more than the bins."""
+    if len(c) <= bins:
+        return np.arange(len(c))
+    return np.minimum((np.cumsum(c) - c / 2) / max(c.sum(), 1) * bins, bins - 1).astype(np.int64)
 
 
 def lexicon(top: list[tuple[bytes, int]], total: int, distinct: int) -> Lexicon:
     c = np.array([x for _, x in top], float)
     rows, n_classes = model_size(distinct)
-    mass = np.cumsum(c) - c / 2
-    classes = np.minimum((mass / max(c.sum(), 1) * (n_classes - 1)).astype(np.int64), n_classes - 2)
+    classes = _bins_by_mass(c, n_classes - 1)
+    bins = np.zeros(len(c), np.int64)
+    for k in np.unique(classes):
+        bins[classes == k] = _bins_by_mass(c[classes == k], BINS)
     tail, tail_distinct = total - c.sum(), distinct - len(top)
-    by_class = np.bincount(classes, c, n_classes)
-    prior = np.append(by_class[:-1], tail) + 0.5
+    prior = np.append(np.bincount(classes, c, n_classes)[:-1], tail) + 0.5
+    by_bin = np.bincount(classes * BINS + bins, c, n_classes * BINS)
+    inside = by_bin.reshape(-1, BINS) + np.where(np.arange(n_classes)[:, None] == n_classes - 1, np.arange(BINS) == 0, 0)
+    bin_prior = np.log(np.maximum(inside, 1e-30) / np.maximum(inside.sum(1, keepdims=True), 1e-30))
     return Lexicon(
-        {w: i for i, (w, _) in enumerate(top)}, np.append(classes, n_classes - 1), np.log10(c + 0.5), np.log10(np.maximum(c, 1e-300) / np.maximum(by_class[classes], 1e-300)),
-        np.log(prior / prior.sum()), float(np.log10(tail + 0.5 * (tail_distinct + 1))), rows, n_classes,
+        {w: i for i, (w, _) in enumerate(top)}, np.append(classes, n_classes - 1), np.append(bins, 0), np.append(np.log10(c + 0.5), 0.0),
+        np.append(np.log10(np.maximum(c, 1e-300) / np.maximum(by_bin[classes * BINS + bins], 1e-300)), 0.0),
+        np.log(prior / prior.sum()), np.maximum(bin_prior, -30.0), float(np.log10(tail + 0.5 * (tail_distinct + 1))), rows, n_classes,
     )
 
 
-def contexts(words: list[list[bytes]], lex: Lexicon) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens, their numbers (frequent words; len(lexicon) for others), the feature rows of their histories
-    and the lengths of the texts. Rare words take part in histories through a checksum."""
+_MIX, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _rows(keys: np.ndarray, lex: Lexicon) -> np.ndarray:
+    return ((keys * _MIX) >> np.uint64(65 - lex.rows.bit_length())).astype(np.uint16 if lex.rows <= 1 << 16 else np.uint32)
+
+
+def contexts(raws: list[bytes], lex: Lexicon) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens, the tokens' numbers among them, their numbers in the lexicon (frequent words; its size for
+    others), the keys of the features of their histories and the lengths of the texts. Rare words take part in
+    histories through a checksum."""
+    distinct, flat, lengths = tokens_of(raws)
     n_frequent = len(lex.number)
-    get = lex.number.get
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    flat = [w for one in words for w in one]
-    ids = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
-    seen = ids.copy()
-    rare = np.flatnonzero(ids < 0)
-    seen[rare] = [n_frequent + 1 + (zlib.crc32(flat[i]) & 0xFFFF) for i in rare.tolist()]
-    ids[rare] = n_frequent
+    known = np.fromiter((lex.number.get(w, -1) for w in distinct), np.int64, len(distinct))
+    seen = known.copy()
+    seen[known < 0] = [n_frequent + 1 + (zlib.crc32(distinct[i]) & 0xFFFF) for i in np.flatnonzero(known < 0).tolist()]
+    known[known < 0] = n_frequent
+    seen = seen[flat]
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    here = np.arange(len(flat))
     back = []
     for k in (1, 2, 3):
-        at = here - k
+        at = np.arange(len(flat)) - k
         back.append(np.where(at >= starts, seen[np.maximum(at, 0)], -k).astype(np.uint64))
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    shift = np.uint64(64 - lex.rows.bit_length() + 1)
-    rows = lambda v, salt: (((v + np.uint64(salt)) * mix) >> shift).astype(np.uint16 if lex.rows <= 1 << 16 else np.uint32)
-    pair = (back[0] * np.uint64(0xBF58476D1CE4E5B9)) ^ (back[1] + np.uint64(77))
-    return flat, ids, np.stack([rows(back[0], 1), rows(pair, 3), rows(back[1], 1 << 33), rows(back[2], 1 << 41)]), lengths
+    pair = (back[0] * _PAIR) ^ (back[1] + np.uint64(77))
+    keys = np.stack([back[0] + np.uint64(1), pair + np.uint64(3), back[1] + np.uint64(1 << 33), back[2] + np.uint64(1 << 41)])
+    return distinct, flat, known[flat], keys, lengths
+
+
+def within_class(keys: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Keys of the second softmax: of a feature together with a class."""
+    return (keys ^ (keys >> np.uint64(29))) * _PAIR + (classes.astype(np.uint64) << np.uint64(20)) + np.uint64(1 << 50)
 
 
-def class_logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Log P(class | history) of each token."""
+def log_softmax(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
     z = w[rows[0]]
     for r in rows[1:]:
         z += w[r]
@@ -148,87 +181,123 @@ def class_logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarra
     return z
 
 
-def _sum_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(rows, kind="stable")
-    found = rows[order]
-    first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-    return found[first], np.add.reduceat(values[order], first, axis=0)
+class Trainer:
+    """A task's copy of one weight matrix, moved by steps that shrink with the squares of a row's gradients."""
 
+    def __init__(self, w: np.ndarray):
+        self.start, self.w = w, w.copy()
+        self.squares, self.used = np.full(len(w), 1e-2, np.float32), np.zeros(len(w), np.int64)
 
-def train(docs: DataFrame, lex: Lexicon, epochs: int = EPOCHS) -> np.ndarray:
-    """The weights after `epochs` passes over all training texts."""
+    def update(self, rows: np.ndarray, target: np.ndarray, bias: np.ndarray) -> None:
+        if not len(target):
+            return
+        g = -np.exp(log_softmax(self.w, rows, bias))
+        g[np.arange(len(target)), target] += 1
+        for r in rows:
+            order = np.argsort(r, kind="stable")
+            found = r[order]
+            first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+            at, total = found[first], np.add.reduceat(g[order], first, axis=0)
+            self.squares[at] += np.square(total).mean(axis=1)
+            self.w[at] += RATE * total / np.sqrt(self.squares[at])[:, None]
+        self.used += np.bincount(rows.ravel(), minlength=len(self.w))
+
+    def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows used, how often, and their changes times that."""
+        at = np.flatnonzero(self.used)
+        return at, self.used[at], (self.w[at] - self.start[at]) * self.used[at, None].astype(np.float32)
+
+
+Model = tuple[np.ndarray, np.ndarray]
+
+
+def train(docs: DataFrame, lex: Lexicon, epochs: int = EPOCHS) -> Model:
+    """The two weight matrices after `epochs` passes over all training texts."""
     sc = docs.sparkSession.sparkContext
-    w = np.zeros((lex.rows, lex.classes), np.float32)
+    model = (np.zeros((lex.rows, lex.classes), np.float32), np.zeros((lex.rows, BINS), np.float32))
     shared = sc.broadcast(lex)
-    names = [f"d{i}" for i in range(lex.classes)]
+    names = [f"d{i}" for i in range(max(lex.classes, BINS))]
     for _ in range(epochs):
-        start = sc.broadcast(w)
+        start = sc.broadcast(model)
 
         def run(batches, start=start):
             import pyarrow as pa
 
             lex = shared.value
-            mine = start.value.copy()
-            squares = np.full(lex.rows, 1e-2, np.float32)
-            used = np.zeros(lex.rows, np.int64)
-            bias = lex.log_prior.astype(np.float32)
+            by_class, by_bin = map(Trainer, start.value)
+            prior, bin_prior = lex.log_prior.astype(np.float32), lex.bin_prior.astype(np.float32)
+            several = (lex.bin_prior > -30).sum(1) > 1
             for batch in sliced(batches):
-                _, ids, rows, _ = contexts([tokens(x) for x in raw_texts(batch.column(0))], lex)
-                target = lex.class_of[ids]
-                for i in range(0, len(ids), UPDATE):
-                    r, t = rows[:, i : i + UPDATE], target[i : i + UPDATE]
-                    g = -np.exp(class_logits(mine, r, bias))
-                    g[np.arange(len(t)), t] += 1
-                    for k in range(_N_FEATURES):
-                        at, total = _sum_rows(r[k], g)
-                        squares[at] += np.square(total).mean(axis=1)
-                        mine[at] += RATE * total / np.sqrt(squares[at])[:, None]
-                    used += np.bincount(r.ravel(), minlength=lex.rows)
-            at = np.flatnonzero(used)
-            change = (mine[at] - start.value[at]).astype(np.float64) * used[at, None]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(used[at]), *(pa.array(change[:, i]) for i in range(lex.classes))], names=["at", "used", *names])
-
-        moved = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "at long, used long, " + ", ".join(f"{n} double" for n in names))
-        mean = moved.groupBy("at").agg(*((F.sum(n) / F.sum("used")).alias(n) for n in names)).toPandas()  # at most lex.rows rows
-        w = w.copy()
-        w[mean["at"].to_numpy(np.int64)] += mean[names].to_numpy(np.float32).reshape(-1, lex.classes)
+                raws = raw_texts(batch.column(0))
+                for i, j in chunked(raws):
+                    _, _, ids, keys, _ = contexts(raws[i:j], lex)
+                    for k in range(0, len(ids), UPDATE):
+                        part, part_keys = ids[k : k + UPDATE], keys[:, k : k + UPDATE]
+                        target = lex.class_of[part]
+                        by_class.update(_rows(part_keys, lex), target, prior)
+                        inner = np.flatnonzero(several[target])
+                        by_bin.update(_rows(within_class(part_keys[:, inner], target[inner]), lex), lex.bin_of[part[inner]], bin_prior[target[inner]])
+            for which, trainer in enumerate((by_class, by_bin)):
+                at, used, change = trainer.changes()
+                columns = [pa.array(change[:, i] if i < change.shape[1] else np.zeros(len(at), np.float32), pa.float32()) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array(at * 2 + which), pa.array(used), *columns], names=["at", "used", *names])
+
+        moved = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "at long, used long, " + ", ".join(f"{n} float" for n in names))
+        mean = moved.groupBy("at").agg(*((F.sum(n) / F.sum("used")).cast("float").alias(n) for n in names)).toPandas()  # at most two matrices' rows
+        at, change = mean["at"].to_numpy(np.int64), mean[names].to_numpy(np.float32).reshape(-1, len(names))
+        model = tuple(w.copy() for w in model)
+        for which, w in enumerate(model):
+            mine = at % 2 == which
+            w[at[mine] // 2] += change[mine, : w.shape[1]]
         start.unpersist()
-    return w
+    return model
 
 
 SCORED = "doc_id long, row long, n_tokens long, n_frequent long, log_count double, log_model double, rare array<binary>"
 
 
-def frequent_scores(docs: DataFrame, lex: Lexicon, w: np.ndarray) -> DataFrame:
+def log_history(ids: np.ndarray, keys: np.ndarray, lex: Lexicon, model: Model) -> np.ndarray:
+    """log10 P(class | history) + log10 P(bin | class, history) of every token."""
+    prior, bin_prior = lex.log_prior.astype(np.float32), lex.bin_prior.astype(np.float32)
+    several = (lex.bin_prior > -30).sum(1) > 1
+    out = np.empty(len(ids))
+    for k in range(0, len(ids), UPDATE):
+        part, part_keys = ids[k : k + UPDATE], keys[:, k : k + UPDATE]
+        target = lex.class_of[part]
+        z = log_softmax(model[0], _rows(part_keys, lex), prior)
+        out[k : k + UPDATE] = z[np.arange(len(z)), target]
+        if len(inner := np.flatnonzero(several[target])):
+            z = log_softmax(model[1], _rows(within_class(part_keys[:, inner], target[inner]), lex), bin_prior[target[inner]])
+            out[k + inner] += z[np.arange(len(z)), lex.bin_of[part[inner]]]
+    return out / np.log(10)
+
+
+def frequent_scores(docs: DataFrame, lex: Lexicon, model: Model) -> DataFrame:
     """What a text scores by its frequent words and by the classes of all its words, and its other words."""
-    sc = docs.sparkSession.sparkContext
-    model = sc.broadcast((lex, w))
+    shared = docs.sparkSession.sparkContext.broadcast((lex, model))
 
     def run(batches):
         import pyarrow as pa
 
-        lex, w = model.value
-        n_frequent, bias = len(lex.number), lex.log_prior.astype(np.float32)
-        log_count, log_inside = np.append(lex.log_count, 0.0), np.append(lex.log_inside, 0.0)
+        lex, model = shared.value
+        n_frequent = len(lex.number)
         for batch in sliced(batches):
-            words, ids, rows, lengths = contexts([tokens(x) for x in raw_texts(batch.column(2))], lex)
-            target = lex.class_of[ids]
-            by_class = np.empty(len(ids))
-            for i in range(0, len(ids), UPDATE):
-                z = class_logits(w, rows[:, i : i + UPDATE], bias)
-                by_class[i : i + UPDATE] = z[np.arange(len(z)), target[i : i + UPDATE]]
-            starts = np.cumsum(lengths) - lengths
-            total = lambda v: np.add.reduceat(v, starts) if len(starts) else np.zeros(0)
-            at = np.flatnonzero(ids == n_frequent)
-            borders = pa.array(np.searchsorted(at, np.append(starts, len(ids))), pa.int32())
-            rare = pa.ListArray.from_arrays(borders, pa.array([words[i] for i in at.tolist()], pa.binary()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(lengths), pa.array(total((ids < n_frequent).astype(np.int64))), pa.array(total(log_count[ids])),
-                    pa.array(total(by_class / np.log(10) + log_inside[ids])), rare,
-                ],
-                names=["doc_id", "row", "n_tokens", "n_frequent", "log_count", "log_model", "rare"],
-            )
+            raws = raw_texts(batch.column(2))
+            for i, j in chunked(raws):
+                distinct, flat, ids, keys, lengths = contexts(raws[i:j], lex)
+                starts = np.cumsum(lengths) - lengths
+                total = lambda v, starts=starts: np.add.reduceat(v, starts)
+                at = np.flatnonzero(ids == n_frequent)
+                borders = pa.array(np.searchsorted(at, np.append(starts, len(ids))), pa.int32())
+                rare = pa.ListArray.from_arrays(borders, pa.array(distinct, pa.binary()).take(pa.array(flat[at])))
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(1), pa.array(lengths), pa.array(total((ids < n_frequent).astype(np.int64))), pa.array(total(lex.log_count[ids])),
+                        pa.array(total(log_history(ids, keys, lex, model) + lex.log_inside[ids])), rare,
+                    ],
+                    names=["doc_id", "row", "n_tokens", "n_frequent", "log_count", "log_model", "rare"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCORED)
@@ -239,8 +308,7 @@ def lm_scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     counts = stored(word_counts(training), "lm-counts")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).collect()[0]
     lex = lexicon(most_frequent(counts), size["n"], size["v"])
-    w = train(training, lex)
-    found = stored(frequent_scores(docs, lex, w), "lm-frequent")
+    found = stored(frequent_scores(docs, lex, train(training, lex)), "lm-frequent")
     rare = found.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("tf"))
     known = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).alias("rare_log"),
@@ -262,5 +330,5 @@ def lm_scores(docs: DataFrame, training: DataFrame) -> DataFrame:
 
 def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    out = lm_scores(docs, docs.filter(crc_mod5(F.col("doc_id")) != 1))
-    return out.select("doc_id", (crc_mod5(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held_out = F.coalesce(crc_mod5(F.col("doc_id")) == 1, F.lit(False))
+    return lm_scores(docs, docs.filter(~held_out)).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
