@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
@@ -39,6 +40,11 @@ NOISE = frozenset(
 #: Parts of a name that turn its other parts around, as in with-sidebar or post-header.
 NOT_NOISE = frozenset("with has no main content article entry post".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Elements that implied end tags don't cross.
+_WALL = CONTAINER | {"ul", "ol", "table", "dl", "blockquote"}
+_RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
+#: Names of a path that its label shows.
+LABELLED = 8
 #: A host takes the deepest path with at least this part of the best path's share.
 NEARLY = 0.9
 
@@ -76,23 +82,37 @@ def _noisy(name: str) -> bool:
     return (parts[0] in NOISE or parts[-1] in NOISE) and not NOT_NOISE.intersection(parts)
 
 
-def blocks(page: str) -> list[tuple[str, int, tuple[int, ...], str]]:
-    """Readable blocks in page order: text, characters of link text, the containers around it (numbers that grow
-    in page order) ; and the path of each container as the last field of its first block."""
-    out: list[tuple[str, int, tuple[int, ...], str]] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, name, skipped, container number or -1
-    inside: list[int] = []
-    paths: list[str] = []
+class Container:
+    """An element that may hold the main text. label names its generalised path in bounded length: a hash of the whole
+    path, its depth and its last LABELLED names; article is the label of the nearest article or main around it."""
+
+    __slots__ = ("parent", "label", "article", "depth", "is_article", "text", "links")
+
+    def __init__(self, parent: int, label: str, article: str, depth: int, is_article: bool):
+        self.parent, self.label, self.article, self.depth, self.is_article = parent, label, article, depth, is_article
+        self.text = self.links = 0
+
+
+def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[Container]]:
+    """Readable blocks in page order: text, characters of link text, the number of the container around it or -1; and the
+    containers, whose numbers grow in page order, with the text inside each. Linear: every start tag is pushed and
+    popped once, what a tag closes is found by the places of open tags, and paths are hashes of their parents'."""
+    out: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, bool, bool]] = []  # tag, skipped, whether it is a container
+    open_at: dict[str, list[int]] = {}
+    walls: list[int] = []  # places of containers and lists, which implied end tags don't cross
+    inside: list[int] = [-1]
+    paths: list[tuple[int, tuple, int]] = [(0, (), 0)]  # of open blocks: hash, last names, depth
+    found: list[Container] = []
     parts: list[str] = []
-    links = 0
-    anchors = skipped = 0
+    links = anchors = skipped = 0
 
     def flush():
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, min(links, len(text)), tuple(inside), ""))
+                out.append((text, min(links, len(text)), inside[-1]))
             parts.clear()
         links = 0
 
@@ -106,29 +126,34 @@ def blocks(page: str) -> list[tuple[str, int, tuple[int, ...], str]]:
 
     def pop():
         nonlocal anchors, skipped
-        tag, _, skip, number = stack.pop()
-        if tag in BLOCK and not skipped:
-            flush()
-        if skip:
-            skipped -= 1
-        if tag == "a":
-            anchors -= 1
-        if number >= 0:
+        tag, skip, held = stack.pop()
+        open_at[tag].pop()
+        if tag in BLOCK:
+            paths.pop()
+            if not skipped:
+                flush()
+        if tag in _WALL:
+            walls.pop()
+        skipped -= skip
+        anchors -= tag == "a"
+        if held:
             inside.pop()
 
-    at, end = 0, len(page)
+    def last(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+
+    at, end = 0, page.rfind(">") + 1
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, end)
         if m is None:
-            text_of(page[at:])
             break
         text_of(page[at : m.start()])
         at = m.end()
         if m[1]:
             tag = m[1].lower()
             if tag in RAW:
-                close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-                at = page.find(">", close.start()) + 1 or end if close else end
+                close = _RAW_END[tag].search(page, at)
+                at = page.find(">", close.start()) + 1 or len(page) if close else len(page)
                 continue
             if tag in VOID:
                 if tag == "hr" and not skipped:
@@ -136,91 +161,81 @@ def blocks(page: str) -> list[tuple[str, int, tuple[int, ...], str]]:
                 elif tag == "br" and not skipped:
                     parts.append(" ")
                 continue
-            closes = _CLOSED_BY.get(tag)
-            if closes or tag in _HEADING_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    t = stack[k][0]
-                    if t == "p" and tag in _HEADING_P or closes and t in closes:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if t in CONTAINER or t in ("ul", "ol", "table", "dl", "blockquote"):
-                        break
+            closes = _CLOSED_BY.get(tag, ())
+            k = max(last(closes), last("p") if tag in _HEADING_P else -1)
+            if k >= 0 and k >= (walls[-1] if walls else 0):
+                while len(stack) > k:
+                    pop()
             if m[2].endswith("/") and tag not in BLOCK:
                 continue
             name, noise = _names(tag, m[2]) if m[2].strip() else (tag, False)
             skip = noise and tag not in ("html", "body", "article", "main") or tag in SKIPPED
-            if tag in BLOCK and not skipped:
-                flush()
-            number = -1
-            if tag in CONTAINER and not skip and not skipped:
-                number = len(paths)
-                paths.append("/".join([x[1] for x in stack if x[0] in BLOCK] + [name]))
-                inside.append(number)
-            stack.append((tag, name, skip, number))
+            held = tag in CONTAINER and not skip and not skipped
+            if tag in BLOCK:
+                if not skipped:
+                    flush()
+                above, names, depth = paths[-1]
+                paths.append((zlib.crc32(name.encode(), above), (*names[-LABELLED + 1 :], name), depth + 1))
+            if held:
+                digest, names, depth = paths[-1]
+                label = f"{'.../' if depth > LABELLED else ''}{'/'.join(names)}#{depth}.{digest:08x}"
+                is_article = tag in ("article", "main")
+                around = found[inside[-1]].article if inside[-1] >= 0 else ""
+                found.append(Container(inside[-1], label, label if is_article else around, depth, is_article))
+                inside.append(len(found) - 1)
+            if tag in _WALL:
+                walls.append(len(stack))
+            open_at.setdefault(tag, []).append(len(stack))
+            stack.append((tag, skip, held))
             skipped += skip
             anchors += tag == "a"
         elif m[3]:
             tag = m[3].lower()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in CONTAINER and tag not in BLOCK:
-                    break
+            k = last((tag,))
+            if k >= 0 and (tag in BLOCK or k >= last(CONTAINER)):
+                while len(stack) > k:
+                    pop()
+    text_of(page[at:])
     while stack:
         pop()
     flush()
-    seen: set[int] = set()
-    labelled = []
-    for text, n, around, _ in out:
-        new = [paths[x] for x in around if x not in seen]
-        seen.update(around)
-        labelled.append((text, n, around, "\n".join(new)))
-    return labelled
-
-
-def shares(found) -> list[tuple[str, int, float, int]]:
-    """(path, depth, share, container number) of every container with text."""
-    total = sum(len(t) for t, *_ in found)
-    held: dict[int, list] = {}
-    names: dict[int, str] = {}
-    for text, links, around, new in found:
-        fresh = iter(new.split("\n")) if new else iter(())
-        for x in around:
-            if x not in names:
-                names[x] = next(fresh)
-            got = held.setdefault(x, [0, 0])
-            got[0] += len(text)
-            got[1] += links
-    return [(names[x], names[x].count("/"), max(0.0, (n - links) / total), x) for x, (n, links) in held.items()]
-
-
-#: A path up to its last article or main element.
-_ARTICLE = r"^(?:.*/)?(?:article|main)(?:\.[^/]*)?(?=/|$)"
-
-
-def best_container(scored, found) -> int:
+    for text, n, x in out:
+        if x >= 0:
+            found[x].text += len(text)
+            found[x].links += n
+    for c in reversed(found):
+        if c.parent >= 0:
+            found[c.parent].text += c.text
+            found[c.parent].links += c.links
+    return out, found
+
+
+def shares(out, found: list[Container]) -> dict[int, float]:
+    """By number of a container with text: the part of the page's text inside it, less what is link text."""
+    total = sum(len(t) for t, *_ in out)
+    return {x: max(0.0, (c.text - c.links) / total) for x, c in enumerate(found) if c.text}
+
+
+def best_container(scored: dict[int, float], found: list[Container]) -> int:
     if not scored:
         return -1
-    top = max(s for _, _, s, _ in scored)
-    x = max((d, s, -x, x) for _, d, s, x in scored if s >= NEARLY * top)[3]
-    paths = {x: p for p, _, _, x in scored}
-    around = next(a for _, _, a, _ in found if x in a)
-    for y in reversed(around[: around.index(x) + 1]):
-        if re.fullmatch(r"(?:.*/)?(?:article|main)(?:\.[^/]*)?", paths[y]):
-            return y
-    return x
+    top = max(scored.values())
+    x = max((found[x].depth, s, -x) for x, s in scored.items() if s >= NEARLY * top)[2] * -1
+    y = x
+    while y >= 0 and not found[y].is_article:
+        y = found[y].parent
+    return y if y >= 0 else x
 
 
 def main_text(page: str, path: str | None) -> str:
-    found = blocks(page)
-    scored = shares(found)
-    voted = {x: s for p, _, s, x in scored if p == path and s > 0}
-    top = max((s for _, _, s, _ in scored), default=0.0)
-    chosen = set(voted) if voted and sum(voted.values()) >= NEARLY * top else {best_container(scored, found)}
-    return "\n".join(t for t, _, around, _ in found if not around and chosen == {-1} or chosen.intersection(around))
+    out, found = blocks(page)
+    scored = shares(out, found)
+    voted = {x: s for x, s in scored.items() if found[x].label == path and s > 0}
+    chosen = set(voted) if voted and sum(voted.values()) >= NEARLY * max(scored.values()) else {best_container(scored, found)}
+    within = []
+    for x, c in enumerate(found):
+        within.append(x in chosen or c.parent >= 0 and within[c.parent])
+    return "\n".join(t for t, _, x in out if (within[x] if x >= 0 else chosen == {-1}))
 
 
 def vote(pages: DataFrame) -> DataFrame:
@@ -230,25 +245,27 @@ def vote(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in sliced(batches):
-            hosts, paths, depths, scores = [], [], [], []
+            hosts, paths, articles, depths, scores = [], [], [], [], []
             for host, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                best: dict[str, tuple[int, float]] = {}
-                for p, d, s, _ in shares(blocks(raw.decode("utf-8", "replace"))):
-                    best[p] = (d, best.get(p, (d, 0.0))[1] + s)
-                for p, (d, s) in best.items():
+                out, found = blocks(raw.decode("utf-8", "replace"))
+                best: dict[tuple[str, str, int], float] = {}
+                for x, s in shares(out, found).items():
+                    key = (found[x].label, found[x].article, found[x].depth)
+                    best[key] = best.get(key, 0.0) + s
+                for (label, around, depth), s in best.items():
                     hosts.append(host)
-                    paths.append(p)
-                    depths.append(d)
+                    paths.append(label)
+                    articles.append(around)
+                    depths.append(depth)
                     scores.append(round(s * 1000))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(depths, pa.int32()), pa.array(scores, pa.int64())], names=["host", "path", "depth", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(articles, pa.string()), pa.array(depths, pa.int32()), pa.array(scores, pa.int64())], names=["host", "path", "article", "depth", "share"])
 
-    votes = pages.select("host", "html").mapInArrow(run, "host string, path string, depth int, share long")
-    tally = votes.groupBy("host", "path").agg(F.sum("share").alias("share"), F.max("depth").alias("depth"))
+    votes = pages.select("host", "html").mapInArrow(run, "host string, path string, article string, depth int, share long")
+    tally = votes.groupBy("host", "path").agg(F.sum("share").alias("share"), F.max("depth").alias("depth"), F.max("article").alias("article"))
     top = tally.withColumn("top", F.max("share").over(Window.partitionBy("host")))
     near = top.filter((F.col("share") > 0) & (F.col("share") >= NEARLY * F.col("top")))
-    deepest = near.groupBy("host").agg(F.max_by("path", F.struct("depth", "share", "path")).alias("path"))
-    article = F.regexp_extract("path", _ARTICLE, 0)
-    return deepest.select("host", F.when(article != "", article).otherwise(F.col("path")).alias("path"))
+    around = F.when(F.col("article") != "", F.col("article")).otherwise(F.col("path"))
+    return near.groupBy("host").agg(F.max_by(around, F.struct("depth", "share", "path")).alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
