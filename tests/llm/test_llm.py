@@ -226,7 +226,7 @@ def components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("rounds", "small"), [(3, 32), (1, 32), (1, 2)])
+@pytest.mark.parametrize(("rounds", "small"), [(2, 1024), (1, 1024), (1, 2)])
 def test_jaccard_against_brute_force(spark, monkeypatch, rounds, small):
     """Few rounds leave components to the pairs; a small region size sends regions through the recursion and the blocks."""
     monkeypatch.setattr(jaccard, "SMALL", small)
@@ -352,6 +352,10 @@ def test_urls(spark):
 # language model
 
 
+def lm_tokens(t):
+    return [*t.encode().lower().split(), maxent.END]
+
+
 @needs_tables
 def test_language_model(spark):
     sf = SF.replace("0.001", "0.01")
@@ -359,11 +363,11 @@ def test_language_model(spark):
     import math
     import zlib
 
-    train = collections.Counter(w for i, t in rows.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in maxent.tokens(t.encode()))
+    train = collections.Counter(w for i, t in rows.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in lm_tokens(t))
     n, v = sum(train.values()), len(train)
     got = maxent.op9_maxent(spark, sf).toPandas().set_index("doc_id")
     for i, t in rows.items():
-        w = maxent.tokens(t.encode())
+        w = lm_tokens(t)
         r = got.loc[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(train[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
@@ -375,15 +379,95 @@ def test_language_model(spark):
 def test_language_model_sees_three_words_and_grows():
     lex = maxent.lexicon([(b"a", 4), (b"b", 3), (b"c", 2), (b"d", 1)], 10, 4)
     assert lex.classes >= 32 and lex.rows >= 1 << 15
-    rows = [maxent.contexts([t.split()], lex)[2][:, 3] for t in (b"a b c d", b"b b c d")]
-    assert (rows[0] != rows[1]).any()  # only the third last word differs
+    keys = [maxent.contexts([t], lex)[3][:, 3] for t in (b"a b c d", b"b b c d")]
+    assert [(keys[0] != keys[1])[i] for i in range(4)] == [False, False, False, True]  # only the third last word differs
     more = maxent.model_size(10_000_000)
     assert more[0] > lex.rows and more[1] > lex.classes
 
 
+def plain_model(texts_, lex):
+    """The model by plain loops: trained on texts in one task, then the log10 probability of every class and bin."""
+    import math
+
+    n_classes, bins = lex.classes, maxent.BINS
+    w = [np.zeros((lex.rows, n_classes)), np.zeros((lex.rows, bins))]
+    squares = [np.full(lex.rows, 1e-2), np.full(lex.rows, 1e-2)]
+    several = [(lex.bin_prior[k] > -30).sum() > 1 for k in range(n_classes)]
+
+    def softmax(which, rows, bias):
+        z = [sum(w[which][r][k] for r in rows) + bias[k] for k in range(len(bias))]
+        top = max(z)
+        total = sum(math.exp(x - top) for x in z)
+        return [math.exp(x - top) / total for x in z]
+
+    def examples(t):
+        words = lm_tokens(t)
+        _, _, ids, keys, _ = maxent.contexts([t.encode()], lex)
+        assert len(words) == len(ids)
+        for i, word in enumerate(words):
+            number = lex.number.get(word, len(lex.number))
+            k = int(lex.class_of[number])
+            inner = maxent.within_class(keys[:, [i]], np.array([k]))
+            yield number, k, maxent._rows(keys[:, i], lex).tolist(), maxent._rows(inner, lex)[:, 0].tolist()
+
+    every = [x for t in texts_ for x in examples(t)]
+    for at in range(0, len(every), maxent.UPDATE):
+        part = every[at : at + maxent.UPDATE]
+        for which in (0, 1):
+            chosen = [x for x in part if which == 0 or several[x[1]]]
+            grads = []
+            for number, k, outer, inner in chosen:
+                p = softmax(which, (outer, inner)[which], lex.log_prior if which == 0 else lex.bin_prior[k])
+                target = k if which == 0 else int(lex.bin_of[number])
+                grads.append(((outer, inner)[which], np.array([(j == target) - x for j, x in enumerate(p)])))
+            for f in range(4):
+                total = collections.defaultdict(lambda n=w[which].shape[1]: np.zeros(n))
+                for rows, g in grads:
+                    total[rows[f]] += g
+                for r, g in total.items():
+                    squares[which][r] += (g * g).mean()
+                    w[which][r] += maxent.RATE * g / math.sqrt(squares[which][r])
+
+    def score(t):
+        total = 0.0
+        for number, k, outer, inner in examples(t):
+            total += math.log10(softmax(0, outer, lex.log_prior)[k])
+            if several[k]:
+                total += math.log10(softmax(1, inner, lex.bin_prior[k])[int(lex.bin_of[number])])
+            total += lex.log_inside[number]
+        return total
+
+    return score
+
+
+def test_language_model_against_plain_loops(spark, monkeypatch):
+    """Training in one task and the score of every text, rare words included; probabilities of a history sum to 1."""
+    import math
+
+    for name, value in (("CLASSES", 5), ("BINS", 3), ("ROWS", 64), ("FREQUENT", 12), ("UPDATE", 50)):
+        monkeypatch.setattr(maxent, name, value)
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(20)]
+    made = [" ".join(words[min(int(x), 19)] for x in rng.geometric(0.2, 30)) for _ in range(12)]
+    counts = collections.Counter(w for t in made for w in lm_tokens(t))
+    training = docs(spark, list(enumerate(made))).coalesce(1)
+    top = maxent.most_frequent(maxent.word_counts(training))
+    assert 3 < len(top) <= 12 and all(counts[w] == c for w, c in top)
+    n, distinct = sum(counts.values()), len(counts)
+    lex = maxent.lexicon(top, n, distinct)
+    score = plain_model(made, lex)
+    tail, tail_distinct = n - sum(c for _, c in top), distinct - len(top)
+    for r in maxent.lm_scores(docs(spark, [*enumerate(made), (50, "w1 unseen w19"), (51, None)]), training).collect():
+        t = dict(enumerate(made)).get(r.doc_id, "w1 unseen w19" if r.doc_id == 50 else "")
+        rare = sum(math.log10((counts[w] + 0.5) / (tail + 0.5 * (tail_distinct + 1))) for w in lm_tokens(t) if w not in lex.number)
+        assert r.score == pytest.approx(score(t) + rare, rel=1e-4)
+    inside = sum(10 ** lex.log_inside[i] * math.exp(lex.bin_prior[lex.class_of[i], lex.bin_of[i]] + lex.log_prior[lex.class_of[i]]) for i in range(len(top)))
+    assert inside + math.exp(lex.log_prior[-1]) == pytest.approx(1, abs=1e-6)
+
+
 def test_language_model_with_rare_words_and_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(maxent, "FREQUENT", 2)
-    rows = docs(spark, [*ODD, (20, "a a a b b c unseen"), (21, "a b")])
+    rows = docs(spark, [*ODD, (20, "a a a b b c unseen"), (21, "a b")]).withColumn("row", F.lit("clash")).withColumn("word", F.lit(1))
     got = maxent.lm_scores(rows, docs(spark, [(1, "a a a b b c"), (2, "A B a")])).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(ODD) + 2 and by[20].n_known == 7 and by[21].n_known == 3 and by[1].n_tokens == 1
@@ -410,6 +494,26 @@ def test_html_keeps_heading_and_lead_and_mixed_templates(spark):
     assert "A small box." not in got[90] and got[90].count("word") == 200
 
 
+def test_html_in_linear_time_and_with_clashing_columns(spark):
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        pages = ["<div>" * n + "deep", "<div>x" * n, "<b>" * n + "<pre></pre>" * n + "end", "<p>" * n + "</b>" * n + "end", "<a " * n, "<b>" * n + "</div>" * n]
+        began = time.process_time()
+        for page in pages:
+            assert html.main_text(page, None) or page.startswith("<b>")
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] * 2.5
+    df = spark.createDataFrame([(1, "http://a.test/", PAGE, "x", 5)], "page_id long, url string, html string, path string, share int")
+    assert html.extract(df).collect()[0].text.startswith("T & u")
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_html_of_a_block_behind_text():
+    assert html.main_text("<body>one<nav><p>menu</p></nav>two<div class=ad>buy</div>three", None) == "one\ntwo\nthree"
+
+
 @needs_tables
 def test_html(spark):
     rows = [(1, "http://a.test/1", PAGE), (2, "http://a.test/2", PAGE.replace("One", "Uno")), (3, None, None), (4, "http://b.test", ""), (5, "http://b.test", "no markup at all"), (6, "x", "<p>" * 3000 + "deep"), (7, "http://c.test", "<div><p>1 < 2 & 3 <b")]
