@@ -42,6 +42,11 @@ def seed_of(*parts: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(1 << 31))
 
 
+def bar_code(c: Column) -> Column:
+    """Bar of the day from a compact time (yyyyMMddHHmmss): hour and minute."""
+    return F.substring(c, 9, 4)
+
+
 def linspace(lo: Column, hi: Column, n: int) -> Column:
     """n evenly spaced values, both ends included."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lo + i * (hi - lo) / (n - 1))

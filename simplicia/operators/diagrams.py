@@ -89,6 +89,19 @@ def fixed_vectors(dgm: DataFrame, key: str, lo: float, hi: float, bins: int = 24
     return curve.join(tents, key).join(s.select(key, scalars.alias("scalars")), key).select(key, F.concat("betti", "value", "scalars").alias("vector"))
 
 
+def vectors(dgm: DataFrame, key: str, method: str, bins: int = 20, levels: int = 3, k: int = 5) -> DataFrame:
+    """key, pos, v: a diagram as a vector by the name of the method (top_k, betti or landscape, the last two on a grid
+    of the diagram's own). An unknown name raises."""
+    if method == "top_k":
+        return top_k(dgm, key, k).select(key, (F.col("rank") - 1).cast("long").alias("pos"), F.col("persistence").alias("v"))
+    if method == "betti":
+        return betti_curve(dgm, key, own_grid(dgm, key, bins)).select(key, F.col("b").cast("long").alias("pos"), F.col("betti").cast("double").alias("v"))
+    if method == "landscape":
+        tents = landscape(dgm, key, own_grid(dgm, key, bins, births_only=True), levels)
+        return tents.select(key, (F.col("level") * bins + F.col("b")).cast("long").alias("pos"), F.col("value").alias("v"))
+    raise ValueError(f"no such vectorisation: {method}")
+
+
 def significant(dgm: DataFrame, threshold: float, method: str = "hard", eta: float = 50.0) -> DataFrame:
     """Bars above a threshold: topo by a logistic mask above a half, hard by persistence, stat by the distance to
     the diagonal."""

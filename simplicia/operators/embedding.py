@@ -74,6 +74,19 @@ def unit_sphere(cloud: DataFrame, key: str, *coordinates: str) -> DataFrame:
     return scaled.withColumns({c: F.when(F.col("_r") > 0, F.col(c) / F.col("_r")).otherwise(F.col(c)) for c in coordinates}).drop("_r")
 
 
+def per_channel_unit(df: DataFrame, key: str, *coordinates: str) -> DataFrame:
+    """Every coordinate as a z-score, then all scaled by the largest radius: a cloud inside the unit sphere whose
+    channels weigh alike."""
+    return unit_sphere(standardized(df, key, *coordinates), key, *coordinates)
+
+
+def cloud_status(cloud: DataFrame, key: str, *coordinates: str, least: int = 3) -> DataFrame:
+    """key, n_points (distinct, finite) and status of every cloud: ok, or too few points."""
+    n = cleaned(cloud, key, *coordinates).groupBy(key).agg(F.count("*").alias("n_points"))
+    counts = cloud.select(key).distinct().join(n, key, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
+    return counts.withColumn("status", F.when(F.col("n_points") >= least, "ok").otherwise("too few points"))
+
+
 def min_max(df: DataFrame, key: str, column: str) -> DataFrame:
     w = Window.partitionBy(key)
     lo, hi = F.min(column).over(w), F.max(column).over(w)

@@ -6,26 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from simplicia.functions.scalars import seed_of
+
 
 def purged_folds(ordered: DataFrame, splits: int, horizon: int, embargo: int) -> DataFrame:
     """k and role (train, test) of each row i of n: train [0, fold k - horizon), test [fold k + horizon + embargo,
-    + fold), fold = n // (splits + 1); folds with fewer than five training rows are left out. ordered: i, n."""
+    + fold), fold = n // (splits + 1); folds with fewer than five training rows are left out. Where a fold would have
+    fewer than two rows there is one split: all rows but the last train, the last one tests. ordered: i, n."""
     fold = F.floor(F.col("n") / (splits + 1))
     rows = ordered.select("*", F.explode(F.sequence(F.lit(1), F.lit(splits))).alias("k"))
     start = fold * F.col("k")
     role = F.when(F.col("i") < start - horizon, "train").when((F.col("i") >= start + horizon + embargo) & (F.col("i") < start + horizon + embargo + fold), "test")
-    return rows.withColumn("role", role).filter(F.col("role").isNotNull() & (fold >= 2) & (start - horizon >= 5))
+    single = F.when(F.col("k") == 1, F.when(F.col("i") == F.col("n") - 1, "test").otherwise("train"))
+    several = F.when(start - horizon >= 5, role)
+    return rows.withColumn("role", F.when(fold < 2, single).otherwise(several)).filter(F.col("role").isNotNull())
+
 
+def dealt_rank(df: DataFrame, key: str, id_: str, seed: int = 0, buckets: int = 256) -> DataFrame:
+    """df with rank (from 0, in the order of a seeded hash of the id) and size within each key. Ranks are counted in buckets
+    of the hash first and moved by the buckets before, so that a key of few values isn't sorted in one task."""
+    h = seed_of(F.lit(str(seed)), F.col(id_).cast("string"))
+    df = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / ((1 << 31) // buckets)))
+    counts = df.groupBy(key, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "size": F.sum("_n").over(Window.partitionBy(key))}).drop("_n")
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_b").orderBy("_h", id_)))
+    return ranked.join(counts, [key, "_b"]).withColumn("rank", F.col("_before") + F.col("_r") - 1).drop("_h", "_b", "_r", "_before")
 
-def stratified_fold(label: str, k: int, *tie: str) -> Column:
-    """Fold 0..k-1 with equal shares of each label, by a hash order with a tie-break."""
-    return F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(*tie)) - 1, F.lit(k))
 
+def stratified(df: DataFrame, label: str, id_: str, k: int, train_share: float, seed: int = 0) -> DataFrame:
+    """df with fold (0..k-1) and train (boolean), both with equal shares of each label, shuffled by the seed."""
+    ranked = dealt_rank(df, label, id_, seed)
+    return ranked.withColumns({"fold": F.pmod("rank", F.lit(k)), "train": F.col("rank") < F.floor(F.col("size") * train_share)}).drop("rank", "size")
 
-def stratified_split(label: str, train_share: float, *tie: str) -> Column:
-    """True for the training part, the same share of every label."""
-    w = Window.partitionBy(label)
-    return F.row_number().over(w.orderBy(*tie)) <= F.floor(F.count("*").over(w) * train_share)
+
+def group_fold(group: Column, k: int, seed: int = 0) -> Column:
+    """Fold 0..k-1 of a group: all its rows share it, whatever partition they lie in."""
+    return F.pmod(seed_of(F.lit(str(seed)), group.cast("string")), F.lit(k))
 
 
 def average_rank(value: str, *by: str) -> Column:
@@ -74,11 +91,18 @@ def expanding_selection(panel: DataFrame, months: DataFrame, features: list[str]
     return selected(spearman(long, ["at", "feature"], "x", label), ["at"], k).withColumnRenamed("at", "month")
 
 
-def expanding_ic(panel: DataFrame, chosen: DataFrame, id_: str, features: list[str], label: str, least: int) -> DataFrame:
-    """month and ic of the score that weights the chosen features by their past ic (raw, unstandardised)."""
+def factor_scores(panel: DataFrame, chosen: DataFrame, id_: str, features: list[str], label: str) -> DataFrame:
+    """month, id, label and score: the chosen features (raw, unstandardised) weighted by their past ic. A month without
+    choice, and a sum of weights of zero, give no rows."""
     long = long_features(panel, ["month", id_, label], features)
-    score = long.join(chosen.select("month", "feature", F.col("ic").alias("w")), ["month", "feature"]).groupBy("month", id_, label).agg(F.sum(F.col("x") * F.col("w")).alias("score"))
-    return spearman(score, ["month"], "score", label, least)
+    weights = chosen.select("month", "feature", F.col("ic").alias("w"))
+    used = weights.groupBy("month").agg(F.sum(F.abs("w")).alias("all")).filter("all >= 1e-12").select("month")
+    return long.join(weights, ["month", "feature"]).join(used, "month", "left_semi").groupBy("month", id_, label).agg(F.sum(F.col("x") * F.col("w")).alias("score"))
+
+
+def expanding_ic(panel: DataFrame, chosen: DataFrame, id_: str, features: list[str], label: str, least: int) -> DataFrame:
+    """month and ic of factor_scores."""
+    return spearman(factor_scores(panel, chosen, id_, features, label), ["month"], "score", label, least)
 
 
 def newey_west(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -127,13 +151,11 @@ def paired_pvalues(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
 
 def residual_1(df: DataFrame, keys: list[str], y: str, x: str, least: int = 6) -> DataFrame:
-    """Residual of y on one factor with intercept within each key, by two aggregates joined back."""
+    """Residual of y on one factor with intercept within each key, by an aggregate joined back."""
     good = F.col(x).isNotNull() & F.col(y).isNotNull()
-    w = Window.partitionBy(*keys)
-    yy, xx = F.when(good, F.col(y)), F.when(good, F.col(x))
-    slope = F.regr_slope(yy, xx).over(w)
-    icept = F.regr_intercept(yy, xx).over(w)
-    return df.withColumn("residual", F.when(good & (F.count(yy).over(w) >= least), F.col(y) - icept - slope * F.col(x)))
+    fit = df.filter(good).groupBy(*keys).agg(F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_icept"), F.count("*").alias("_n"))
+    value = F.when(good & (F.col("_n") >= least), F.col(y) - F.col("_icept") - F.col("_slope") * F.col(x))
+    return df.join(fit, keys, "left").withColumn("residual", value).drop("_slope", "_icept", "_n")
 
 
 def residuals(df: DataFrame, key: str, id_: str, y: str, factors: list[str]) -> DataFrame:
@@ -168,8 +190,8 @@ def residuals(df: DataFrame, key: str, id_: str, y: str, factors: list[str]) ->
 
 def permuted(df: DataFrame, key: str, id_: str, value: str, seeds: int) -> DataFrame:
     """seed, key, id and the value of another row of the same key, one random permutation for each seed."""
-    rows = df.select(key, id_, value).crossJoin(df.sparkSession.range(seeds).select(F.col("id").alias("seed")))
-    a, b = Window.partitionBy("seed", key).orderBy(id_), Window.partitionBy("seed", key).orderBy(F.xxhash64("seed", id_), id_)
+    rows = df.select(key, id_, value, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
+    a, b = Window.partitionBy("seed", key).orderBy(id_), Window.partitionBy("seed", key).orderBy(seed_of(F.col("seed").cast("string"), F.col(id_).cast("string")), id_)
     n = rows.select("seed", key, id_, F.row_number().over(a).alias("r"))
     m = rows.select("seed", key, F.col(value), F.row_number().over(b).alias("r"))
     return n.join(m, ["seed", key, "r"]).select("seed", key, id_, value)

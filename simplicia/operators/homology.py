@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from simplicia.functions.scalars import seed_of
+
 BARS = "array<struct<dim:int,birth:double,death:double>>"
 
 
@@ -44,8 +46,10 @@ def persistence(clouds: DataFrame, maxdim: int = 1, points: str = "points", prec
 
 
 def diagram(persisted: DataFrame, *key: str, dim: int | None = None, finite: bool = True) -> DataFrame:
-    """Long diagram: key, dim, birth, death."""
-    out = persisted.select(*key, F.explode("bars").alias("b")).select(*key, "b.dim", "b.birth", "b.death")
+    """Long diagram: key, dim, birth, death. A cloud that the kernel couldn't do raises an error that names it, as it would
+    otherwise pass for an empty diagram; filter on status before to leave such clouds out knowingly."""
+    failed = F.raise_error(F.concat(F.lit("cloud "), F.concat_ws(", ", *(F.col(k).cast("string") for k in key)), F.lit(": "), F.col("status")))
+    out = persisted.select(*key, F.explode(F.when(F.col("status") == "ok", F.col("bars")).otherwise(failed)).alias("b")).select(*key, "b.dim", "b.birth", "b.death")
     if dim is not None:
         out = out.filter(F.col("dim") == dim)
     return out.filter(F.col("death") < float("inf")) if finite else out
@@ -106,6 +110,6 @@ def betti_at(t: Column | float) -> Column:
 
 def subsampled(cloud: DataFrame, key: str, point: str, ratio: float, seed: int = 0, least: int = 30) -> DataFrame:
     """max(least, floor(n * ratio)) points of every cloud, drawn by a seeded hash: exact in size, without replacement."""
-    w = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), F.col(point)), F.col(point))
+    w = Window.partitionBy(key).orderBy(seed_of(F.lit(str(seed)), F.col(point).cast("string")), F.col(point))
     size = F.greatest(F.lit(least), F.floor(F.count("*").over(Window.partitionBy(key)) * ratio))
     return cloud.withColumns({"_r": F.row_number().over(w), "_k": size}).filter("_r <= _k").drop("_r", "_k")

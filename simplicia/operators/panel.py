@@ -27,10 +27,35 @@ def restricted(panel: DataFrame, entities: DataFrame, entity: str) -> DataFrame:
     return panel.join(entities.select(entity), entity, "left_semi")
 
 
+def column_coverage(panel: DataFrame, columns: list[str], share: float = 0.6) -> DataFrame:
+    """column, coverage (share of rows with a value; 0 without rows) and kept, whether that reaches `share`: one aggregate."""
+    shares = panel.agg(*(F.coalesce(F.avg(F.col(c).isNotNull().cast("int")), F.lit(0.0)).alias(c) for c in columns)).unpivot([], columns, "column", "coverage")
+    return shares.withColumn("kept", (F.col("coverage") >= share).cast("int"))
+
+
 def covered_columns(panel: DataFrame, columns: list[str], share: float = 0.6) -> list[str]:
-    """Columns with at least this share of values: one aggregate, a row of shares to the driver."""
-    row = panel.agg(*(F.avg(F.col(c).isNotNull().cast("int")).alias(c) for c in columns)).collect()[0]
-    return [c for c in columns if (row[c] or 0) >= share]
+    """The kept columns of column_coverage, a row for each of them to the driver."""
+    kept = {r["column"] for r in column_coverage(panel, columns, share).filter("kept = 1").collect()}
+    return [c for c in columns if c in kept]
+
+
+def any_present(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a value in at least one of the columns."""
+    return df.filter(F.coalesce(*columns).isNotNull())
+
+
+def complete(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a finite value in all of the columns."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return df.filter(ok)
+
+
+def median_imputed(df: DataFrame, *columns: str) -> DataFrame:
+    """Missing values replaced by the column's median over all rows, 0 where a column has no value: one aggregate."""
+    medians = df.agg(*(F.coalesce(F.median(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in columns)).collect()[0]
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in columns})
 
 
 def missing_profile(panel: DataFrame, columns: list[str]) -> DataFrame:

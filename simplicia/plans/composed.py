@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simplicia.operators import classic, diagrams, embedding, evaluate, generators, homology, shape
-from simplicia.plans.evaluation import FEATURES, LONG, MONTHLY, monthly, months_of, rank_sql
+from simplicia.plans.evaluation import FEATURES, LONG, MONTHLY, _expanding_sql, monthly, months_of, rank_sql
 from simplicia.plans.series import EMB, arrays, indexed, pairs, rounded, takens
 from simplicia.plans.shapes import as_clouds, h0, persisted
 
@@ -31,9 +31,8 @@ def loop_vectors(spark, sf_dir):
 
 
 def topological_vectors(spark, sf_dir):
-    """The 25 numbers of a drawn part of every cloud (the sampling operator), scaled to the unit sphere."""
-    part = homology.subsampled(takens(spark, sf_dir), "user_id", "i", 0.3, least=16)
-    got = homology.persistence(as_clouds(embedding.unit_sphere(part, "user_id", "x0", "x1", "x2")), 2, keep=("user_id",))
+    """The 25 numbers of every cloud, scaled to the unit sphere."""
+    got = homology.persistence(as_clouds(embedding.unit_sphere(takens(spark, sf_dir), "user_id", "x0", "x1", "x2")), 2, keep=("user_id",))
     v = shape.topological_vector(got, "user_id", shape.circle_reference())
     return v.select("user_id", F.posexplode("vector").alias("pos", "v")).select("user_id", "pos", F.round("v", 6).alias("v"))
 
@@ -129,6 +128,10 @@ def topk_scan(spark, sf_dir):
     return rounded(union(parts), "k", "n")
 
 
+#: The expanding selection of 5 features once, cut at each k.
+TOPK_SCAN_SQL = _expanding_sql(f", sc AS (SELECT u.k, l.month, l.supp, l.y, sum(l.x * s.ic) AS score FROM long l JOIN sel s USING (month, feature) JOIN (SELECT unnest([1, 2, 3, 5]) AS k) u ON s.rank <= u.k GROUP BY 1, 2, 3, 4), ic AS {rank_sql('sc', 'k, month', 'score', 'y', 10)} SELECT k, round(avg(ic), 6) AS ic, count(ic) AS n FROM ic GROUP BY 1", 5)
+
+
 def top_by_auc(spark, sf_dir):
     """Features by how far their area under the curve is from a half, for labels above the month's median."""
     p = monthly(spark, sf_dir).filter("y IS NOT NULL")
@@ -157,6 +160,6 @@ QUERIES = {
     "noise_robustness": (noise_robustness, None),
     "embedding_selection": (embedding_selection, None),
     "ic_report": (ic_report, IC_REPORT_SQL),
-    "topk_scan": (topk_scan, None),
+    "topk_scan": (topk_scan, TOPK_SCAN_SQL),
     "top_by_auc": (top_by_auc, TOP_AUC_SQL),
 }

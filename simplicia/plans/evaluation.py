@@ -57,7 +57,30 @@ SELECT user_id, k, role, count(*) AS rows, min(i) AS first, max(i) AS last FROM
 
 def strat_folds(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings", "vec_id", "label")
-    return e.select("vec_id", "label", evaluate.stratified_fold("label", 5, "vec_id").alias("fold"), evaluate.stratified_split("label", 0.7, "vec_id").cast("int").alias("train"))
+    return evaluate.stratified(e, "label", "vec_id", 5, 0.7, seed=3).select("vec_id", "label", "fold", F.col("train").cast("int").alias("train"))
+
+
+def seed_sql(seed, id_: str) -> str:
+    """seed_of in DuckDB."""
+    return f"(('0x' || md5({seed} || '|' || {id_})[1:8])::BIGINT % 2147483648)"
+
+
+def group_folds(spark, sf_dir):
+    """Lines by the fold of their order: rows, orders and lines of each fold."""
+    li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").withColumn("fold", evaluate.group_fold(F.col("l_orderkey"), 5, seed=1))
+    return rounded(li.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("groups"), F.sum("l_quantity").alias("quantity")), "fold", "n", "groups")
+
+
+def single_split(spark, sf_dir):
+    """Folds of series too short for several: one split each."""
+    s = indexed(spark, sf_dir).filter("i < 7 - pmod(user_id, 3)").withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    return evaluate.purged_folds(s, 4, 1, 0).select("user_id", "i", "k", "role")
+
+
+SINGLE_SQL = f"""
+WITH {S}, f AS (SELECT user_id, i, count(*) OVER (PARTITION BY user_id) AS n FROM s WHERE i < 7 - user_id % 3), k AS (SELECT *, n // 5 AS fold, k FROM f, unnest([1, 2, 3, 4]) AS u(k)),
+r AS (SELECT *, CASE WHEN fold < 2 THEN CASE WHEN k = 1 THEN CASE WHEN i = n - 1 THEN 'test' ELSE 'train' END END WHEN fold * k - 1 >= 5 THEN CASE WHEN i < fold * k - 1 THEN 'train' WHEN i >= fold * k + 1 AND i < fold * k + 1 + fold THEN 'test' END END AS role FROM k)
+SELECT user_id, i, k, role FROM r WHERE role IS NOT NULL"""
 
 
 def auc(spark, sf_dir):
@@ -79,13 +102,13 @@ def expanding(spark, sf_dir):
     return rounded(evaluate.expanding_selection(p, months_of(p), FEATURES, "y", 3, 6, 200), "month", "feature", "rank").drop("n")
 
 
-def _expanding_sql(tail: str) -> str:
+def _expanding_sql(tail: str, k: int = 3) -> str:
     return f"""
 WITH {MONTHLY}, mo AS (SELECT month, row_number() OVER (ORDER BY month) AS number FROM (SELECT DISTINCT month FROM m)), {LONG},
 past AS (SELECT a.month AS at_, l.feature, l.x, l.y, l.month, l.supp FROM mo a JOIN mo b ON b.number < a.number JOIN long l ON l.month = b.month),
 enough AS (SELECT at_ FROM past GROUP BY 1 HAVING count(*) / 5 >= 200 AND count(DISTINCT month) >= 6), p2 AS (SELECT * FROM past WHERE at_ IN (SELECT at_ FROM enough)),
 ics AS {rank_sql('p2', 'at_, feature', 'x', 'y', 10)},
-sel AS (SELECT at_ AS month, feature, ic, row_number() OVER (PARTITION BY at_ ORDER BY abs(ic) DESC, feature) AS rank FROM ics WHERE ic IS NOT NULL QUALIFY rank <= 3)
+sel AS (SELECT at_ AS month, feature, ic, row_number() OVER (PARTITION BY at_ ORDER BY abs(ic) DESC, feature) AS rank FROM ics WHERE ic IS NOT NULL QUALIFY rank <= {k})
 {tail}"""
 
 
@@ -98,6 +121,13 @@ def expanding_ic(spark, sf_dir):
 EXPANDING_IC_SQL = _expanding_sql(f", sc AS (SELECT l.month, l.supp, l.y, sum(l.x * s.ic) AS score FROM long l JOIN sel s USING (month, feature) GROUP BY 1, 2, 3) SELECT month, n, round(ic, 6) AS ic FROM {rank_sql('sc', 'month', 'score', 'y', 10)}")
 
 
+def expanding_factor(spark, sf_dir):
+    """The factor of each (supplier, month): the features chosen on all earlier months, weighted by their past ic."""
+    p = monthly(spark, sf_dir)
+    chosen = evaluate.expanding_selection(p, months_of(p), FEATURES, "y", 3, 6, 200)
+    return rounded(evaluate.factor_scores(p, chosen, "supp", FEATURES, "y").select("month", "supp", "score"), "month", "supp")
+
+
 def _monthly_ics(spark, sf_dir) -> DataFrame:
     long = evaluate.long_features(monthly(spark, sf_dir), ["month", "y"], FEATURES)
     return evaluate.spearman(long, ["feature", "month"], "x", "y")
@@ -150,13 +180,45 @@ def residual_k(spark, sf_dir):
     return r.filter("residual IS NOT NULL").select("supp", "month", F.round("residual", 4).alias("residual"))
 
 
+#: Least squares on three factors by regressing one factor after the other out of the label and the later factors.
+RESIDUAL_MANY_SQL = f"""
+WITH {MONTHLY}, g AS (SELECT supp, month, y, f_qty AS a, f_disc AS b, f_tax AS c FROM m WHERE y IS NOT NULL QUALIFY count(*) OVER (PARTITION BY month) >= 8),
+r1 AS (SELECT supp, month, b - regr_intercept(b, a) OVER w - regr_slope(b, a) OVER w * a AS b, c - regr_intercept(c, a) OVER w - regr_slope(c, a) OVER w * a AS c, y - regr_intercept(y, a) OVER w - regr_slope(y, a) OVER w * a AS y FROM g WINDOW w AS (PARTITION BY month)),
+r2 AS (SELECT supp, month, c - regr_slope(c, b) OVER w * (b - avg(b) OVER w) - avg(c) OVER w AS c, y - regr_slope(y, b) OVER w * (b - avg(b) OVER w) - avg(y) OVER w AS y FROM r1 WINDOW w AS (PARTITION BY month))
+SELECT supp, month, round(y - regr_slope(y, c) OVER w * (c - avg(c) OVER w) - avg(y) OVER w, 4) AS residual FROM r2 WINDOW w AS (PARTITION BY month)"""
+
+
+def permutation_residual(spark, sf_dir):
+    """Two-sided share of 200 within-month permutations of a feature whose residual on another one has a mean rank
+    correlation with the label at least as far from 0 as the real one's. It reads as a p-value without correction."""
+    p = monthly(spark, sf_dir).filter("y IS NOT NULL").select("supp", "month", "f_qty", "f_disc", "y")
+    mean_ic = lambda df, keys: evaluate.spearman(evaluate.residual_1(df, [*keys, "month"], "f_qty", "f_disc"), [*keys, "month"], "residual", "y").groupBy(*keys).agg(F.round(F.avg("ic"), 9).alias("ic"))
+    real = mean_ic(p.withColumn("seed", F.lit(-1)), ["seed"]).select(F.lit(1).alias("one"), F.col("ic").alias("real"))
+    shuffled = evaluate.permuted(p, "month", "supp", "f_qty", 200).join(p.drop("f_qty"), ["month", "supp"])
+    null = mean_ic(shuffled, ["seed"]).withColumn("one", F.lit(1)).join(real, "one")
+    return rounded(null.agg(F.avg((F.abs("ic") >= F.abs("real")).cast("int")).alias("p"), F.count("*").alias("n")), "n")
+
+
+def _residual_ic(source: str, keys: str) -> str:
+    """Mean monthly rank correlation of the label with the residual of f_qty on f_disc."""
+    r = f"(SELECT *, f_qty - regr_intercept(f_qty, f_disc) OVER w - regr_slope(f_qty, f_disc) OVER w * f_disc AS r FROM {source} WINDOW w AS (PARTITION BY {keys}, month) QUALIFY count(*) OVER w >= 6)"
+    return f"(SELECT {keys}, round(avg(ic), 9) AS ic FROM {rank_sql(r, keys + ', month', 'r', 'y', 10)} GROUP BY {keys})"
+
+
+PERMUTATION_SQL = f"""
+WITH {MONTHLY}, g AS (SELECT -1 AS seed, supp, month, f_qty, f_disc, y FROM m WHERE y IS NOT NULL), x AS (SELECT g.supp, g.month, g.f_qty, g.f_disc, g.y, u.seed FROM g, unnest(range(0, 200)) AS u(seed)),
+a AS (SELECT *, row_number() OVER (PARTITION BY seed, month ORDER BY supp) AS r FROM x), b AS (SELECT seed, month, f_qty, row_number() OVER (PARTITION BY seed, month ORDER BY {seed_sql('seed', 'supp')}, supp) AS r FROM x),
+p AS (SELECT a.seed, a.month, a.supp, b.f_qty, a.f_disc, a.y FROM a JOIN b USING (seed, month, r)), null_ AS {_residual_ic('p', 'seed')}, real_ AS {_residual_ic('g', 'seed')}
+SELECT round(avg((abs(n.ic) >= abs(r.ic))::INT), 6) AS p, count(*) AS n FROM null_ n, real_ r"""
+
+
 def permutation(spark, sf_dir):
     """Two-sided share of 50 within-month permutations of a feature whose mean rank correlation beats the real one."""
     p = monthly(spark, sf_dir).filter("y IS NOT NULL").select("supp", "month", "f_qty", "y")
     real = evaluate.spearman(p, ["month"], "f_qty", "y").agg(F.avg("ic").alias("real"))
     shuffled = evaluate.permuted(p, "month", "supp", "f_qty", 50).join(p.select("month", "supp", "y"), ["month", "supp"])
     null = evaluate.spearman(shuffled, ["seed", "month"], "f_qty", "y").groupBy("seed").agg(F.avg("ic").alias("ic"))
-    return rounded(null.crossJoin(real).agg(F.avg((F.abs("ic") >= F.abs("real")).cast("int")).alias("p"), F.count("*").alias("n")))
+    return rounded(null.withColumn("one", F.lit(1)).join(real.withColumn("one", F.lit(1)), "one").agg(F.avg((F.abs("ic") >= F.abs("real")).cast("int")).alias("p"), F.count("*").alias("n")))
 
 
 def composite(spark, sf_dir):
@@ -200,17 +262,21 @@ SELECT round(sum(tp) / sum(t), 6) AS accuracy, round(avg(2 * tp / (t + q)), 6) A
 QUERIES = {
     "rank_ic": (rank_ic, f"WITH {MONTHLY}, {LONG} SELECT month, feature, n, round(ic, 6) AS ic FROM {rank_sql('long', 'month, feature', 'x', 'y', 10)}"),
     "purged_folds": (folds, FOLDS_SQL),
-    "strat_folds": (strat_folds, "WITH r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT vec_id, label, (r - 1) % 5 AS fold, (r <= floor(n * 0.7))::INT AS train FROM r"),
+    "group_folds": (group_folds, f"WITH g AS (SELECT *, {seed_sql("'1'", 'l_orderkey')} % 5 AS fold FROM lineitem) SELECT fold, count(*) AS n, count(DISTINCT l_orderkey) AS groups, round(sum(l_quantity), 6) AS quantity FROM g GROUP BY 1"),
+    "single_split": (single_split, SINGLE_SQL),
+    "strat_folds": (strat_folds, f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {seed_sql("'3'", 'vec_id')}, vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT vec_id, label, (r - 1) % 5 AS fold, (r <= floor(n * 0.7))::INT AS train FROM r"),
     "auc": (auc, AUC_SQL),
     "expanding_topk": (expanding, _expanding_sql("SELECT month, feature, rank, round(ic, 6) AS ic FROM sel")),
     "expanding_ic": (expanding_ic, EXPANDING_IC_SQL),
+    "expanding_factor": (expanding_factor, _expanding_sql(", u AS (SELECT month FROM sel GROUP BY 1 HAVING sum(abs(ic)) >= 1e-12) SELECT l.month, l.supp, round(sum(l.x * s.ic), 6) AS score FROM long l JOIN sel s USING (month, feature) WHERE l.month IN (SELECT month FROM u) GROUP BY 1, 2")),
     "newey_west": (nw, NW_SQL),
     "ic_summary": (lambda s, d: rounded(evaluate.ic_summary(_monthly_ics(s, d), ["feature"]), "feature", "n"), SUMMARY_SQL),
     "paired_t": (paired, PAIRED_SQL),
     "paired_pvalues": (pvalues, None),
     "residual_one": (residual_1, RESIDUAL_SQL),
-    "residual_many": (residual_k, None),
+    "residual_many": (residual_k, RESIDUAL_MANY_SQL),
     "permutation_null": (permutation, None),
+    "permutation_residual": (permutation_residual, PERMUTATION_SQL),
     "composite": (composite, f"WITH {MONTHLY} SELECT supp, month, round(({_Z}) / 5, 6) AS score FROM m WINDOW w AS (PARTITION BY month)"),
     "separability": (separability, SEPARABILITY_SQL),
     "confusion": (confusion, "SELECT o_orderstatus, CASE WHEN o_totalprice > 150000 THEN 'F' ELSE 'O' END AS guess, count(*) AS n FROM orders GROUP BY 1, 2"),

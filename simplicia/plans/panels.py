@@ -186,21 +186,30 @@ def seeds(spark, sf_dir):
     return o.select("o_orderkey", scalars.seed_of(F.col("o_orderstatus"), F.col("o_orderkey").cast("string")).alias("seed"))
 
 
-def subsample_scan(spark, sf_dir):
-    """Least subsample ratio at which the mean value of a user stays near that of the whole series, and whether the
-    gap never grows with the ratio."""
-    from simplicia.operators.homology import subsampled
+RATIOS, SEEDS = (20, 40, 60, 80, 100), 3
 
-    s = embedding.indexed(events(spark, sf_dir), "user_id", ORDER, "x")
+
+def subsample_scan(spark, sf_dir):
+    """A grid of subsample ratios and seeds, exact in size: the least ratio at which the mean value of a user stays near
+    that of the whole series, averaged over the seeds, and whether the gap never grows with the ratio."""
+    s = embedding.indexed(events(spark, sf_dir), "user_id", ORDER, "x").withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    grid = F.array(*(F.struct(F.lit(r).alias("ratio"), F.lit(k).alias("seed")) for r in RATIOS for k in range(SEEDS)))
+    drawn = s.withColumn("g", F.explode(grid)).select("user_id", "i", "x", "n", "g.ratio", "g.seed")
+    order = Window.partitionBy("user_id", "ratio", "seed").orderBy(scalars.seed_of(F.col("seed").cast("string"), F.col("i").cast("string")), "i")
+    part = drawn.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.greatest(F.lit(10), F.floor(F.col("n") * F.col("ratio") / 100)))
     full = s.groupBy("user_id").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-    rows = None
-    for ratio in (20, 40, 60, 80, 100):
-        part = subsampled(s, "user_id", "i", ratio / 100, least=10).groupBy("user_id").agg(F.avg("x").alias("m")).withColumn("ratio", F.lit(ratio))
-        rows = part if rows is None else rows.unionByName(part)
-    scan = rows.join(full, "user_id").withColumn("gap", F.abs(F.col("m") - F.col("mean")))
+    each = part.groupBy("user_id", "ratio", "seed").agg(F.avg("x").alias("m")).join(full, "user_id")
+    scan = each.groupBy("user_id", "ratio").agg(F.round(F.avg(F.abs(F.col("m") - F.col("mean"))), 6).alias("gap"), F.first("sd").alias("sd"))
     return panel.least_ratio(scan, "user_id", "ratio", "gap", "sd", 0.1).join(panel.monotone(scan, "user_id", "ratio", "gap"), "user_id")
 
 
+SUBSAMPLE_SQL = f"""
+WITH {S}, d AS (SELECT user_id, i, x, n, ratio, seed, row_number() OVER (PARTITION BY user_id, ratio, seed ORDER BY ('0x' || md5(seed || '|' || i)[1:8])::BIGINT % 2147483648, i) AS r FROM s, unnest({list(RATIOS)}) AS a(ratio), unnest(range(0, {SEEDS})) AS b(seed)),
+e AS (SELECT user_id, ratio, seed, avg(x) AS m FROM d WHERE r <= greatest(10, floor(n * ratio / 100)) GROUP BY 1, 2, 3), f AS (SELECT user_id, avg(x) AS mean, stddev_pop(x) AS sd FROM s GROUP BY 1),
+g AS (SELECT user_id, ratio, round(avg(abs(m - mean)), 6) AS gap, any_value(sd) AS sd FROM e JOIN f USING (user_id) GROUP BY 1, 2), h AS (SELECT *, gap - lag(gap) OVER (PARTITION BY user_id ORDER BY ratio) AS step FROM g)
+SELECT user_id, coalesce(min(ratio) FILTER (WHERE gap < 0.1 * sd), 100) AS min_ratio, coalesce(max(step), 0) <= 0 AS monotone FROM h GROUP BY 1"""
+
+
 def missing(spark, sf_dir):
     return panel.missing_profile(daily(spark, sf_dir), ["buy", "sell", "other", "price"]).select("column", F.round("missing", 6).alias("missing"))
 
@@ -227,7 +236,7 @@ QUERIES = {
     "clean_numbers": (cleaned_props, CLEAN_SQL),
     "histogram": (histogram, "WITH w AS (SELECT event_type, CASE WHEN max(value) OVER w > min(value) OVER w THEN least(floor((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 20), 19) ELSE 0 END::INT AS bin FROM events WINDOW w AS (PARTITION BY event_type)) SELECT event_type, bin, count(*) AS n FROM w GROUP BY 1, 2"),
     "seeds": (seeds, "SELECT o_orderkey, ('0x' || md5(o_orderstatus || '|' || o_orderkey)[1:8])::BIGINT % 2147483648 AS seed FROM orders"),
-    "subsample_scan": (subsample_scan, None),
+    "subsample_scan": (subsample_scan, SUBSAMPLE_SQL),
     "missing_profile": (missing, f"WITH {DAILY} SELECT 'buy' AS column, round(avg((buy IS NULL)::INT), 6) AS missing FROM daily UNION ALL SELECT 'sell', round(avg((sell IS NULL)::INT), 6) FROM daily UNION ALL SELECT 'other', round(avg((other IS NULL)::INT), 6) FROM daily UNION ALL SELECT 'price', round(avg((price IS NULL)::INT), 6) FROM daily"),
     "cumulative": (cumulative, f"WITH {S} SELECT user_id, i, round(sum(x) OVER w, 6) AS total, round(x - lag(x) OVER w, 6) AS diff FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)"),
 }

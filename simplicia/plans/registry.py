@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from simplicia.plans import composed, evaluation, learning, panels, series, shapes
+from simplicia.plans import bundles, composed, evaluation, learning, panels, series, shapes
 
-_MODULES = (series, shapes, panels, evaluation, learning, composed)
+_MODULES = (series, shapes, panels, evaluation, learning, composed, bundles)
 
 
 def queries() -> dict:

@@ -97,18 +97,24 @@ SIGNIFICANT_SQL = f"""WITH {TREE}, k AS (SELECT 'topo' AS method, * FROM h0 WHER
 SELECT user_id, method, count(*) AS n, round(sum(death), 6) AS total FROM k GROUP BY 1, 2"""
 
 
+def by_dimension(got: DataFrame) -> DataFrame:
+    """Bars of every cloud by dimension: their number, longest and summed length; and the kernel's status, with a row
+    without numbers for a cloud that it couldn't do."""
+    size = F.col("death") - F.col("birth")
+    ok = homology.diagram(got.filter("status = 'ok'"), "user_id").groupBy("user_id", "dim").agg(F.count("*").alias("n"), F.round(F.max(size), 6).alias("longest"), F.round(F.sum(size), 6).alias("total"))
+    failed = got.filter("status <> 'ok'").select("user_id", "status")
+    return ok.withColumn("status", F.lit("ok")).unionByName(failed, allowMissingColumns=True)
+
+
 def bars(spark, sf_dir, maxdim: int, m: int = M):
-    """Bars of every cloud by dimension: their number, longest and summed length, and the kernel's status."""
-    got = persisted(spark, sf_dir, maxdim, m)
-    long = homology.diagram(got, "user_id").groupBy("user_id", "dim").agg(F.count("*").alias("n"), F.round(F.max(F.col("death") - F.col("birth")), 6).alias("longest"), F.round(F.sum(F.col("death") - F.col("birth")), 6).alias("total"))
-    return long
+    return by_dimension(persisted(spark, sf_dir, maxdim, m))
 
 
 def weighted_h1(spark, sf_dir):
     p = pairs(spark, sf_dir)
     edges = homology.weighted_edges(p, homology.dtm_weights(p, "user_id"), "user_id")
     got = homology.persistence(homology.as_matrices(edges, "user_id"), 1, precomputed=True, keep=("user_id",))
-    return homology.diagram(got, "user_id").groupBy("user_id", "dim").agg(F.count("*").alias("n"), F.round(F.max(F.col("death") - F.col("birth")), 6).alias("longest"))
+    return by_dimension(got)
 
 
 def distances_to_half(spark, sf_dir):
@@ -166,11 +172,8 @@ QUERIES = {
 
 
 def h2_features(spark, sf_dir):
-    """Bars up to H2 of a drawn third of the points of every cloud (the sampling operator; H2 of whole clouds is a
-    matter of their size)."""
-    part = homology.subsampled(takens(spark, sf_dir), "user_id", "i", 0.34, least=16)
-    got = homology.diagram(homology.persistence(as_clouds(part), 2, keep=("user_id",)), "user_id")
-    return got.groupBy("user_id", "dim").agg(F.count("*").alias("n"), F.round(F.max(F.col("death") - F.col("birth")), 6).alias("longest"))
+    """Bars up to H2 of every whole cloud."""
+    return bars(spark, sf_dir, 2)
 
 
 QUERIES["h2_features"] = (h2_features, None)
