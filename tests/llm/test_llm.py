@@ -71,6 +71,58 @@ def test_quality_of_few_and_no_rows(spark):
     assert (9, True) in got and (2, False) in got
 
 
+def plain_estimate(x):
+    """The minimum-covariance-determinant estimate of rows by plain numpy: mean, inverse covariance and limit."""
+    import math
+
+    n, p = x.shape
+    spread = np.array([e for _, e in quality.FEATURES.values()])
+    at = lambda v, q: np.sort(v, axis=0)[max(0, math.ceil(q * len(v)) - 1)]
+    low, middle, high = (at(x, q) for q in (0.25, 0.5, 0.75))
+    scale = np.sqrt(((high - low) / 1.349) ** 2 + spread**2)
+    found = []
+    for k, mu in enumerate((middle, low, high)):
+        inverse, was = np.diag(1 / scale**2), math.inf
+        for _ in range(quality.MOST_STEPS):
+            d2 = np.einsum("ij,jk,ik->i", x - mu, inverse, x - mu)
+            near = x[d2 <= at(d2, quality.SHARE)]
+            mu = near.mean(0)
+            c = quality.shrunk(len(near), np.cov(near.T, bias=True))
+            inverse, det = np.linalg.inv(c + 1e-9 * np.eye(p)), np.linalg.slogdet(c + 1e-9 * np.eye(p))[1]
+            if det >= was - 1e-3:
+                break
+            was = det
+        found.append((det, k, mu, inverse))
+    _, _, mu, inverse = min(found, key=lambda f: (round(f[0], 6), f[1]))
+    d = np.sqrt(np.einsum("ij,jk,ik->i", x - mu, inverse, x - mu))
+    return d**2, max(quality.GAUSSIAN, (at(d, 0.5) + quality.REACH * (at(d, 0.75) - at(d, 0.5))) ** 2)
+
+
+@needs_tables
+def test_quality_verdicts_against_plain_numpy(spark):
+    sf = SF.replace("0.001", "0.01")
+    df = spark.read.parquet(f"{sf}/documents.parquet").filter("lang = 'en'").withColumn("source", F.lit("one"))
+    rows = {r.doc_id: np.array([r[c] for c in quality.X]) for r in quality.vectors(df).filter("not base_failed").collect()}
+    got = {r.doc_id: r for r in quality.judged(df).collect()}
+    ids = sorted(rows)
+    d2, limit = plain_estimate(np.stack([rows[i] for i in ids]))
+    assert len(ids) > 150
+    assert all(got[i].distance2 == pytest.approx(d, rel=0.05, abs=0.05) for i, d in zip(ids, d2, strict=True))
+    assert all(got[i].kept == (d <= limit) for i, d in zip(ids, d2, strict=True) if abs(d - limit) > 0.1 * limit)
+    assert 0 < sum(not got[i].kept for i in ids) < 0.2 * len(ids)
+
+
+def test_quality_finds_the_right_mode_and_takes_null_groups(spark):
+    """A third of a group lies far off to one side; the estimate is that of the others. Null language and source."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(2, 9))) for _ in range(400)]
+    good = [" ".join(rng.choice(words, 120)) for _ in range(140)]
+    bad = [" ".join(w.upper() + "#&" for w in rng.choice(words, 120)) for _ in range(40)]
+    rows = [(i, t, None, None) for i, t in enumerate(good + bad)]
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] for i in range(140)) and not any(got[i] for i in range(140, 180))
+
+
 # licenses
 
 
