@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.llm.common import chunked, crc_mod5, raw_texts, sliced, stored, table, words_of
+from simplicia.llm.common import chunked, crc_mod5, least_count, raw_texts, sliced, stored, table, words_of
 
 #: Production parameters: words in the broadcast, classes, bins of a class, rows of each weight matrix, tokens of an
 #: update, step, epochs.
@@ -74,15 +74,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, bound: int | None = None) -> list[tuple[bytes, int]]:
-    """The words from the lowest count on at which no more than `bound` words are left, most frequent first. The
-    limit is found on a histogram of a few hundred steps, so nothing is sorted as a whole."""
-    step = F.floor(F.log2("c") * 16).alias("step")
-    left, least = bound or FREQUENT, None
-    for r in counts.groupBy(step).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect():
-        left -= r["n"]
-        if left < 0:
-            break
-        least = r["least"]
+    """The words from the lowest count on at which no more than `bound` words are left, most frequent first."""
+    least = least_count(counts, bound or FREQUENT)
     if least is None:
         return []
     got = counts.filter(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])
