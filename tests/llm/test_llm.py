@@ -248,11 +248,26 @@ def test_templates_and_slots(spark):
     half = QUESTION[: len(QUESTION) // 3]
     rows = [(1, "Intro words. " + QUESTION + " More."), (2, other), (3, broken), (4, half), (5, "Nothing of that kind stands here at all, not even close to it."), *((10 + i, t) for i, t in ODD)]
     bench = spark.createDataFrame([(1, QUESTION), (2, None), (3, "too short")], "item_id long, text string")
-    got = {r.doc_id: (r.item_id, r.kind) for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    df = docs(spark, rows).withColumn("item_id", F.lit("clash")).withColumn("hashes_8", F.lit(1))
+    got = {r.doc_id: (r.item_id, r.kind) for r in decontaminate.leaks(df, bench).collect()}
     assert got == {1: (1, "exact"), 2: (1, "reparameterised")}
     assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_templates_of_names_runs_drift_and_short_items(spark):
+    first = "Tom Miller has 3 apples and buys 4 more at the market before lunch. Tom eats 2 of them on the way home with his sister."
+    other = first.replace("Tom Miller", "Anna").replace("Tom", "Bea").replace("3 apples", "5 apples")
+    drifted = QUESTION.replace("60 km", "about 70 km")  # a word put in before a slot that changed
+    long = " ".join(f"{a}{b}" for a in "abcdefgh" for b in ("lo", "mi", "nu", "pe", "qi"))
+    half = "before it " + " ".join(long.split()[5:25]) + " behind it"
+    short = "name the capital city of this country"
+    rows = [(1, first), (2, other), (3, drifted), (4, half), (5, "they ask, name the capital city of this country!"), (6, QUESTION), (6, QUESTION.replace("60 km", "70 km")), (7, QUESTION.replace("60 km", "70 km")), (7, QUESTION), (8, "clean words only")]
+    bench = spark.createDataFrame([(1, first), (2, QUESTION), (3, long), (4, short)], "item_id long, text string")
+    found = decontaminate.leaks(docs(spark, rows), bench)
+    got = sorted((r.doc_id, r.item_id, r.kind) for r in found.collect())
+    assert got == [(1, 1, "exact"), (2, 1, "reparameterised"), (3, 2, "reparameterised"), (4, 3, "exact"), (5, 4, "exact"), (6, 2, "exact"), (7, 2, "exact")]
+
+
 # Jaccard join
 
 
