@@ -28,7 +28,7 @@ from simplicia.llm.common import chunked, crc_mod5, least_count, raw_texts, slic
 
 #: Production parameters: words in the broadcast, classes, bins of a class, rows of each weight matrix, tokens of an
 #: update, step, epochs.
-FREQUENT, CLASSES, BINS, ROWS, UPDATE, RATE, EPOCHS = 1 << 17, 32, 16, 1 << 15, 8192, 0.25, 1
+FREQUENT, CLASSES, BINS, ROWS, UPDATE, RATE, EPOCHS = 1 << 17, 32, 16, 1 << 15, 16384, 0.25, 1
 #: CLASSES and ROWS are for up to so many distinct words; beyond it rows grow with their root and classes with the
 #: root of the root of the root, so that a task's changes to them stay below the text that it reads.
 DISTINCT = 1 << 20
@@ -164,16 +164,24 @@ def within_class(keys: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (keys ^ (keys >> np.uint64(29))) * _PAIR + (classes.astype(np.uint64) << np.uint64(20)) + np.uint64(1 << 50)
 
 
-def log_softmax(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = w[rows[0]]
+def logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Sums of the features' rows and the bias, less the greatest of each token."""
+    z = np.take(w, rows[0], axis=0, mode="clip")
+    more = np.empty_like(z)
     for r in rows[1:]:
-        z += w[r]
+        z += np.take(w, r, axis=0, mode="clip", out=more)
     z += bias
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def log_probability(w: np.ndarray, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax at the target of each token."""
+    z = logits(w, rows, bias)
+    at = z[np.arange(len(z)), target]
+    return at - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 class Trainer:
     """A task's copy of one weight matrix, moved by steps that shrink with the squares of a row's gradients."""
 
@@ -184,16 +192,21 @@ class Trainer:
     def update(self, rows: np.ndarray, target: np.ndarray, bias: np.ndarray) -> None:
         if not len(target):
             return
-        g = -np.exp(log_softmax(self.w, rows, bias))
+        g = logits(self.w, rows, bias)
+        np.exp(g, out=g)
+        g *= -1 / g.sum(axis=1, keepdims=True)
         g[np.arange(len(target)), target] += 1
+        sorted_ = np.empty_like(g)
         for r in rows:
             order = np.argsort(r, kind="stable")
             found = r[order]
             first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-            at, total = found[first], np.add.reduceat(g[order], first, axis=0)
-            self.squares[at] += np.square(total).mean(axis=1)
-            self.w[at] += RATE * total / np.sqrt(self.squares[at])[:, None]
-        self.used += np.bincount(rows.ravel(), minlength=len(self.w))
+            at = found[first]
+            total = np.add.reduceat(np.take(g, order, axis=0, mode="clip", out=sorted_), first, axis=0)
+            self.squares[at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+            total *= (RATE / np.sqrt(self.squares[at]))[:, None]
+            self.w[at] += total
+            self.used[at] += np.diff(np.append(first, len(r)))
 
     def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows used, how often, and their changes times that."""
@@ -257,11 +270,9 @@ def log_history(ids: np.ndarray, keys: np.ndarray, lex: Lexicon, model: Model) -
     for k in range(0, len(ids), UPDATE):
         part, part_keys = ids[k : k + UPDATE], keys[:, k : k + UPDATE]
         target = lex.class_of[part]
-        z = log_softmax(model[0], _rows(part_keys, lex), prior)
-        out[k : k + UPDATE] = z[np.arange(len(z)), target]
+        out[k : k + UPDATE] = log_probability(model[0], _rows(part_keys, lex), prior, target)
         if len(inner := np.flatnonzero(several[target])):
-            z = log_softmax(model[1], _rows(within_class(part_keys[:, inner], target[inner]), lex), bin_prior[target[inner]])
-            out[k + inner] += z[np.arange(len(z)), lex.bin_of[part[inner]]]
+            out[k + inner] += log_probability(model[1], _rows(within_class(part_keys[:, inner], target[inner]), lex), bin_prior[target[inner]], lex.bin_of[part[inner]])
     return out / np.log(10)
 
 
