@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from simplicia.llm import bpe, decontaminate, gam, html, jaccard, licenses, lines, maxent, quality, textstats, urls
+from simplicia.llm import bpe, common, decontaminate, gam, html, jaccard, licenses, lines, maxent, quality, textstats, urls
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -380,6 +380,33 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, small):
     assert got == brute_lines(rows)
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_bit_parallel_edit_distance(spark, most):
+    """Random pairs near and far, with astral characters and empty strings, against a plain dynamic program."""
+    rng = np.random.default_rng(most)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, left = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+        return row[-1]
+
+    pairs = [("", ""), ("a", ""), ("", "ab"), ("abc", "abc")]
+    for _ in range(400):
+        a = list(rng.choice(list("abé\U0001f600 "), rng.integers(0, 30)))
+        b = list(a)
+        for _ in range(rng.integers(0, 5)):
+            k = int(rng.integers(len(b) + 1))
+            b[k : k + int(rng.integers(2))] = list(rng.choice(list("abx"), rng.integers(2)))
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = common.stored(df.select("a", "b", lines.characters(F.col("a")).alias("x"), lines.characters(F.col("b")).alias("y")), "pairs")
+    got = df.select("a", "b", lines.within_edits("x", "y", most).alias("near")).collect()
+    assert all(r.near == (distance(r.a, r.b) <= most) for r in got) and {r.near for r in got} == {True, False}
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.without_duplicates(docs(spark, [])).count() == 0
 
