@@ -58,19 +58,25 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """labelled: url, bad boolean. Returns antecedent array<string>, confidence, support, lift and key, the token
-    under which the index keeps the rule: its rarest."""
-    baskets = stored(labelled.select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")), "url-baskets")
-    # tokens that nearly every url has say nothing and would double the itemsets
-    total = baskets.count()
-    counts = baskets.select(F.explode("items").alias("token")).groupBy("token").count()
-    dull = [r["token"] for r in counts.filter((F.col("count") > 0.9 * total) & (F.col("token") != BAD)).limit(1000).collect()]
-    if dull:
-        baskets = baskets.select(F.array_except("items", F.array(*map(F.lit, dull))).alias("items"))
+    """labelled: url, bad boolean. Returns antecedent array<string>, confidence, support (of antecedent and label), lift and
+    key, the token under which the index keeps the rule: its rarest.
+
+    Tokens that stand in the same urls are one item to FP-growth, and all of them in the rule: the itemsets of a url
+    template don't double with each of its fixed tokens, and no rule is lost by it."""
+    urls = stored(labelled.select(F.monotonically_increasing_id().alias("id"), tokens_of(F.col("url")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad")), "url-baskets")
+    total = urls.count()
+    held = urls.select("id", F.explode("tokens").alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("h2"))
+    counts = stored(counts, "url-tokens")
+    alike = stored(counts.groupBy("count", "h1", "h2").agg(F.min("token").alias("item"), F.collect_set("token").alias("tokens")).select("item", "tokens"), "url-items")
+    items = held.join(alike.select(F.col("item").alias("token")), "token").groupBy("id").agg(F.collect_list("token").alias("items"))
+    mark = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    baskets = stored(urls.select("id", "bad").join(items, "id", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), mark).alias("items")), "url-itemsets")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_URLS / max(total, 1))), minConfidence=min_confidence).fit(baskets.filter(F.size("items") > 0))
     rules = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
-    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift")
-    keyed = rules.select("*", F.explode("antecedent").alias("key")).join(counts, F.col("key") == F.col("token"))
+    rules = rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support", "lift")
+    spread = rules.select("*", F.explode("items").alias("item")).join(alike, "item").groupBy("items", "confidence", "support", "lift").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("antecedent"))
+    keyed = spread.select("antecedent", "confidence", "support", "lift", F.explode("antecedent").alias("key")).join(counts.select(F.col("token").alias("key"), "count"), "key")
     return keyed.groupBy("antecedent", "confidence", "support", "lift").agg(F.min_by("key", F.struct("count", "key")).alias("key"))
 
 
