@@ -443,6 +443,45 @@ def test_urls(spark):
     assert urls.judge(pages, none).filter("mined_rule is not null").count() == 0
 
 
+def test_mined_rules_against_brute_force(spark):
+    """All rules over sets of tokens by plain counting; tokens of equal urls count as one."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        words = [w for w, p in zip("abcde", (0.5, 0.3, 0.6, 0.2, 0.4), strict=True) if rng.random() < p]
+        rows.append((f"http://{'x' if i % 3 else 'y'}.test/{'-'.join(words)}/page", bool(rng.random() < (0.7 if "a" in words and "d" in words else 0.2))))
+    rows += [(None, True), ("no url", None)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean").withColumn("items", F.lit("clash"))
+    sets = [({"h:test", "p:page", f"h:{u.split('/')[2].split('.')[0]}", *(f"p:{w}" for w in u.split("/")[3].split("-") if w)} if u and "://" in u else set(), bool(b)) for u, b in rows]
+    tokens = sorted(set().union(*(s for s, _ in sets)))
+    alike = {}
+    for t in tokens:
+        alike.setdefault(tuple(i for i, (s, _) in enumerate(sets) if t in s), []).append(t)
+    n = sum(1 for s, b in sets if s or b)
+    share = sum(b for _, b in sets) / n
+    want = set()
+    for k in range(1, len(alike) + 1):
+        for group in itertools.combinations(alike.values(), k):
+            inside = set().union(*group)
+            all_, bad = sum(inside <= s for s, _ in sets), sum(inside <= s and b for s, b in sets)
+            if all_ and bad / n >= max(0.001, 5 / len(rows)) and bad / all_ >= 0.3 and bad / all_ / share >= 1.5:
+                want.add((tuple(sorted(inside)), round(bad / all_, 9)))
+    got = {(tuple(r.antecedent), round(r.confidence, 9)) for r in urls.mine_rules(labelled).collect()}
+    assert got == want and len(want) > 3
+
+
+def test_urls_of_one_template_and_clashing_columns(spark):
+    path = "/".join(f"part{chr(97 + i)}" for i in range(26))
+    labelled = spark.createDataFrame([(f"http://t.test/{path}/{'bad' if i % 2 else 'good'}", i % 2 == 1) for i in range(40)], "url string, bad boolean")
+    rules = urls.mine_rules(labelled)
+    assert ["p:bad"] in [r.antecedent for r in rules.collect()]
+    pages = spark.createDataFrame([(1, f"http://t.test/{path}/bad", "x", 1.0), (1, f"http://t.test/{path}/bad", "x", 1.0), (2, None, "y", 2.0)], "page_id long, url string, verdict string, confidence double")
+    assert sorted((r.page_id, r.verdict) for r in urls.judge(pages, rules).collect()) == [(1, "block"), (1, "block"), (2, "allow")]
+    assert urls.judge(pages.limit(0), rules).count() == 0
+
+
 # language model
 
 
