@@ -690,3 +690,25 @@ def test_pipeline(spark):
     # only English has enough texts here for an estimate
     bad = {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{SF}/labels.parquet' JOIN '{SF}/documents.parquet' USING (doc_id) WHERE quality = 0 AND lang = 'en'").fetchall()}
     assert not bad.intersection(ids)
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    """Empty documents, null ids and texts, repeated rows and extra columns through every stage."""
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(2, 9))) for _ in range(300)]
+    prose = [" ".join(rng.choice(words, 80)) for _ in range(6)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(prose)]
+    rows += [(0, prose[0], "en", "s", 1), (20, prose[1], None, None, None), (None, prose[2] + " more", "en", "s", 3), (30, None, "en", "s", None), (31, "", "en", "s", 0), (32, prose[3] + "\n" + prose[3], "en", "s", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("clash")).withColumn("cls", F.lit(1))
+    for name, stage in cp.STAGES[:-1]:
+        for part in (df, df.limit(0)):
+            out = stage(spark, part, SF)
+            assert out.columns == cp.COLUMNS
+        found = [r.doc_id for r in stage(spark, df, SF).collect()]
+        assert None in found and 1 in found and 5 in found
+        if name == "near_duplicates":
+            assert 20 not in found and found.count(0) == 2
+    out = cp.STAGES[-1][1](spark, df, SF).collect()
+    assert len(out) == len(rows) and all(r.round_trip for r in out) and {r.n_tokens for r in out if r.doc_id in (30, 31)} == {0}
