@@ -136,3 +136,40 @@ def test_zeros_and_constant_series(spark):
     assert got[0] == (None, None) and got[1] == (None, 1.0) and got[2][0] is None
     bars0 = spark.createDataFrame([(1, 0.5, 0.5), (1, 0.2, 0.2)], "k int, birth double, death double")
     assert diagrams.summary(bars0, "k").collect()[0].entropy == 0.0
+
+
+def test_a_cloud_that_is_too_large_shows(spark):
+    """Its status reaches the result, or an error names it; it never passes for an empty diagram."""
+    import pytest
+
+    from simplicia.plans import shapes
+
+    rng = np.random.default_rng(0)
+    rows = [(1, rng.random((20, 3)).tolist()), (2, rng.random((200, 3)).tolist())]
+    got = homology.persistence(spark.createDataFrame(rows, "user_id int, points array<array<double>>"), 2, keep=("user_id",))
+    by = {(r.user_id, r.status == "ok") for r in shapes.by_dimension(got).collect()}
+    assert by == {(1, True), (2, False)}
+    with pytest.raises(Exception, match="cloud 2"):
+        homology.diagram(got, "user_id").count()
+
+
+def test_folds_and_coverage(spark):
+    df = spark.createDataFrame([(i, i % 3, f"g{i % 7}") for i in range(300)], "i int, label int, g string")
+    out = evaluate.stratified(df, "label", "i", 5, 0.7, seed=1).collect()
+    assert {(lab, f): sum(r.label == lab and r.fold == f for r in out) for lab in range(3) for f in range(5)} == {(lab, f): 20 for lab in range(3) for f in range(5)}
+    assert [sum(r.train for r in out if r.label == lab) for lab in range(3)] == [70, 70, 70]
+    other = {r.i: r.fold for r in evaluate.stratified(df, "label", "i", 5, 0.7, seed=2).collect()}
+    assert sum(other[r.i] != r.fold for r in out) > 100
+    folds = df.select("g", evaluate.group_fold(F.col("g"), 4).alias("fold")).distinct().collect()
+    assert len(folds) == 7
+    gaps = spark.createDataFrame([(1.0, None, 2.0), (None, None, 3.0)], "a double, b double, c double")
+    assert panel.covered_columns(gaps, ["a", "b", "c"], 0.5) == ["a", "c"] and panel.covered_columns(gaps.limit(0), ["a"], 0.5) == []
+    assert [tuple(r) for r in panel.median_imputed(gaps, "a", "b").orderBy("c").collect()] == [(1.0, 0.0, 2.0), (1.0, 0.0, 3.0)]
+    assert embedding.dimension_hint() == 4
+
+
+def test_json_report(spark, tmp_path):
+    import json
+
+    (tmp_path / "r.json").write_text(json.dumps({"a": 1, "b": [1, 2]}, indent=2))
+    assert readers.json_report(spark, str(tmp_path / "r.json")).first().b == [1, 2]
