@@ -24,7 +24,9 @@ from simplicia.llm.common import join_counted, stored, table
 from simplicia.llm.textstats import with_counts
 
 #: Production parameters.
-MIN_ROWS, SHARE, MOST_STEPS, PRIOR = 80, 0.75, 12, 4
+MIN_ROWS, SHARE, MOST_STEPS, PRIOR = 80, 0.75, 5, 4
+#: Steps end when no log-determinant falls by more than this.
+TOLERANCE = 0.02
 #: Quantiles of the coordinates around which the steps start.
 STARTS = (0.5, 0.25, 0.75)
 #: A text goes beyond the median distance plus REACH times the way from the median to the upper quartile. Statistics of
@@ -138,7 +140,7 @@ def estimate(rows: DataFrame) -> DataFrame:
         moved = stored(whitened(near.groupBy("g", "start").agg(F.count("*").alias("n"), *sums)), "mcd-step")
         before = estimates.select("g", "start", F.col("logdet").alias("was"))
         estimates = moved
-        if moved.join(before, ["g", "start"]).filter(F.col("logdet") < F.col("was") - 1e-3).isEmpty():
+        if moved.join(before, ["g", "start"]).filter(F.col("logdet") < F.col("was") - TOLERANCE).isEmpty():
             break
     best = estimates.groupBy("g").agg(F.min_by(F.struct("mu", "w"), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
     best = stored(best, "mcd-best")

@@ -89,7 +89,7 @@ def plain_estimate(x):
             mu = near.mean(0)
             c = quality.shrunk(len(near), np.cov(near.T, bias=True))
             inverse, det = np.linalg.inv(c + 1e-9 * np.eye(p)), np.linalg.slogdet(c + 1e-9 * np.eye(p))[1]
-            if det >= was - 1e-3:
+            if det >= was - quality.TOLERANCE:
                 break
             was = det
         found.append((det, k, mu, inverse))
