@@ -703,10 +703,9 @@ def test_pipeline_stages_on_odd_documents(spark):
     rows += [(0, prose[0], "en", "s", 1), (20, prose[1], None, None, None), (None, prose[2] + " more", "en", "s", 3), (30, None, "en", "s", None), (31, "", "en", "s", 0), (32, prose[3] + "\n" + prose[3], "en", "s", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("clash")).withColumn("cls", F.lit(1))
     for name, stage in cp.STAGES[:-1]:
-        for part in (df, df.limit(0)):
-            out = stage(spark, part, SF)
-            assert out.columns == cp.COLUMNS
-        found = [r.doc_id for r in stage(spark, df, SF).collect()]
+        out = stage(spark, df, SF)
+        assert out.columns == cp.COLUMNS and stage(spark, df.limit(0), SF).count() == 0
+        found = [r.doc_id for r in out.collect()]
         assert None in found and 1 in found and 5 in found
         if name == "near_duplicates":
             assert 20 not in found and found.count(0) == 2
