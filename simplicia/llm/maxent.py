@@ -31,7 +31,7 @@ from simplicia.llm.common import chunked, crc_mod5, least_count, raw_texts, slic
 FREQUENT, CLASSES, BINS, ROWS, UPDATE, RATE, EPOCHS = 1 << 17, 32, 16, 1 << 15, 16384, 0.25, 1
 #: CLASSES and ROWS are for up to so many distinct words; beyond it rows grow with their root and classes with the
 #: root of the root of the root, so that a task's changes to them stay below the text that it reads.
-DISTINCT = 1 << 20
+DISTINCT = 1 << 22
 #: The end token, which no word equals.
 END = b"\n"
 #: Distinct words a task gathers before it sends them on.
