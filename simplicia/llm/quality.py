@@ -4,7 +4,7 @@ source, and rejection of transformed statistic vectors by Mahalanobis distance.
 Every text becomes a vector of transformed rates. Each (language, source) with at least MIN_ROWS usable texts has
 an estimate of its own; the texts of smaller ones share one of their language, and those of small languages one
 for all. Concentration steps keep the SHARE of nearest rows and take their mean and covariance again. They run from
-several STARTS side by side (around the coordinates' medians and their quartiles) until no determinant falls any more,
+several STARTS side by side (around the coordinates' medians and their quartiles) until no determinant falls any more, MOST_STEPS at most,
 and the start with the least determinant stays. All rows of a group take part in every step, as partial sums and
 sketched quantiles, so a source with a third of all rows costs no task more than another; the estimates meet the rows
 through a counted broadcast or a salted join.
