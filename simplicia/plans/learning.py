@@ -40,29 +40,6 @@ def topology_against_classic(spark, sf_dir):
     return rounded(rows, "features")
 
 
-def method_accuracy(spark, sf_dir):
-    """Accuracy and macro F1 on the test part of a stratified split: boosted trees on two of the classes, a perceptron, a
-    machine on random Fourier features and a vote of two forests on all; features scaled by population moments."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
-    e = evaluate.stratified(e, "label", "vec_id", 3, 0.7)
-    dim = len(e.select("embedding").first()[0])
-    ready = learn.prepared(e, "embedding", "label").select("vec_id", "embedding", "vector", "label", "train")
-    classes = int(ready.agg(F.max("label")).collect()[0][0] or 0) + 1
-    parts = {}
-    two = ready.filter("label < 2")
-    parts["boosted"] = learn.scaled_pipeline(learn.boosted(5)).fit(two.filter("train")).transform(two.filter("not train"))
-    parts["perceptron"] = learn.scaled_pipeline(learn.perceptron(dim, classes, (16,))).fit(ready.filter("train")).transform(ready.filter("not train"))
-    machine, lifted = learn.kernel_machine(ready.drop("vector"), "embedding", dim, "label", 50)
-    parts["fourier"] = machine.fit(lifted.filter("train")).transform(lifted.filter("not train"))
-    voters = [learn.scaled_pipeline(learn.forest(10, seed), k).fit(ready.filter("train")).transform(ready.filter("not train")) for seed, k in ((1, None), (2, 4))]
-    parts["vote"] = learn.soft_votes(voters, "vec_id")
-    rows = None
-    for name, out in parts.items():
-        part = evaluate.accuracy_f1(out, "label", "prediction").withColumn("method", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part)
-    return rounded(rows, "method")
-
-
 def hourly(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "value")
     out = windowed_moments(e, "event_type", "ts", "value", "1 day")
@@ -72,6 +49,5 @@ def hourly(spark, sf_dir):
 QUERIES = {
     "forest_accuracy": (forest_accuracy, None),
     "topology_against_classic": (topology_against_classic, None),
-    "method_accuracy": (method_accuracy, None),
     "windowed_moments": (hourly, "SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM events GROUP BY 1, 2"),
 }
