@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from simplicia.llm import bpe, decontaminate, gam, html, jaccard, licenses, lines, maxent, quality, urls
+from simplicia.llm import bpe, centroids, decontaminate, gam, html, jaccard, licenses, lines, maxent, negatives, quality, urls
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_urls": urls.op8_urls,
         "op9_maxent": maxent.op9_maxent,
         "op10_html": html.op10_html,
+        "op11_negatives": negatives.op11_negatives,
+        "op12_centroids": centroids.op12_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.OP5_SQL, "op7_lines": lines.OP7_SQL}
+    return {"op5_decontaminate": decontaminate.OP5_SQL, "op7_lines": lines.OP7_SQL, "op11_negatives": negatives.OP11_SQL, "op12_centroids": centroids.OP12_SQL}
