@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from simplicia.llm import bpe, centroids, decontaminate, gam, html, jaccard, licenses, lines, maxent, negatives, quality, urls
+from simplicia.llm import bpe, centroids, decontaminate, gam, html, jaccard, licenses, lines, maxent, negatives, quality, substrings, urls
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_html": html.op10_html,
         "op11_negatives": negatives.op11_negatives,
         "op12_centroids": centroids.op12_centroids,
+        "op13_substrings": substrings.op13_substrings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.OP5_SQL, "op7_lines": lines.OP7_SQL, "op11_negatives": negatives.OP11_SQL, "op12_centroids": centroids.OP12_SQL}
+    return {"op5_decontaminate": decontaminate.OP5_SQL, "op7_lines": lines.OP7_SQL, "op11_negatives": negatives.OP11_SQL, "op12_centroids": centroids.OP12_SQL, "op13_substrings": substrings.OP13_SQL}
