@@ -194,7 +194,7 @@ def _final(centroids: np.ndarray, inertia: list[int | None], total: int | None):
 
 def integer_vectors(vectors: DataFrame, vector: str, components: int, scale: float) -> DataFrame:
     """vec_id and v, the components times scale rounded down, of the vectors that can be clustered."""
-    inside = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(F.floor(x.cast("double") * scale)) <= LONGEST))
+    inside = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float(LONGEST)))
     ok = vectors.filter(F.col(vector).isNotNull() & (F.size(vector) == components) & F.coalesce(inside, F.lit(False)))
     return ok.select("vec_id", F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
 
