@@ -48,12 +48,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of stages whose results have been stored: it acts on what the garbage
-    collector of the driver finds, which may come late in a small job and leaves every stage's files on disk till then."""
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, and lets Spark's cleaner delete the shuffle files of stages whose
+    results have been stored: it acts on what the garbage collector of the driver finds, which may come late in a small job
+    and leaves every stage's files on disk till then."""
+    for df in done:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -8,8 +8,8 @@ on from there until nothing survives.
 
 Every level is the same step (`_repeated`): minima and maxima of doc_id for each hash, combined before the shuffle, so a
 passage that a third of the documents share is no large group; then a join back, whose hot keys Spark splits, as the
-other side has one row for each key. Windows are told apart by 96 bits of hash. Stages are written to the shared folder
-and shuffle files of finished stages are released in between.
+other side has one row for each key. Windows are told apart by 96 bits of hash. Stages are written to the shared folder;
+those that are done with, and their shuffle files, are deleted in between.
 
 Defined results: words are runs of characters other than ASCII white space. A null or empty text has no words and keeps
 the hash of the empty string. Rows that share a doc_id are one document and don't remove each other's passages, but each
@@ -127,17 +127,18 @@ def _extended(length: int):
     return run
 
 
-def _repeated(windows: DataFrame, keys: list[str], later: bool) -> DataFrame:
-    """The windows (doc_id, row, pos, keys) whose keys stand in more than one document; with `later` those of them that
-    stand in an earlier document than their own."""
+def _repeated(windows: DataFrame, keys: list[str], later: bool, name: str) -> DataFrame:
+    """doc_id, row and the places of the windows (doc_id, row, pos, keys; a stored table, which goes) whose keys stand in more
+    than one document; with `later` of those that stand in an earlier document than their own."""
+    spark = windows.sparkSession
     documents = windows.groupBy(*keys).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last").drop("_last")
-    found = windows.join(stored(documents, "substring-keys").hint("shuffle_hash"), keys)
-    return found.filter(F.col("doc_id") > F.col("_first")).drop("_first") if later else found.drop("_first")
-
-
-def _by_row(windows: DataFrame) -> DataFrame:
-    """doc_id, row and the places of its windows."""
-    return windows.groupBy("doc_id", "row").agg(F.collect_list("pos").alias("places"))
+    documents = stored(documents, f"{name}-keys")
+    release(spark)
+    found = windows.join(documents.hint("shuffle_hash"), keys)
+    found = found.filter(F.col("doc_id") > F.col("_first")) if later else found
+    places = stored(found.groupBy("doc_id", "row").agg(F.collect_list("pos").alias("places")), name)
+    release(spark, windows, documents)
+    return places
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -151,14 +152,11 @@ def repeated_windows(rows: DataFrame, length: int = WINDOW) -> DataFrame:
     spark, named = rows.sparkSession, rows.filter(F.col("doc_id").isNotNull())
     kind = "doc_id long, row long, pos int, "
     first = stored(named.mapInArrow(_seed_rows(length), kind + "h1 long"), "substring-seeds")
-    candidates = stored(_by_row(_repeated(first, ["h1"], later=False)), "substring-candidates")
-    release(spark)
+    candidates = _repeated(first, ["h1"], later=False, name="substring-candidates")
     texts = named.join(candidates.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "row", "text", "places")
     second = stored(texts.mapInArrow(_extended(length), kind + "h1 long, h2 int"), "substring-windows")
-    release(spark)
-    found = stored(_by_row(_repeated(second, ["h1", "h2"], later=True)), "substring-repeats")
-    release(spark)
-    return found
+    release(spark, candidates)
+    return _repeated(second, ["h1", "h2"], later=True, name="substring-repeats")
 
 
 def _cut(length: int):

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simplicia.functions.scalars import total
+from simplicia.operators.homology import both_ways
 
 
 def moments(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -99,7 +100,7 @@ def false_neighbours(cloud: DataFrame, pairs: DataFrame, key: str, extra: str, t
     """Share of points whose nearest other point is a false neighbour: far apart in the coordinate that the next
     dimension adds. cloud: key, i and that coordinate; pairs: distances in m dimensions."""
     w = Window.partitionBy(key, "i").orderBy("d", "j")
-    near = pairs.union(pairs.select(key, F.col("j").alias("i"), F.col("i").alias("j"), "d")).withColumn("r", F.row_number().over(w)).filter("r = 1")
+    near = both_ways(pairs, key).withColumn("r", F.row_number().over(w)).filter("r = 1")
     a, b = cloud.select(key, "i", F.col(extra).alias("ea")), cloud.select(key, F.col("i").alias("j"), F.col(extra).alias("eb"))
     joined = near.join(a, [key, "i"]).join(b, [key, "j"])
     ratio = F.sqrt(F.col("d") * F.col("d") + F.pow(F.col("ea") - F.col("eb"), 2)) / (F.col("d") + 1e-12)
@@ -111,7 +112,7 @@ def neighbour_r2(pairs: DataFrame, targets: DataFrame, key: str, k: int = 5, exc
     """R2 of predicting a target by the mean target of the k nearest points, those within `exclude` steps left out,
     among the k + exclude + 1 nearest; null for short series or constant targets. targets: key, i, target."""
     w = Window.partitionBy(key, "i").orderBy("d", "j")
-    both = pairs.union(pairs.select(key, F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    both = both_ways(pairs, key)
     t = targets.select(key, F.col("i").alias("j"), F.col("target").alias("tj"))
     valid = both.join(targets.select(key, "i"), [key, "i"]).join(t, [key, "j"])
     near = valid.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + exclude + 1)

@@ -102,12 +102,24 @@ def vectors(dgm: DataFrame, key: str, method: str, bins: int = 20, levels: int =
     raise ValueError(f"no such vectorisation: {method}")
 
 
-def significant(dgm: DataFrame, threshold: float, method: str = "hard", eta: float = 50.0) -> DataFrame:
-    """Bars above a threshold: topo by a logistic mask above a half, hard by persistence, stat by the distance to
+def _above(threshold: Column, eta: float) -> dict[str, Column]:
+    """Whether a bar is above a threshold: topo by a logistic mask above a half, hard by persistence, stat by the distance to
     the diagonal."""
     p = F.col("death") - F.col("birth")
-    rule: Column = {"topo": soft_mask(p, F.lit(threshold), eta) > 0.5, "hard": p > threshold, "stat": p / F.sqrt(F.lit(2.0)) > threshold}[method]
-    return dgm.filter(rule)
+    return {"topo": soft_mask(p, threshold, eta) > 0.5, "hard": p > threshold, "stat": p / F.sqrt(F.lit(2.0)) > threshold}
+
+
+def significant(dgm: DataFrame, threshold: float, method: str = "hard", eta: float = 50.0) -> DataFrame:
+    """Bars above a threshold by one method (topo, hard or stat)."""
+    return dgm.filter(_above(F.lit(threshold), eta)[method])
+
+
+def selections(dgm: DataFrame, thresholds: list[float], methods: tuple[str, ...] = ("topo", "hard", "stat"), eta: float = 50.0) -> DataFrame:
+    """The bars that each method leaves at each threshold, with columns method and threshold, in one pass over the bars."""
+    t = dgm.withColumn("threshold", F.explode(F.array(*map(F.lit, map(float, thresholds)))))
+    rules = _above(F.col("threshold"), eta)
+    kept = F.array(*(F.when(rules[m], F.lit(m)) for m in methods))
+    return t.withColumn("method", F.explode(F.filter(kept, lambda m: m.isNotNull())))
 
 
 def tail_counts(dgm: DataFrame, key: str, steps: int = 5) -> DataFrame:

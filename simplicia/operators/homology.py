@@ -64,8 +64,13 @@ def pairwise(cloud: DataFrame, key: str, point: str, coordinates: list[str]) ->
     return a.join(b, key).filter("i < j").select(key, "i", "j", F.sqrt(square).alias("d"))
 
 
-def both_ways(pairs: DataFrame, key: str) -> DataFrame:
-    return pairs.union(pairs.select(key, F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+def both_ways(pairs: DataFrame, key: str, diagonal: bool = False) -> DataFrame:
+    """key, i, j, d in both directions, in one pass; with the diagonal also the zeros of both ends, once for each pair."""
+    way = lambda i, j, d: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), d.alias("d"))
+    ways = [way("i", "j", F.col("d")), way("j", "i", F.col("d"))]
+    if diagonal:
+        ways += [way("i", "i", F.lit(0.0)), way("j", "j", F.lit(0.0))]
+    return pairs.select(key, F.explode(F.array(*ways)).alias("e")).select(key, "e.*")
 
 
 def nearest(pairs: DataFrame, key: str, k: int) -> DataFrame:
@@ -96,10 +101,15 @@ def weighted_edges(pairs: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     return pairs.join(wi, [key, "i"]).join(wj, [key, "j"]).select(key, "i", "j", ((F.col("d") + F.col("wi") + F.col("wj")) / 2).alias("d"))
 
 
+def matrix_entries(edges: DataFrame, key: str) -> DataFrame:
+    """key, i, j, d: the entries of the symmetric distance matrix of each key, its diagonal included."""
+    return both_ways(edges, key, diagonal=True).groupBy(key, "i", "j").agg(F.min("d").alias("d"))
+
+
 def as_matrices(edges: DataFrame, key: str) -> DataFrame:
     """Rows of the symmetric distance matrix of each key, for the precomputed kernel."""
-    w = both_ways(edges, key).union(edges.select(key, "i").union(edges.select(key, "j")).distinct().select(key, "i", F.col("i").alias("j"), F.lit(0.0).alias("d")))
-    rows = w.groupBy(key, "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "d"))), lambda x: x["d"]).alias("row"))
+    entries = matrix_entries(edges, key)
+    rows = entries.groupBy(key, "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "d"))), lambda x: x["d"]).alias("row"))
     return rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "row"))), lambda x: x["row"]).alias("points"))
 
 

@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simplicia.sources.store import stacked
+
 
 def prepared(df: DataFrame, features: str, label: str) -> DataFrame:
     """features array to vector, label to double."""
@@ -69,10 +71,7 @@ def cross_validated(df: DataFrame, classifier, fold: str, folds: int, keep: list
 
 def soft_votes(predicted: list[DataFrame], key: str) -> DataFrame:
     """key, label and the class with the highest mean probability over several models."""
-    long = None
-    for p in predicted:
-        one = p.select(key, "label", F.posexplode(vector_to_array("probability")).alias("cls", "p"))
-        long = one if long is None else long.unionByName(one)
+    long = stacked([p.select(key, "label", F.posexplode(vector_to_array("probability")).alias("cls", "p")) for p in predicted], key)
     mean = long.groupBy(key, "label", "cls").agg(F.avg("p").alias("p"))
     return mean.groupBy(key, "label").agg(F.max_by("cls", F.struct("p", -F.col("cls"))).cast("double").alias("prediction"))
 

@@ -16,6 +16,7 @@ from simplicia.plans.panels import DAILY, daily, read
 from simplicia.plans.series import EMB, ORDER, S, arrays, events, indexed, rounded, takens
 from simplicia.plans.shapes import TREE, h0
 from simplicia.sources import readers
+from simplicia.sources.store import stacked
 
 union = lambda parts: reduce(DataFrame.unionByName, parts)
 joined = lambda parts: reduce(lambda x, y: x.join(y, "user_id"), parts)
@@ -121,7 +122,7 @@ UNION ALL SELECT user_id, 'landscape', level * 20 + b, value FROM ({shapes.LANDS
 
 def compare_vectors(spark, sf_dir):
     """What the methods give: numbers of a vector, clouds, mean sum of a vector."""
-    v = union([diagrams.vectors(h0(spark, sf_dir), "user_id", m).withColumn("method", F.lit(m)) for m in METHODS])
+    v = stacked([diagrams.vectors(h0(spark, sf_dir), "user_id", m).withColumn("method", F.lit(m)) for m in METHODS], "method", "user_id")
     each = v.groupBy("method", "user_id").agg(F.count("*").alias("dims"), F.sum(F.round("v", 6)).alias("total"))
     return each.groupBy("method").agg(F.max("dims").alias("dims"), F.count("*").alias("clouds"), F.round(F.avg("total"), 3).alias("mean_total"))
 
@@ -143,7 +144,7 @@ def selection_counts(spark, sf_dir):
     """Bars that three ways of choosing leave at ten thresholds, and how far the entropy moves."""
     d = h0(spark, sf_dir)
     total = diagrams.summary(d, "user_id").select("user_id", F.col("entropy").alias("all"))
-    chosen = union([diagrams.significant(d, 5.0 + 5 * k, m).withColumns({"method": F.lit(m), "threshold": F.lit(5.0 + 5 * k)}) for m in ("topo", "hard", "stat") for k in range(10)])
+    chosen = diagrams.selections(d, [5.0 + 5 * k for k in range(10)])
     s = diagrams.summary(chosen.withColumn("k", F.struct("user_id", "method", "threshold")), "k").select("k.*", "n_bars", "entropy").join(total, "user_id")
     return s.select("user_id", "method", "threshold", "n_bars", F.round(F.abs(F.col("entropy") - F.col("all")), 6).alias("entropy_gap"))
 

@@ -12,6 +12,7 @@ from simplicia.operators import classic, diagrams, embedding, evaluate, generato
 from simplicia.plans.evaluation import FEATURES, LONG, MONTHLY, _expanding_sql, monthly, months_of, rank_sql
 from simplicia.plans.series import EMB, arrays, indexed, pairs, rounded, takens
 from simplicia.plans.shapes import as_clouds, h0, persisted
+from simplicia.sources.store import stacked, stored
 
 union = lambda parts: reduce(DataFrame.unionByName, parts)
 
@@ -49,7 +50,7 @@ def local_surface(spark, sf_dir):
 
 def compare_filtrations(spark, sf_dir):
     """The five longest loops under the plain, the distance-to-measure and the shape-weighted filtration."""
-    p = pairs(spark, sf_dir)
+    p = stored(pairs(spark, sf_dir), "pairs")
     edges = {"plain": p, "dtm": homology.weighted_edges(p, homology.dtm_weights(p, "user_id"), "user_id"), "shape": homology.weighted_edges(p, homology.shape_weights(p, "user_id"), "user_id")}
     parts = []
     for name, e in edges.items():
@@ -63,7 +64,7 @@ def compare_selections(spark, sf_dir):
     d = h0(spark, sf_dir)
     as_bars = lambda x, name: x.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("birth", "death"))).alias(name))
     whole, total = as_bars(d, "bars_a"), diagrams.summary(d, "user_id").select("user_id", F.col("entropy").alias("all"))
-    chosen = union([diagrams.significant(d, t, m).withColumns({"method": F.lit(m), "threshold": F.lit(t)}) for m in ("topo", "hard", "stat") for t in (10.0, 20.0, 30.0)])
+    chosen = diagrams.selections(d, [10.0, 20.0, 30.0])
     keyed = chosen.withColumn("k", F.struct("user_id", "method", "threshold"))
     s = diagrams.summary(keyed, "k").select("k.*", "n_bars", "entropy").join(total, "user_id")
     bars = keyed.groupBy("user_id", "method", "threshold").agg(F.sort_array(F.collect_list(F.struct("birth", "death"))).alias("bars_b")).join(whole, "user_id")
@@ -82,7 +83,7 @@ def noise_robustness(spark, sf_dir):
         for dim in (0, 1):
             of = lambda p, name, dim=dim: p.select("user_id", F.filter("bars", lambda b: (b["dim"] == dim) & (b["death"] < float("inf"))).alias(name))
             parts.append(diagrams.distance_pairs(of(clean, "bars_a").join(of(noisy, "bars_b"), "user_id"), ["user_id"]).withColumns({"sigma": F.lit(sigma), "dim": F.lit(dim)}))
-    return rounded(union(parts).groupBy("sigma", "dim").agg(F.avg("wasserstein").alias("wasserstein"), F.avg("bottleneck").alias("bottleneck")), "sigma", "dim")
+    return rounded(stacked(parts, "sigma", "dim").groupBy("sigma", "dim").agg(F.avg("wasserstein").alias("wasserstein"), F.avg("bottleneck").alias("bottleneck")), "sigma", "dim")
 
 
 def embedding_selection(spark, sf_dir):
@@ -95,7 +96,7 @@ def embedding_selection(spark, sf_dir):
             s = diagrams.summary(d, "user_id").withColumn("grp", F.pmod("user_id", F.lit(2)))
             parts.append(diagrams.separability(s, "grp", "max_pers", "entropy", "ring_03").withColumns({"m": F.lit(m), "tau": F.lit(tau)}))
     best = F.struct(F.round("separability", 6).alias("separability"), (-F.col("m")).alias("a"), (-F.col("tau")).alias("b"), "m", "tau")
-    return union(parts).groupBy("criterion").agg(F.max(best).alias("x")).select("criterion", "x.m", "x.tau", "x.separability")
+    return stacked(parts, "criterion").groupBy("criterion").agg(F.max(best).alias("x")).select("criterion", "x.m", "x.tau", "x.separability")
 
 
 def ic_report(spark, sf_dir):

@@ -89,8 +89,7 @@ SELECT user_id, pos, round(v, 6) AS v FROM bc UNION ALL SELECT user_id, pos, rou
 
 def significant(spark, sf_dir):
     d = h0(spark, sf_dir)
-    parts = [diagrams.significant(d, 20.0, m).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("death"), 6).alias("total")).withColumn("method", F.lit(m)) for m in ("topo", "hard", "stat")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return diagrams.selections(d, [20.0]).groupBy("user_id", "method").agg(F.count("*").alias("n"), F.round(F.sum("death"), 6).alias("total"))
 
 
 SIGNIFICANT_SQL = f"""WITH {TREE}, k AS (SELECT 'topo' AS method, * FROM h0 WHERE 1 / (1 + exp(-50.0 * (death - 20.0))) > 0.5 UNION ALL SELECT 'hard', * FROM h0 WHERE death > 20.0 UNION ALL SELECT 'stat', * FROM h0 WHERE death / sqrt(2) > 20.0)
@@ -145,6 +144,13 @@ def weighted_edges(spark, sf_dir):
     return rounded(e.groupBy("user_id").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"), F.avg("d").alias("mean")), "user_id", "n")
 
 
+def weighted_matrix(spark, sf_dir):
+    """Entries of the distance matrices of the weighted filtration: their number, sum and largest of each point."""
+    p = pairs(spark, sf_dir)
+    e = homology.matrix_entries(homology.weighted_edges(p, homology.dtm_weights(p, "user_id"), "user_id"), "user_id")
+    return rounded(e.groupBy("user_id", "i").agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.max("d").alias("most")), "user_id", "i", "n")
+
+
 DTM = f"{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, i ORDER BY d, j) AS r FROM d), w AS (SELECT user_id, i, avg(d) AS weight FROM r WHERE r <= 5 GROUP BY 1, 2)"
 
 QUERIES = {
@@ -164,6 +170,7 @@ QUERIES = {
     "dtm_weights": (dtm, f"WITH {DTM} SELECT user_id, i, round(weight, 6) AS weight FROM w"),
     "shape_weights": (shape_weights, f"WITH {PAIRS} SELECT user_id, i, round(tanh(0.5 * sum(d) / (count(*) + 1) + 0.3 * sqrt(greatest(sum(d * d) / (count(*) + 1) - (sum(d) / (count(*) + 1)) ** 2, 0)) - 0.2 * coalesce(min(d) FILTER (WHERE d > 0), 0)), 6) AS weight FROM d GROUP BY 1, 2"),
     "weighted_edges": (weighted_edges, f"WITH {DTM}, x AS (SELECT d.user_id, (d.d + a.weight + b.weight) / 2 AS d FROM d JOIN w a ON a.user_id = d.user_id AND a.i = d.i JOIN w b ON b.user_id = d.user_id AND b.i = d.j WHERE d.i < d.j) SELECT user_id, count(*) AS n, round(min(d), 6) AS least, round(max(d), 6) AS most, round(avg(d), 6) AS mean FROM x GROUP BY 1"),
+    "weighted_matrix": (weighted_matrix, f"WITH {DTM} SELECT d.user_id, d.i, count(*) + 1 AS n, round(sum((d.d + a.weight + b.weight) / 2), 6) AS total, round(max((d.d + a.weight + b.weight) / 2), 6) AS most FROM d JOIN w a ON a.user_id = d.user_id AND a.i = d.i JOIN w b ON b.user_id = d.user_id AND b.i = d.j GROUP BY 1, 2"),
     "h1_features": (lambda s, d: bars(s, d, 1), None),
     "weighted_h1": (weighted_h1, None),
     "half_distances": (distances_to_half, None),
