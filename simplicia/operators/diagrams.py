@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simplicia.functions.scalars import linspace, soft_mask, total
+from simplicia.operators.ranks import column_quantiles
 
 
 def with_persistence(dgm: DataFrame) -> DataFrame:
@@ -55,9 +56,11 @@ def own_grid(dgm: DataFrame, key: str, bins: int, margin: float = 0.1, births_on
 
 
 def fixed_range(dgm: DataFrame, q: float = 0.995) -> DataFrame:
-    """One row: the shared range (lo, hi) of all diagrams, robust against a few long bars."""
-    ends = F.percentile("birth", q), F.percentile("death", q)
-    return dgm.agg(F.min(F.least("birth", "death")).alias("lo"), F.greatest(*ends, F.min(F.least("birth", "death")) + 1e-6).alias("hi"))
+    """One row: the shared range (lo, hi) of all diagrams, robust against a few long bars. dgm is read several times: a stored
+    one is cheaper."""
+    low = dgm.agg(F.min(F.least("birth", "death")).alias("lo"))
+    ends = column_quantiles(dgm, ["birth", "death"], q)
+    return ends.join(F.broadcast(low)).select("lo", F.greatest("birth", "death", F.col("lo") + 1e-6).alias("hi"))
 
 
 def fixed_grid(dgm: DataFrame, key: str, bins: int, lo: float, hi: float) -> DataFrame:

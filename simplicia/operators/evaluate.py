@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simplicia.functions.scalars import seed_of
+from simplicia.operators import ranks
+from simplicia.sources.store import stored
 
 
 def purged_folds(ordered: DataFrame, splits: int, horizon: int, embargo: int) -> DataFrame:
@@ -45,28 +47,24 @@ def group_fold(group: Column, k: int, seed: int = 0) -> Column:
     return F.pmod(seed_of(F.lit(str(seed)), group.cast("string")), F.lit(k))
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Rank from 1 with ties at their mean rank."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def auc(scores: DataFrame, keys: list[str], score: str, label: str, least: int = 6) -> DataFrame:
     """Area under the curve of a score against a 0/1 label, ties at a half; null below `least` rows or with one
-    class only."""
-    ranked = scores.filter(F.col(score).isNotNull()).withColumn("_r", average_rank(score, *keys))
-    pos = F.col(label) == 1
-    n1, n0 = F.count_if(pos), F.count_if(~pos)
-    u = F.sum(F.when(pos, F.col("_r"))) - n1 * (n1 + 1) / 2
-    return ranked.groupBy(*keys).agg(F.when((n1 > 0) & (n0 > 0) & (F.count("*") >= least), u / (n1 * n0)).alias("auc"))
+    class only. Ranks come from the counts of distinct scores, so rows aren't sorted or joined back."""
+    rows = stored(scores.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("_all"), F.count_if(F.col(label) == 1).alias("_pos")), "auc")
+    ranked = ranks.same(rows, ranks.value_ranks(rows, keys, score, "_all").drop("n", "before"), [*keys, score])
+    n1, n = F.sum("_pos"), F.sum("_all")
+    u = F.sum(F.col("rank") * F.col("_pos")) - n1 * (n1 + 1) / 2
+    return ranked.groupBy(*keys).agg(F.when((n1 > 0) & (n1 < n) & (n >= least), u / (n1 * (n - n1))).alias("auc"))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 10) -> DataFrame:
-    """Rank correlation for each key; null with few rows or a constant column."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.select(*keys, average_rank(x, *keys).alias("rx"), average_rank(y, *keys).alias("ry"))
-    flat = (F.stddev_pop("rx") < 1e-12) | (F.stddev_pop("ry") < 1e-12)
-    return ranked.groupBy(*keys).agg(F.when((F.count("*") >= least) & ~flat, F.corr("rx", "ry")).alias("ic"), F.count("*").alias("n"))
+    """ic (rank correlation) and n for each key; null with few rows, 0 for a constant column."""
+    pairs = ranks.paired_ranks(df, keys, x, y)
+    centre = pairs.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    c = ranks.same(pairs, centre, keys) if keys else pairs.join(F.broadcast(centre))
+    a, b = F.col("rx") - (F.col("_all") + 1) / 2, F.col("ry") - (F.col("_all") + 1) / 2
+    got = c.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(a * b * F.col("n")).alias("_xy"), F.sum(a * a * F.col("n")).alias("_xx"), F.sum(b * b * F.col("n")).alias("_yy"))
+    return got.select(*keys, F.when(F.col("n") >= least, ranks.rank_correlation(F.col("n"), F.col("_xy"), F.col("_xx"), F.col("_yy"))).alias("ic"), "n")
 
 
 def long_features(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -81,28 +79,33 @@ def selected(ics: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def expanding_selection(panel: DataFrame, months: DataFrame, features: list[str], label: str, k: int, min_months: int, min_rows: int, purge: int = 0) -> DataFrame:
-    """month, feature, ic, rank: for each month the features chosen on all earlier ones. months: month, number. purge
-    leaves out as many of the latest earlier months, for labels that reach into the month."""
-    numbered = panel.join(months, "month")
-    now = months.select(F.col("month").alias("at"), F.col("number").alias("at_number"))
-    past = numbered.join(now, F.col("number") < F.col("at_number") - purge)
-    enough = past.groupBy("at").agg(F.count("*").alias("rows"), F.count_distinct("month").alias("n_months")).filter((F.col("rows") >= min_rows) & (F.col("n_months") >= min_months))
-    long = long_features(past.join(enough.select("at"), "at", "left_semi").select("at", label, *features), ["at", label], features)
-    return selected(spearman(long, ["at", "feature"], "x", label), ["at"], k).withColumnRenamed("at", "month")
-
-
-def factor_scores(panel: DataFrame, chosen: DataFrame, id_: str, features: list[str], label: str) -> DataFrame:
+    """month, feature, ic, rank: for each month the features chosen on all earlier ones. months: month, number (from 1). purge
+    leaves out as many of the latest earlier months, for labels that reach into the month. Ranks among all earlier rows are
+    sums of counts by month (`ranks.expanding_spearman`), so the panel is sorted once."""
+    size = months.count()
+    numbered = panel.join(months.select("month", (F.col("number") - 1).cast("int").alias("number")), "month")
+    long = long_features(numbered, ["number", label], features).filter(F.col("x").isNotNull() & F.col(label).isNotNull())
+    ics = ranks.expanding_spearman(long.select("feature", "number", "x", F.col(label).alias("y")), size, purge)
+    by_month = numbered.groupBy("number").agg(F.count("*").alias("rows"))  # a row for each month
+    past = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = by_month.select((F.col("number") + 1 + purge).alias("number"), F.sum("rows").over(past).alias("rows"), F.count("*").over(past).alias("n_months"))
+    enough = seen.filter((F.col("rows") >= min_rows) & (F.col("n_months") >= min_months)).select("number")
+    named = months.select("month", (F.col("number") - 1).cast("int").alias("number"))
+    return selected(ics.join(enough, "number", "left_semi").join(named, "number").drop("number"), ["month"], k)
+
+
+def factor_scores(panel: DataFrame, chosen: DataFrame, id_: str, features: list[str], label: str, by: list[str] = ()) -> DataFrame:
     """month, id, label and score: the chosen features (raw, unstandardised) weighted by their past ic. A month without
-    choice, and a sum of weights of zero, give no rows."""
+    choice, and a sum of weights of zero, give no rows. by: further columns of the choice that keep scores apart."""
     long = long_features(panel, ["month", id_, label], features)
-    weights = chosen.select("month", "feature", F.col("ic").alias("w"))
-    used = weights.groupBy("month").agg(F.sum(F.abs("w")).alias("all")).filter("all >= 1e-12").select("month")
-    return long.join(weights, ["month", "feature"]).join(used, "month", "left_semi").groupBy("month", id_, label).agg(F.sum(F.col("x") * F.col("w")).alias("score"))
+    weights = chosen.select(*by, "month", "feature", F.col("ic").alias("w"))
+    used = weights.groupBy(*by, "month").agg(F.sum(F.abs("w")).alias("all")).filter("all >= 1e-12").select(*by, "month")
+    return long.join(weights.join(used, [*by, "month"], "left_semi"), ["month", "feature"]).groupBy(*by, "month", id_, label).agg(F.sum(F.col("x") * F.col("w")).alias("score"))
 
 
-def expanding_ic(panel: DataFrame, chosen: DataFrame, id_: str, features: list[str], label: str, least: int) -> DataFrame:
+def expanding_ic(panel: DataFrame, chosen: DataFrame, id_: str, features: list[str], label: str, least: int, by: list[str] = ()) -> DataFrame:
     """month and ic of factor_scores."""
-    return spearman(factor_scores(panel, chosen, id_, features, label), ["month"], "score", label, least)
+    return spearman(factor_scores(panel, chosen, id_, features, label, by), [*by, "month"], "score", label, least)
 
 
 def newey_west(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from simplicia.operators.ranks import column_quantiles
+
 
 def eligible(panel: DataFrame, entity: str, date: str, columns: list[str], min_days: int, min_coverage: float) -> DataFrame:
     """entity, n_days and the coverage of each column (values a day), for entities with enough of both."""
@@ -53,9 +55,11 @@ def complete(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def median_imputed(df: DataFrame, *columns: str) -> DataFrame:
-    """Missing values replaced by the column's median over all rows, 0 where a column has no value: one aggregate."""
-    medians = df.agg(*(F.coalesce(F.median(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in columns)).collect()[0]
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in columns})
+    """Missing values replaced by the column's exact median over all rows, 0 where a column has no value; the medians are
+    one row, joined to all."""
+    medians = column_quantiles(df, list(columns), 0.5).select(*(F.coalesce(c, F.lit(0.0)).alias(f"_m_{c}") for c in columns))
+    filled = df.join(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns})
+    return filled.drop(*medians.columns)
 
 
 def missing_profile(panel: DataFrame, columns: list[str]) -> DataFrame:

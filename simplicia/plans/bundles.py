@@ -10,13 +10,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simplicia.functions import scalars
-from simplicia.operators import classic, diagrams, embedding, evaluate, generators, panel, shape
+from simplicia.operators import classic, diagrams, embedding, evaluate, generators, panel, ranks, shape
 from simplicia.plans import series, shapes
 from simplicia.plans.panels import DAILY, daily, read
 from simplicia.plans.series import EMB, ORDER, S, arrays, events, indexed, rounded, takens
 from simplicia.plans.shapes import TREE, h0
 from simplicia.sources import readers
-from simplicia.sources.store import stacked
+from simplicia.sources.store import stacked, stored
 
 union = lambda parts: reduce(DataFrame.unionByName, parts)
 joined = lambda parts: reduce(lambda x, y: x.join(y, "user_id"), parts)
@@ -62,9 +62,9 @@ def density(spark, sf_dir):
 def histogram_2d(spark, sf_dir):
     """Counts in 20 x 20 equal bins of a value and the next one of its user."""
     p = embedding.takens(indexed(spark, sf_dir), "user_id", "x", 2, 1)
-    ends = p.agg(F.min("x0").alias("a0"), F.max("x0").alias("b0"), F.min("x1").alias("a1"), F.max("x1").alias("b1")).collect()[0]
-    cell = lambda c, k: scalars.bin_of(F.col(c), F.lit(ends[f"a{k}"]), F.lit(ends[f"b{k}"]), 20)
-    return p.select(cell("x0", 0).alias("bin_0"), cell("x1", 1).alias("bin_1")).groupBy("bin_0", "bin_1").agg(F.count("*").alias("n"))
+    ends = p.agg(F.min("x0").alias("a0"), F.max("x0").alias("b0"), F.min("x1").alias("a1"), F.max("x1").alias("b1"))
+    cell = lambda c, k: scalars.bin_of(F.col(c), F.col(f"a{k}"), F.col(f"b{k}"), 20)
+    return p.join(F.broadcast(ends)).select(cell("x0", 0).alias("bin_0"), cell("x1", 1).alias("bin_1")).groupBy("bin_0", "bin_1").agg(F.count("*").alias("n"))
 
 
 _CELL = "CASE WHEN max({c}) OVER () > min({c}) OVER () THEN least(floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 20), 19) ELSE 0 END::INT"
@@ -210,8 +210,9 @@ def cell_comparison(spark, sf_dir):
     """Nine methods in three cells of series: how well each tells volatile series from the others (area under the curve,
     from a half up), and the best method of a cell with ties by name."""
     parts = joined([shapes.flagship(spark, sf_dir), series.moments(spark, sf_dir), series.hurst(spark, sf_dir)])
-    cut = parts.agg(F.percentile("sd", 0.5).alias("cut")).collect()[0]["cut"]
-    cells = parts.withColumns({"cell": F.pmod("user_id", F.lit(3)).cast("int"), "volatile": (F.col("sd") > F.lit(cut)).cast("int")})
+    parts = stored(parts, "parts")
+    cut = ranks.column_quantiles(parts, ["sd"], 0.5).select(F.col("sd").alias("cut"))
+    cells = parts.join(F.broadcast(cut)).withColumns({"cell": F.pmod("user_id", F.lit(3)).cast("int"), "volatile": (F.col("sd") > F.col("cut")).cast("int")})
     long = evaluate.long_features(cells, ["cell", "volatile"], [m for s in SYSTEMS.values() for m in s])
     scored = evaluate.auc(long, ["cell", "feature"], "x", "volatile").filter("auc IS NOT NULL").select("cell", F.col("feature").alias("method"), F.round(F.greatest("auc", 1 - F.col("auc")), 6).alias("auc"))
     rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("auc"), "method"))

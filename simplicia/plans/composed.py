@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from simplicia.operators import classic, diagrams, embedding, evaluate, generators, homology, shape
+from simplicia.operators import classic, diagrams, embedding, evaluate, generators, homology, ranks, shape
 from simplicia.plans.evaluation import FEATURES, LONG, MONTHLY, _expanding_sql, monthly, months_of, rank_sql
 from simplicia.plans.series import EMB, arrays, indexed, pairs, rounded, takens
 from simplicia.plans.shapes import as_clouds, h0, persisted
@@ -123,10 +123,11 @@ SELECT k, n, round(ic, 6) AS ic FROM {rank_sql('sc', 'k', 'score', 'y', 10)}"""
 
 def topk_scan(spark, sf_dir):
     """Mean monthly rank correlation of the expanding selection with 1, 2, 3 and 5 features."""
-    p = monthly(spark, sf_dir)
+    p = stored(monthly(spark, sf_dir), "monthly")
     chosen = evaluate.expanding_selection(p, months_of(p), FEATURES, "y", 5, 6, 200)
-    parts = [evaluate.expanding_ic(p, chosen.filter(F.col("rank") <= k), "supp", FEATURES, "y", 10).agg(F.avg("ic").alias("ic"), F.count("ic").alias("n")).withColumn("k", F.lit(k)) for k in (1, 2, 3, 5)]
-    return rounded(union(parts), "k", "n")
+    cut = chosen.withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3, 5))))).filter(F.col("rank") <= F.col("k"))
+    ics = evaluate.expanding_ic(p, cut, "supp", FEATURES, "y", 10, by=["k"])
+    return rounded(ics.groupBy("k").agg(F.avg("ic").alias("ic"), F.count("ic").alias("n")), "k", "n")
 
 
 #: The expanding selection of 5 features once, cut at each k.
@@ -135,8 +136,9 @@ TOPK_SCAN_SQL = _expanding_sql(f", sc AS (SELECT u.k, l.month, l.supp, l.y, sum(
 
 def top_by_auc(spark, sf_dir):
     """Features by how far their area under the curve is from a half, for labels above the month's median."""
-    p = monthly(spark, sf_dir).filter("y IS NOT NULL")
-    high = p.withColumn("high", (F.col("y") > F.percentile("y", 0.5).over(Window.partitionBy("month"))).cast("int"))
+    p = stored(monthly(spark, sf_dir).filter("y IS NOT NULL"), "monthly")
+    middle = ranks.quantiles(p, ["month"], "y", [0.5]).select("month", F.col("y").alias("middle"))
+    high = p.join(middle, "month").withColumn("high", (F.col("y") > F.col("middle")).cast("int"))
     long = evaluate.long_features(high, ["high"], FEATURES)
     a = evaluate.auc(long, ["feature"], "x", "high").withColumn("ic", F.col("auc") - 0.5)
     return rounded(evaluate.selected(a.withColumn("one", F.lit(1)), ["one"], 3).select("feature", "rank", "auc"), "feature", "rank")

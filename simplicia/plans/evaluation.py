@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from simplicia.operators import classic, diagrams, evaluate
 from simplicia.plans.panels import read
 from simplicia.plans.series import S, indexed, rounded
+from simplicia.sources.store import stored
 
 FEATURES = ["f_qty", "f_disc", "f_tax", "f_rows", "f_ret"]
 
@@ -31,9 +32,9 @@ LONG = "long AS (SELECT supp, month, y, feature, x FROM (SELECT supp, month, y,
 
 
 def rank_sql(source: str, keys: str, x: str, y: str, least: int) -> str:
-    """Rank correlation in DuckDB."""
+    """Rank correlation in DuckDB, 0 for a constant column."""
     part = f"PARTITION BY {keys}"
-    return f"""(SELECT {keys}, count(*) AS n, CASE WHEN count(*) >= {least} AND stddev_pop(rx) >= 1e-12 AND stddev_pop(ry) >= 1e-12 THEN corr(rx, ry) END AS ic FROM (
+    return f"""(SELECT {keys}, count(*) AS n, CASE WHEN count(*) >= {least} THEN CASE WHEN stddev_pop(rx) >= 1e-12 AND stddev_pop(ry) >= 1e-12 THEN corr(rx, ry) ELSE 0 END END AS ic FROM (
       SELECT {keys}, rank() OVER ({part} ORDER BY {x}) + (count(*) OVER ({part}, {x}) - 1) / 2 AS rx, rank() OVER ({part} ORDER BY {y}) + (count(*) OVER ({part}, {y}) - 1) / 2 AS ry
       FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) GROUP BY {keys})"""
 
@@ -98,7 +99,7 @@ def months_of(panel: DataFrame) -> DataFrame:
 
 
 def expanding(spark, sf_dir):
-    p = monthly(spark, sf_dir)
+    p = stored(monthly(spark, sf_dir), "monthly")
     return rounded(evaluate.expanding_selection(p, months_of(p), FEATURES, "y", 3, 6, 200), "month", "feature", "rank").drop("n")
 
 
@@ -113,7 +114,7 @@ sel AS (SELECT at_ AS month, feature, ic, row_number() OVER (PARTITION BY at_ OR
 
 
 def expanding_ic(spark, sf_dir):
-    p = monthly(spark, sf_dir)
+    p = stored(monthly(spark, sf_dir), "monthly")
     chosen = evaluate.expanding_selection(p, months_of(p), FEATURES, "y", 3, 6, 200)
     return rounded(evaluate.expanding_ic(p, chosen, "supp", FEATURES, "y", 10), "month", "n")
 
@@ -123,7 +124,7 @@ EXPANDING_IC_SQL = _expanding_sql(f", sc AS (SELECT l.month, l.supp, l.y, sum(l.
 
 def expanding_factor(spark, sf_dir):
     """The factor of each (supplier, month): the features chosen on all earlier months, weighted by their past ic."""
-    p = monthly(spark, sf_dir)
+    p = stored(monthly(spark, sf_dir), "monthly")
     chosen = evaluate.expanding_selection(p, months_of(p), FEATURES, "y", 3, 6, 200)
     return rounded(evaluate.factor_scores(p, chosen, "supp", FEATURES, "y").select("month", "supp", "score"), "month", "supp")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplicia.operators import classic, diagrams, evaluate, learn
+from simplicia.operators import classic, diagrams, evaluate, learn, ranks
 from simplicia.plans.series import indexed, rounded
 from simplicia.plans.shapes import h0
+from simplicia.sources.store import stored
 from simplicia.streaming.series import windowed_moments
 
 
@@ -26,8 +27,8 @@ def topology_against_classic(spark, sf_dir):
     """Area under the curve of a forest that tells volatile series (variance above the median of all) apart: by the
     vector of the H0 diagram, by classical moments, by both."""
     s = indexed(spark, sf_dir)
-    m = classic.moments(s, "user_id", "x")
-    cut = m.agg(F.percentile("sd", 0.5).alias("cut"))
+    m = stored(classic.moments(s, "user_id", "x"), "moments")
+    cut = ranks.column_quantiles(m, ["sd"], 0.5).select(F.col("sd").alias("cut"))
     topo = diagrams.fixed_vectors(h0(spark, sf_dir), "user_id", 0.0, 200.0, 12, 2).withColumnRenamed("vector", "topo")
     base = m.join(F.broadcast(cut)).select("user_id", (F.col("sd") > F.col("cut")).cast("int").alias("y"), F.array("mean", "skew", "kurtosis").alias("classic"))
     df = evaluate.stratified(base.join(topo, "user_id").withColumn("both", F.concat("classic", "topo")), "y", "user_id", 3, 0.7)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.operators import classic, embedding, homology
+from simplicia.operators import classic, embedding, homology, ranks
+from simplicia.sources.store import stored
 
 M, TAU = 3, 4
 ORDER = ["ts", "event_id"]
@@ -177,8 +178,9 @@ def cleaned_cloud(spark, sf_dir):
 
 
 def knn_stats(spark, sf_dir):
-    n = homology.nearest(pairs(spark, sf_dir), "user_id", 1)
-    return rounded(n.groupBy("user_id").agg(F.avg("d").alias("nn_mean"), F.stddev_pop("d").alias("nn_sd"), F.percentile("d", 0.9).alias("nn_p90")), "user_id")
+    n = stored(homology.nearest(pairs(spark, sf_dir), "user_id", 1), "nearest")
+    p90 = ranks.quantiles(n, ["user_id"], "d", [0.9]).select("user_id", F.col("d").alias("nn_p90"))
+    return rounded(n.groupBy("user_id").agg(F.avg("d").alias("nn_mean"), F.stddev_pop("d").alias("nn_sd")).join(p90, "user_id"), "user_id")
 
 
 QUERIES = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from simplicia.operators import diagrams, embedding, homology
 from simplicia.plans.series import M, PAIRS, TAU, arrays, pairs, rounded, takens
+from simplicia.sources.store import stored
 
 
 def clouds(spark, sf_dir) -> DataFrame:
@@ -162,7 +163,7 @@ QUERIES = {
     "h0_betti_at": (lambda s, d: h0(s, d).groupBy("user_id").agg(homology.betti_at(30.0).alias("betti")), f"WITH {TREE} SELECT user_id, count(*) FILTER (WHERE birth <= 30 AND death > 30) AS betti FROM h0 GROUP BY 1"),
     "h0_betti_curve": (betti_curve, f"WITH {GRID} SELECT g.user_id, b, round(t, 6) AS t, count(*) FILTER (WHERE birth <= t AND t < death) AS betti FROM g JOIN h0 USING (user_id) GROUP BY 1, 2, 3"),
     "h0_landscape": (landscape, LANDSCAPE_SQL),
-    "h0_fixed_range": (lambda s, d: rounded(diagrams.fixed_range(h0(s, d))), f"WITH {TREE} SELECT round(min(least(birth, death)), 6) AS lo, round(greatest(quantile_cont(birth, 0.995), quantile_cont(death, 0.995), min(birth) + 1e-6), 6) AS hi FROM h0"),
+    "h0_fixed_range": (lambda s, d: rounded(diagrams.fixed_range(stored(h0(s, d), "bars"))), f"WITH {TREE} SELECT round(min(least(birth, death)), 6) AS lo, round(greatest(quantile_cont(birth, 0.995), quantile_cont(death, 0.995), min(birth) + 1e-6), 6) AS hi FROM h0"),
     "h0_fixed_vector": (fixed_vector, FIXED_SQL),
     "h0_significant": (significant, SIGNIFICANT_SQL),
     "h0_tail_counts": (lambda s, d: diagrams.tail_counts(h0(s, d), "user_id"), f"WITH {TREE}, p AS (SELECT user_id, death, max(death) OVER (PARTITION BY user_id) AS top FROM h0) SELECT user_id, k AS step, count(*) FILTER (WHERE death > 0.1 * top + k * (0.9 * top - 0.1 * top) / 4) AS n_longer FROM p, unnest(range(0, 5)) AS u(k) GROUP BY 1, 2"),
