@@ -153,8 +153,11 @@ def repeated_windows(rows: DataFrame, length: int = WINDOW) -> DataFrame:
     kind = "doc_id long, row long, pos int, "
     first = stored(named.mapInArrow(_seed_rows(length), kind + "h1 long"), "substring-seeds")
     candidates = _repeated(first, ["h1"], later=False, name="substring-candidates")
-    texts = named.join(candidates.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "row", "text", "places")
-    second = stored(texts.mapInArrow(_extended(length), kind + "h1 long, h2 int"), "substring-windows")
+    # no name holds the join, or its shuffle files would stay as long as this call
+    second = stored(
+        named.join(candidates.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "row", "text", "places").mapInArrow(_extended(length), kind + "h1 long, h2 int"),
+        "substring-windows",
+    )
     release(spark, candidates)
     return _repeated(second, ["h1", "h2"], later=True, name="substring-repeats")
 
