@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simplicia.functions.scalars import total
-from simplicia.operators.homology import both_ways
+from simplicia.operators.neighbours import nearest
+from simplicia.sources.store import stored
 
 
 def moments(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -96,11 +97,10 @@ def hurst(series: DataFrame, key: str, value: str = "x", sizes: tuple[int, ...]
     return series.select(key).distinct().join(fit, key, "left").select(key, F.when(F.col("k") >= 2, F.col("slope")).otherwise(0.5).alias("hurst"))
 
 
-def false_neighbours(cloud: DataFrame, pairs: DataFrame, key: str, extra: str, tolerance: float = 10.0, least: int = 20, sizes: DataFrame | None = None) -> DataFrame:
+def false_neighbours(cloud: DataFrame, key: str, coordinates: list[str], extra: str, tolerance: float = 10.0, least: int = 20) -> DataFrame:
     """Share of points whose nearest other point is a false neighbour: far apart in the coordinate that the next
-    dimension adds. cloud: key, i and that coordinate; pairs: distances in m dimensions."""
-    w = Window.partitionBy(key, "i").orderBy("d", "j")
-    near = both_ways(pairs, key).withColumn("r", F.row_number().over(w)).filter("r = 1")
+    dimension adds. cloud: key, i, the coordinates and that one."""
+    near = nearest(cloud, key, "i", coordinates, 1)
     a, b = cloud.select(key, "i", F.col(extra).alias("ea")), cloud.select(key, F.col("i").alias("j"), F.col(extra).alias("eb"))
     joined = near.join(a, [key, "i"]).join(b, [key, "j"])
     ratio = F.sqrt(F.col("d") * F.col("d") + F.pow(F.col("ea") - F.col("eb"), 2)) / (F.col("d") + 1e-12)
@@ -108,14 +108,15 @@ def false_neighbours(cloud: DataFrame, pairs: DataFrame, key: str, extra: str, t
     return got.select(key, F.when(F.col("n") >= least, F.col("fnn")).alias("fnn"))
 
 
-def neighbour_r2(pairs: DataFrame, targets: DataFrame, key: str, k: int = 5, exclude: int = 3, least: int = 30) -> DataFrame:
+def neighbour_r2(cloud: DataFrame, coordinates: list[str], targets: DataFrame, key: str, k: int = 5, exclude: int = 3, least: int = 30) -> DataFrame:
     """R2 of predicting a target by the mean target of the k nearest points, those within `exclude` steps left out,
-    among the k + exclude + 1 nearest; null for short series or constant targets. targets: key, i, target."""
-    w = Window.partitionBy(key, "i").orderBy("d", "j")
-    both = both_ways(pairs, key)
+    among the k + exclude + 1 nearest; null for short series or constant targets. cloud: key, i and the coordinates;
+    targets: key, i, target. Points without a target don't count as neighbours."""
+    w = Window.partitionBy(key, "i").orderBy("r")
+    targets = stored(targets, "targets")
     t = targets.select(key, F.col("i").alias("j"), F.col("target").alias("tj"))
-    valid = both.join(targets.select(key, "i"), [key, "i"]).join(t, [key, "j"])
-    near = valid.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + exclude + 1)
+    near = nearest(cloud.join(targets.select(key, "i"), [key, "i"]), key, "i", coordinates, k + exclude + 1).withColumnRenamed("rank", "r").join(t, [key, "j"])
+    near = stored(near, "nearest")
     far = near.filter(F.abs(F.col("i") - F.col("j")) > exclude).withColumn("q", F.row_number().over(w)).filter(F.col("q") <= k)
     guess = far.groupBy(key, "i").agg(F.avg("tj").alias("guess"))
     first = near.filter("r = 1").select(key, "i", F.col("tj").alias("first"))

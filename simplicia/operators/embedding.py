@@ -22,7 +22,8 @@ def indexed(df: DataFrame, key: str, order: list[str], *values: str) -> DataFram
 def as_arrays(df: DataFrame, key: str, order: list[str], *values: str) -> DataFrame:
     """One row for each series: key, n and an array for each value column, in order."""
     rows = F.sort_array(F.collect_list(F.struct(*order, *(F.col(v).alias(f"_{v}") for v in values))))
-    got = df.groupBy(key).agg(rows.alias("rows"))
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)  # a number that stays, as what follows costs more than bytes tell
+    got = dealt.groupBy(key).agg(rows.alias("rows"))
     return got.select(key, F.size("rows").alias("n"), *(F.col(f"rows._{v}").alias(v) for v in values))
 
 

@@ -1,8 +1,8 @@
 """Persistent homology of clouds as a distributed operator: one cloud a row in, bars out.
 
 The kernel sees one cloud at a time inside Arrow batches. Clouds that fail get a status instead of bars, so an
-error never turns into an empty diagram unnoticed. Deal clouds evenly before the call; their cost grows with the
-cube of their points.
+error never turns into an empty diagram unnoticed. Clouds are dealt in turn over four tasks a core, so that a costly one
+holds no others back.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simplicia.functions.scalars import seed_of
+from simplicia.operators.neighbours import nearest
 
 BARS = "array<struct<dim:int,birth:double,death:double>>"
 
@@ -19,7 +20,9 @@ BARS = "array<struct<dim:int,birth:double,death:double>>"
 def persistence(clouds: DataFrame, maxdim: int = 1, points: str = "points", precomputed: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """The kept columns, bars and status ('ok' or the error). points: array of points, or with precomputed the rows
     of a distance matrix. maxdim 0 takes the spanning-tree path alone."""
-    kept = clouds.select(*keep, points)
+    # adaptive execution would join small clouds up into few tasks, though their cost is that of their points cubed
+    spark = clouds.sparkSession
+    kept = clouds.select(*keep, points).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in clouds.select(*keep).schema.fields), f"bars {BARS}", "status string"])
 
     def run(frames):
@@ -73,15 +76,9 @@ def both_ways(pairs: DataFrame, key: str, diagonal: bool = False) -> DataFrame:
     return pairs.select(key, F.explode(F.array(*ways)).alias("e")).select(key, "e.*")
 
 
-def nearest(pairs: DataFrame, key: str, k: int) -> DataFrame:
-    """The k nearest others of every point, ties by number: key, i, j, d, rank."""
-    w = Window.partitionBy(key, "i").orderBy("d", "j")
-    return both_ways(pairs, key).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def dtm_weights(pairs: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """Distance to measure: mean distance to the k nearest others."""
-    return nearest(pairs, key, k).groupBy(key, "i").agg(F.avg("d").alias("weight"))
+def dtm_weights(cloud: DataFrame, key: str, point: str, coordinates: list[str], k: int = 5) -> DataFrame:
+    """Distance to measure: mean distance to the k nearest others, found by grid cells."""
+    return nearest(cloud, key, point, coordinates, k).groupBy(key, "i").agg(F.avg("d").alias("weight"))
 
 
 def shape_weights(pairs: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from simplicia.operators import classic, diagrams, embedding, evaluate, generators, homology, ranks, shape
 from simplicia.plans.evaluation import FEATURES, LONG, MONTHLY, _expanding_sql, monthly, months_of, rank_sql
-from simplicia.plans.series import EMB, arrays, indexed, pairs, rounded, takens
+from simplicia.plans.series import EMB, arrays, dtm_of, indexed, pairs, rounded, takens
 from simplicia.plans.shapes import as_clouds, h0, persisted
 from simplicia.sources.store import stacked, stored
 
@@ -51,7 +51,7 @@ def local_surface(spark, sf_dir):
 def compare_filtrations(spark, sf_dir):
     """The five longest loops under the plain, the distance-to-measure and the shape-weighted filtration."""
     p = stored(pairs(spark, sf_dir), "pairs")
-    edges = {"plain": p, "dtm": homology.weighted_edges(p, homology.dtm_weights(p, "user_id"), "user_id"), "shape": homology.weighted_edges(p, homology.shape_weights(p, "user_id"), "user_id")}
+    edges = {"plain": p, "dtm": homology.weighted_edges(p, dtm_of(spark, sf_dir), "user_id"), "shape": homology.weighted_edges(p, homology.shape_weights(p, "user_id"), "user_id")}
     parts = []
     for name, e in edges.items():
         got = homology.persistence(homology.as_matrices(e, "user_id"), 1, precomputed=True, keep=("user_id",))

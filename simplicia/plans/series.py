@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.operators import classic, embedding, homology, ranks
+from simplicia.operators import classic, embedding, homology, neighbours, ranks
 from simplicia.sources.store import stored
 
 M, TAU = 3, 4
 ORDER = ["ts", "event_id"]
+POINT = ["x0", "x1", "x2"]
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,11 @@ def takens(spark, sf_dir):
 
 
 def pairs(spark, sf_dir):
-    return homology.pairwise(takens(spark, sf_dir), "user_id", "i", ["x0", "x1", "x2"])
+    return homology.pairwise(takens(spark, sf_dir), "user_id", "i", POINT)
+
+
+def dtm_of(spark, sf_dir):
+    return homology.dtm_weights(stored(takens(spark, sf_dir), "cloud"), "user_id", "i", POINT)
 
 
 def multichannel(spark, sf_dir):
@@ -144,8 +149,7 @@ SELECT u.user_id, round(CASE WHEN k >= 2 THEN h ELSE 0.5 END, 6) AS hurst FROM (
 def fnn(spark, sf_dir):
     s = indexed(spark, sf_dir)
     cloud = embedding.takens(s, "user_id", "x", M + 1, TAU)
-    p = homology.pairwise(cloud, "user_id", "i", ["x0", "x1", "x2"])
-    return rounded(classic.false_neighbours(cloud, p, "user_id", "x3"), "user_id")
+    return rounded(classic.false_neighbours(stored(cloud, "cloud"), "user_id", POINT, "x3"), "user_id")
 
 
 FNN_SQL = f"""
@@ -157,7 +161,7 @@ SELECT user_id, CASE WHEN count(*) >= 20 THEN round(avg(CASE WHEN sqrt(d * d + e
 def knn_r2(spark, sf_dir):
     s = indexed(spark, sf_dir)
     targets = s.select("user_id", (F.col("i") - M * TAU).alias("i"), F.col("x").alias("target")).filter("i >= 0")
-    return rounded(classic.neighbour_r2(pairs(spark, sf_dir), targets, "user_id"), "user_id")
+    return rounded(classic.neighbour_r2(takens(spark, sf_dir), POINT, targets, "user_id"), "user_id")
 
 
 R2_SQL = f"""
@@ -178,7 +182,7 @@ def cleaned_cloud(spark, sf_dir):
 
 
 def knn_stats(spark, sf_dir):
-    n = stored(homology.nearest(pairs(spark, sf_dir), "user_id", 1), "nearest")
+    n = stored(neighbours.nearest(stored(takens(spark, sf_dir), "cloud"), "user_id", "i", POINT, 1), "nearest")
     p90 = ranks.quantiles(n, ["user_id"], "d", [0.9]).select("user_id", F.col("d").alias("nn_p90"))
     return rounded(n.groupBy("user_id").agg(F.avg("d").alias("nn_mean"), F.stddev_pop("d").alias("nn_sd")).join(p90, "user_id"), "user_id")
 

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplicia.operators import diagrams, embedding, homology
-from simplicia.plans.series import M, PAIRS, TAU, arrays, pairs, rounded, takens
+from simplicia.operators import diagrams, embedding, homology, neighbours
+from simplicia.plans.series import M, PAIRS, POINT, TAU, arrays, dtm_of, pairs, rounded, takens
 from simplicia.sources.store import stored
 
 
@@ -112,7 +112,7 @@ def bars(spark, sf_dir, maxdim: int, m: int = M):
 
 def weighted_h1(spark, sf_dir):
     p = pairs(spark, sf_dir)
-    edges = homology.weighted_edges(p, homology.dtm_weights(p, "user_id"), "user_id")
+    edges = homology.weighted_edges(p, dtm_of(spark, sf_dir), "user_id")
     got = homology.persistence(homology.as_matrices(edges, "user_id"), 1, precomputed=True, keep=("user_id",))
     return by_dimension(got)
 
@@ -132,7 +132,7 @@ def images(spark, sf_dir):
 
 
 def dtm(spark, sf_dir):
-    return rounded(homology.dtm_weights(pairs(spark, sf_dir), "user_id"), "user_id", "i")
+    return rounded(dtm_of(spark, sf_dir), "user_id", "i")
 
 
 def shape_weights(spark, sf_dir):
@@ -141,14 +141,19 @@ def shape_weights(spark, sf_dir):
 
 def weighted_edges(spark, sf_dir):
     p = pairs(spark, sf_dir)
-    e = homology.weighted_edges(p, homology.dtm_weights(p, "user_id"), "user_id")
+    e = homology.weighted_edges(p, dtm_of(spark, sf_dir), "user_id")
     return rounded(e.groupBy("user_id").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"), F.avg("d").alias("mean")), "user_id", "n")
 
 
+def tree_bars(spark, sf_dir):
+    """The finite bars of h0_bars by spanning trees over grid cells, which no size of a cloud bounds."""
+    return neighbours.spanning_edges(stored(takens(spark, sf_dir), "cloud"), "user_id", "i", POINT).select("user_id", F.round("d", 6).alias("death"))
+
+
 def weighted_matrix(spark, sf_dir):
     """Entries of the distance matrices of the weighted filtration: their number, sum and largest of each point."""
     p = pairs(spark, sf_dir)
-    e = homology.matrix_entries(homology.weighted_edges(p, homology.dtm_weights(p, "user_id"), "user_id"), "user_id")
+    e = homology.matrix_entries(homology.weighted_edges(p, dtm_of(spark, sf_dir), "user_id"), "user_id")
     return rounded(e.groupBy("user_id", "i").agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.max("d").alias("most")), "user_id", "i", "n")
 
 
@@ -172,6 +177,7 @@ QUERIES = {
     "shape_weights": (shape_weights, f"WITH {PAIRS} SELECT user_id, i, round(tanh(0.5 * sum(d) / (count(*) + 1) + 0.3 * sqrt(greatest(sum(d * d) / (count(*) + 1) - (sum(d) / (count(*) + 1)) ** 2, 0)) - 0.2 * coalesce(min(d) FILTER (WHERE d > 0), 0)), 6) AS weight FROM d GROUP BY 1, 2"),
     "weighted_edges": (weighted_edges, f"WITH {DTM}, x AS (SELECT d.user_id, (d.d + a.weight + b.weight) / 2 AS d FROM d JOIN w a ON a.user_id = d.user_id AND a.i = d.i JOIN w b ON b.user_id = d.user_id AND b.i = d.j WHERE d.i < d.j) SELECT user_id, count(*) AS n, round(min(d), 6) AS least, round(max(d), 6) AS most, round(avg(d), 6) AS mean FROM x GROUP BY 1"),
     "weighted_matrix": (weighted_matrix, f"WITH {DTM} SELECT d.user_id, d.i, count(*) + 1 AS n, round(sum((d.d + a.weight + b.weight) / 2), 6) AS total, round(max((d.d + a.weight + b.weight) / 2), 6) AS most FROM d JOIN w a ON a.user_id = d.user_id AND a.i = d.i JOIN w b ON b.user_id = d.user_id AND b.i = d.j GROUP BY 1, 2"),
+    "tree_bars": (tree_bars, f"WITH {TREE} SELECT user_id, round(death, 6) AS death FROM h0"),
     "h1_features": (lambda s, d: bars(s, d, 1), None),
     "weighted_h1": (weighted_h1, None),
     "half_distances": (distances_to_half, None),
