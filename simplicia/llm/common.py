@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -61,7 +62,9 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first pass finds the plans, the second what they held; the cleaner works behind
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def ascii_lower(c: Column) -> Column:
