@@ -4,8 +4,8 @@ source, and rejection of transformed statistic vectors by Mahalanobis distance.
 Every text becomes a vector of transformed rates. Each (language, source) with at least MIN_ROWS usable texts has
 an estimate of its own; the texts of smaller ones share one of their language, and those of small languages one
 for all. Concentration steps keep the SHARE of nearest rows and take their mean and covariance again. They run from
-several STARTS side by side (around the coordinates' medians and their quartiles) until no determinant falls any more, MOST_STEPS at most,
-and the start with the least determinant stays. All rows of a group take part in every step, as partial sums and
+several STARTS side by side (around the coordinates' medians and their quartiles) until no determinant falls any more
+(a start that has come to its end takes no part in later steps), and the start with the least determinant stays. All rows of a group take part in every step, as partial sums and
 sketched quantiles, so a source with a third of all rows costs no task more than another; the estimates meet the rows
 through a counted broadcast or a salted join.
 
@@ -17,6 +17,8 @@ rows count as often as they stand; extra columns pass through `rejecting` and ar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,9 @@ from simplicia.llm.common import join_counted, stored, table
 from simplicia.llm.textstats import with_counts
 
 #: Production parameters.
-MIN_ROWS, SHARE, MOST_STEPS, PRIOR = 80, 0.75, 5, 4
+MIN_ROWS, SHARE, PRIOR = 80, 0.75, 4
 #: Steps end when no log-determinant falls by more than this.
-TOLERANCE = 0.02
+TOLERANCE = 0.001
 #: Quantiles of the coordinates around which the steps start.
 STARTS = (0.5, 0.25, 0.75)
 #: A text goes beyond the median distance plus REACH times the way from the median to the upper quartile. Statistics of
@@ -132,18 +134,22 @@ def estimate(rows: DataFrame) -> DataFrame:
     first = quartiles.select("g", w.alias("w"), F.explode(centres).alias("c")).select("g", "c.start", "c.mu", "w", F.lit(float("inf")).alias("logdet"))
     estimates = stored(first, "mcd-start")
     n = estimates.count()
-    for _ in range(MOST_STEPS):
-        found = distance(usable, estimates.drop("logdet"), n)
+    moving, ended = estimates, []
+    while n:
+        found = distance(usable, moving.drop("logdet"), n).filter(F.col("start").isNotNull())
         limits = stored(found.groupBy("g", "start").agg(F.percentile_approx("d2", SHARE, 1000).alias("limit")), "mcd-limits")
         near = join_counted(found, limits, ["g", "start"], n, how="inner").filter(F.col("d2") <= F.col("limit"))
         sums = [F.sum(x).alias(f"m{i}") for i, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"c{i}_{j}") for i in range(P) for j in range(i + 1)]
         moved = stored(whitened(near.groupBy("g", "start").agg(F.count("*").alias("n"), *sums)), "mcd-step")
-        before = estimates.select("g", "start", F.col("logdet").alias("was"))
-        estimates = moved
-        if moved.join(before, ["g", "start"]).filter(F.col("logdet") < F.col("was") - TOLERANCE).isEmpty():
-            break
-    best = estimates.groupBy("g").agg(F.min_by(F.struct("mu", "w"), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
+        before = moving.select("g", "start", F.col("logdet").alias("was"))
+        fell = moved.join(before, ["g", "start"]).withColumn("fell", F.col("logdet") < F.col("was") - TOLERANCE)
+        fell = stored(fell.drop("was"), "mcd-fell")
+        ended.append(fell.filter("not fell").drop("fell"))
+        moving = fell.filter("fell").drop("fell")
+        n = moving.count()
+    best = reduce(DataFrame.unionByName, ended, estimates.limit(0)).repartition("g").groupBy("g").agg(F.min_by(F.struct("mu", "w"), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
     best = stored(best, "mcd-best")
+    n = best.count()
     spread = distance(usable, best, n).groupBy("g").agg(F.percentile_approx(F.sqrt("d2"), [0.5, 0.75], 1000).alias("q"))
     limit = F.pow(F.col("q")[0] + REACH * (F.col("q")[1] - F.col("q")[0]), 2)
     # of a few rows the quartiles may coincide; a limit is never below that of a Gaussian
