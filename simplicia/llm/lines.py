@@ -13,8 +13,8 @@ within one edit. Cells of the index with more than SMALL lines don't form pairs:
 left-out quarter with each single character deleted, which only lines within one edit share. All candidates are
 verified by a banded bit-parallel edit distance (`within_edits`), for any threshold.
 
-Null and empty texts have no lines; texts of any length are read whole. Documents with equal doc_id count as one:
-repeated rows keep their lines alike. Extra columns pass through `without_duplicates`.
+Null and empty texts have no lines; texts of any length are read whole. Repeated rows keep their lines alike; rows of one
+doc_id with different texts are documents of their own, one after the other by a hash of the text. Extra columns pass through `without_duplicates`.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def _cells(line: Column) -> Column:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line, k1, k2 of every line that is compared."""
-    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(_lines(F.col("text").cast("string"))).alias("pos", "line"))
+    at = docs.select("doc_id", F.posexplode_outer(_lines(F.col("text").cast("string"))).alias("pos", "line"))
     lines = at.select("doc_id", "pos", _trimmed(F.col("line")).alias("line")).filter(F.char_length("line") >= MIN_CHARS)
     return lines.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"))
 
@@ -90,7 +90,7 @@ def _with_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, pos and line of the wanted places."""
     wanted = stored(wanted.distinct(), "line-places")
     ids = stored(wanted.select("doc_id").distinct(), "line-docs")
-    texts = join_counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, ["doc_id"], ids.count(), how="inner")
+    texts = join_counted(docs.select("doc_id", "text"), ids, ["doc_id"], ids.count(), how="inner")
     return line_table(texts.dropDuplicates(["doc_id"])).select("doc_id", "pos", "line").join(wanted, ["doc_id", "pos"])
 
 
@@ -159,8 +159,15 @@ def line_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(within_edits("line", "later", MAX_EDITS)).select("doc_id", "pos", "later_doc", "later_pos")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What tells texts apart: doc_id, and with it a hash of the text where rows of one doc_id hold different texts."""
+    doc, text = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    texts = docs.filter(F.col("doc_id").isNotNull()).groupBy(doc.alias("doc_id")).agg(F.min(text).alias("a"), F.max(text).alias("b"))
+    return doc if texts.filter("a <> b").isEmpty() else F.struct(doc.alias("doc_id"), text.alias("row"))
+
+
 def kept_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, kept, n_near, n_links) of documents that hold the first copy of a line: the numbers of the lines
+    """docs: doc_id (a key of `row_key`) and text. (doc_id, kept, n_near, n_links) of documents that hold the first copy of a line: the numbers of the lines
     that stay, first copies that go as near duplicates, and links of first copies; and the links themselves."""
     classes = stored(line_classes(docs), "line-classes")
     links = stored(line_links(docs, classes), "line-links")
@@ -177,10 +184,11 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     """docs with the duplicate lines cut out of text, and the counts n_lines, n_compared, n_removed, n_near, n_links.
     Columns of docs with those names are replaced."""
     mine = ["n_lines", "n_compared", "n_removed", "n_near", "n_links"]
-    kept, _ = kept_lines(docs.select("doc_id", "text"))
+    key = row_key(docs)
+    kept, _ = kept_lines(docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")))
     rest = [c for c in docs.columns if c not in mine]
     own = kept.select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept"), F.col("n_near").alias("_near"), F.col("n_links").alias("_links"))
-    joined = docs.select(*rest).join(own, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    joined = docs.select(*rest).join(own, key == F.col("_doc"), "left")
     lines = F.transform(_lines(F.col("text")), lambda x, i: F.struct(x.alias("line"), i.alias("pos"), (F.char_length(_trimmed(x)) >= MIN_CHARS).alias("compared")))
     split = joined.withColumn("_lines", lines)
     compared = F.transform(F.filter("_lines", lambda x: x["compared"]), lambda x: x["pos"])
