@@ -4,7 +4,8 @@ tag-class paths in Spark, and pages are extracted again through the winning path
 A container's share is the part of the page's readable text inside it, less what is link text. A host takes the
 deepest path that holds nearly as much as its best, or the nearest article or main around it, as heading and lead
 stand beside the inner container. A page where that path holds clearly less than the page's own best container falls
-back to the latter. Pages are parsed in linear time, alone; votes are pre-aggregated before they meet, so a host with a
+back to the latter. A name of a box (class or id) makes it noise only if all its parts are words of noise or layout, and
+never a heading or a paragraph, so that related-work or notice-period stay text. Pages are parsed in linear time, alone; votes are pre-aggregated before they meet, so a host with a
 third of all pages sends a few rows from each task.
 
 Null and empty html give an empty text; urls without a host vote together as one; repeated rows give equal rows;
@@ -37,8 +38,13 @@ SKIPPED = frozenset("head script style noscript template nav header footer aside
 NOISE = frozenset(
     "ad ads advert adverts advertisement adbox adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended toolbar pagination pager widget widgets legal copyright skip".split()
 )
-#: Parts of a name that turn its other parts around, as in with-sidebar or post-header.
-NOT_NOISE = frozenset("with has no main content article entry post".split())
+#: Parts that may stand beside a noise word in the name of a box of the layout. Any other part, as in related-work or
+#: notice-period, makes it a name of the text.
+LAYOUT = frozenset(
+    "area bar block body bottom box btn button buttons card cards center col column container drop dropdown feed fixed form global group head holder icons inner item items js large left list links lower main mobile module outer pane panel panels placeholder post posts right row section site slot small sticky story stories tab tabs tools top unit upper view wide widget wrap wrapper zone".split()
+)
+#: Elements that are text, whatever they are called.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Elements that implied end tags don't cross.
 _WALL = CONTAINER | {"ul", "ol", "table", "dl", "blockquote"}
@@ -47,6 +53,8 @@ _RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 LABELLED = 8
 #: A host takes the deepest path with at least this part of the best path's share.
 NEARLY = 0.9
+#: What stands around a chosen container is left out if more than this part of it is link text.
+LINKS = 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -70,27 +78,30 @@ def _names(tag: str, attrs: str) -> tuple[str, bool]:
         elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none", v, re.I)):
             hidden = True
     classes = sorted({re.sub(r"\d+", "#", x) for x in cls.lower().split()})
-    noise = hidden or role in NOISE_ROLES or any(_noisy(x) for x in (*cls.split(), *ident.split()))
+    noise = hidden or role in NOISE_ROLES or tag not in PROSE and any(_noisy(x) for x in (*cls.split(), *ident.split()))
     return ".".join([tag, *classes]), noise
 
 
 def _noisy(name: str) -> bool:
-    """Whether the first or last part of a class or id is a noise word; comments stay noise whatever precedes."""
-    parts = re.split(r"[-_]+", re.sub(r"\d+$", "", name.lower()).strip("-_"))
+    """Whether a class or id is made of noise words and words of the layout; comments are noise whatever precedes."""
+    parts = [x for x in re.split(r"[-_\d]+", name.lower()) if x]
+    if not parts:
+        return False
     if parts[-1] in ("comment", "comments") or parts[0] in ("comment", "comments"):
         return True
-    return (parts[0] in NOISE or parts[-1] in NOISE) and not NOT_NOISE.intersection(parts)
+    return not NOISE.isdisjoint(parts) and all(x in NOISE or x in LAYOUT for x in parts) and parts[-1] not in ("main", "body") and parts[0] != "main"
 
 
 class Container:
     """An element that may hold the main text. label names its generalised path in bounded length: a hash of the whole
-    path, its depth and its last LABELLED names; article is the label of the nearest article or main around it."""
+    path, its depth and its last LABELLED names; article is the label of the nearest article or main around it; titles counts
+    the h1 inside."""
 
-    __slots__ = ("parent", "label", "article", "depth", "is_article", "text", "links")
+    __slots__ = ("parent", "label", "article", "depth", "is_article", "text", "links", "titles")
 
     def __init__(self, parent: int, label: str, article: str, depth: int, is_article: bool):
         self.parent, self.label, self.article, self.depth, self.is_article = parent, label, article, depth, is_article
-        self.text = self.links = 0
+        self.text = self.links = self.titles = 0
 
 
 def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[Container]]:
@@ -174,6 +185,8 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[Container]]:
             if tag in BLOCK:
                 if not skipped:
                     flush()
+                    if tag == "h1" and not skip and inside[-1] >= 0:
+                        found[inside[-1]].titles += 1
                 above, names, depth = paths[-1]
                 paths.append((zlib.crc32(name.encode(), above), (*names[-LABELLED + 1 :], name), depth + 1))
             if held:
@@ -207,6 +220,7 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[Container]]:
         if c.parent >= 0:
             found[c.parent].text += c.text
             found[c.parent].links += c.links
+            found[c.parent].titles += c.titles
     return out, found
 
 
@@ -227,11 +241,28 @@ def best_container(scored: dict[int, float], found: list[Container]) -> int:
     return y if y >= 0 else x
 
 
+def with_title(x: int, found: list[Container]) -> int:
+    """The container to take for a chosen one: where it has no h1, the nearest one around it that has just one, if what that
+    adds is smaller than the chosen text and hardly made of links, as in pages of div only."""
+    c = found[x] if x >= 0 else None
+    if c is None or c.titles or c.is_article:
+        return x
+    y = c.parent
+    while y >= 0 and not found[y].titles:
+        y = found[y].parent
+    if y < 0 or found[y].titles > 1:
+        return x
+    more, links = found[y].text - c.text, found[y].links - c.links
+    return y if more < c.text and links <= LINKS * more else x
+
+
 def main_text(page: str, path: str | None) -> str:
     out, found = blocks(page)
     scored = shares(out, found)
     voted = {x: s for x, s in scored.items() if found[x].label == path and s > 0}
     chosen = set(voted) if voted and sum(voted.values()) >= NEARLY * max(scored.values()) else {best_container(scored, found)}
+    if len(chosen) == 1:
+        chosen = {with_title(x, found) for x in chosen}
     within = []
     for x, c in enumerate(found):
         within.append(x in chosen or c.parent >= 0 and within[c.parent])
