@@ -83,13 +83,13 @@ def plain_estimate(x):
     found = []
     for k, mu in enumerate((middle, low, high)):
         inverse, was = np.diag(1 / scale**2), math.inf
-        for _ in range(quality.MOST_STEPS):
+        while True:
             d2 = np.einsum("ij,jk,ik->i", x - mu, inverse, x - mu)
             near = x[d2 <= at(d2, quality.SHARE)]
             mu = near.mean(0)
             c = quality.shrunk(len(near), np.cov(near.T, bias=True))
             inverse, det = np.linalg.inv(c + 1e-9 * np.eye(p)), np.linalg.slogdet(c + 1e-9 * np.eye(p))[1]
-            if det >= was - quality.TOLERANCE:
+            if det >= was - 0.001:
                 break
             was = det
         found.append((det, k, mu, inverse))
