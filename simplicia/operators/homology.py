@@ -67,6 +67,16 @@ def pairwise(cloud: DataFrame, key: str, point: str, coordinates: list[str]) ->
     return a.join(b, key).filter("i < j").select(key, "i", "j", F.sqrt(square).alias("d"))
 
 
+def near_in_time(cloud: DataFrame, key: str, coordinates: list[str], reach: int) -> DataFrame:
+    """key, i, j, d for 0 < j - i < reach: distances of points of a long table (key, i, coordinates) that one window can hold.
+    Points meet by (key, block of `reach` numbers), so a long series is dealt over many tasks and costs its length times
+    reach."""
+    b = cloud.select(key, F.col("i").alias("j"), *(F.col(c).alias(f"b_{c}") for c in coordinates), F.floor(F.col("i") / reach).alias("_block"))
+    a = cloud.select(key, "i", *(F.col(c).alias(f"a_{c}") for c in coordinates), F.explode(F.array(F.floor(F.col("i") / reach), F.floor(F.col("i") / reach) + 1)).alias("_block"))
+    square = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in coordinates), start=F.lit(0.0))
+    return a.join(b, [key, "_block"]).filter((F.col("j") > F.col("i")) & (F.col("j") - F.col("i") < reach)).select(key, "i", "j", F.sqrt(square).alias("d"))
+
+
 def both_ways(pairs: DataFrame, key: str, diagonal: bool = False) -> DataFrame:
     """key, i, j, d in both directions, in one pass; with the diagonal also the zeros of both ends, once for each pair."""
     way = lambda i, j, d: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), d.alias("d"))

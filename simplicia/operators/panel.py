@@ -115,6 +115,26 @@ def sliding_windows(series: DataFrame, key: str, win: int, stride: int, horizon:
     return series.select(key, "n", *values, F.explode(starts).alias("start")).select(key, "start", *(F.slice(v, F.col("start") + 1, win).alias(v) for v in values))
 
 
+def window_rows(series: DataFrame, key: str, values: list[str], win: int, stride: int, horizon: int = 0) -> DataFrame:
+    """The rows of every sliding window of an indexed series (key, i, values), with start and their place in it (at): each
+    row finds its own windows, so no series is gathered. Windows end `horizon` rows before the series does at the latest."""
+    n = series.groupBy(key).agg(F.count("*").alias("_n"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") - win + 1) / stride)) * stride
+    last = F.floor(F.least(F.col("i"), F.col("_n") - horizon - win) / stride) * stride
+    starts = F.when(last >= first, F.sequence(first, last, F.lit(stride).cast("long")))
+    rows = series.join(n, key).select(key, "i", *values, F.explode(starts).alias("start"))
+    return rows.withColumn("at", F.col("i") - F.col("start"))
+
+
+def window_edges(edges: DataFrame, sizes: DataFrame, key: str, span: int, win: int, stride: int, horizon: int = 0) -> DataFrame:
+    """edges (key, i, j, d; i < j) with the starts of all windows that hold both ends: distances are computed once for a
+    series and shared by its overlapping windows. A point covers `span` rows; sizes: key and n, the rows of the series."""
+    first = F.greatest(F.lit(0), F.ceil((F.col("j") + span - win) / stride)) * stride
+    last = F.floor(F.least(F.col("i"), F.col("n") - horizon - win) / stride) * stride
+    starts = F.when(last >= first, F.sequence(first, last, F.lit(stride).cast("long")))
+    return edges.join(sizes, key).select(key, F.explode(starts).alias("start"), "i", "j", "d")
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The last row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)

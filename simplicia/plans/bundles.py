@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simplicia.functions import scalars
-from simplicia.operators import classic, diagrams, embedding, evaluate, generators, panel, ranks, shape
+from simplicia.operators import classic, diagrams, embedding, evaluate, generators, homology, panel, ranks, shape
 from simplicia.plans import series, shapes
 from simplicia.plans.panels import DAILY, daily, read
 from simplicia.plans.series import EMB, ORDER, S, arrays, events, indexed, rounded, takens
@@ -203,6 +203,52 @@ l AS (SELECT w.user_id, w.st AS start, s.i, c.channel, CASE WHEN c.channel = 'x'
 g AS (SELECT user_id, start, channel, avg(v) AS mean, stddev_pop(v) AS sd, max(v) - min(v) AS r, arg_max(v, i) - arg_min(v, i) AS d FROM l GROUP BY 1, 2, 3)
 SELECT user_id, start, channel, CASE WHEN sd > 1e-9 THEN round(mean, 6) END AS mean, CASE WHEN sd > 1e-9 THEN round(sd, 6) END AS sd, CASE WHEN sd > 1e-9 THEN round(r, 6) END AS range, CASE WHEN sd > 1e-9 THEN round(d, 6) END AS change FROM g"""
 
+WIN, STRIDE = 52, 8
+CHANNELS = ("x", "y")
+
+
+def window_vectors(spark, sf_dir):
+    """The whole vector of every sliding window and channel: moments, criteria of the H0 diagram of the window's delay
+    embedding, and the classical vector. Distances are computed once for each series and channel and shared by the windows
+    that hold them. A channel without spread in a window is invalid and has nulls."""
+    e = events(spark, sf_dir).withColumn("y", F.hour("ts").cast("double"))
+    both = embedding.indexed(e, "user_id", ORDER, *CHANNELS)
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("channel"), F.col(c).alias("v")) for k, c in enumerate(CHANNELS)))).alias("c")
+    # a series for each user and channel
+    s = stored(both.select("user_id", "i", cells).select((F.col("user_id") * 2 + F.col("c.channel")).alias("series"), "i", F.col("c.v").alias("x")), "channels")
+    sizes = s.groupBy("series").agg(F.count("*").alias("n"))
+    name = (F.col("series") * 100_000 + F.col("start")).alias("w")
+    rows = panel.window_rows(s, "series", ["x"], WIN, STRIDE).select(name, "series", "start", F.col("at").cast("int").alias("i"), "x")
+    spread = rows.groupBy("w", "series", "start").agg(F.stddev_pop("x").alias("_sd"))
+    windows = stored(spread, "windows")
+    rows = stored(rows.drop("series", "start").join(windows.filter("_sd > 1e-9").select("w"), "w"), "window-rows")
+    edges = homology.near_in_time(embedding.takens(s, "series", "x", series.M, series.TAU), "series", series.POINT, WIN - (series.M - 1) * series.TAU)
+    inside = panel.window_edges(edges, sizes, "series", (series.M - 1) * series.TAU + 1, WIN, STRIDE).select(name, "i", "j", "d").join(windows.filter("_sd > 1e-9").select("w"), "w")
+    got = homology.persistence(homology.as_matrices(inside, "w"), 0, precomputed=True, keep=("w",))
+    criteria = diagrams.summary(homology.diagram(got, "w", dim=0), "w")
+    a = stored(embedding.as_arrays(rows, "w", ["i"], "x"), "window-arrays")
+    parts = [
+        classic.moments(rows, "w", "x"), classic.difference_moments(rows, "w", "x"), embedding.tau_autocorrelation(a).select("w", "tau_ac"),
+        classic.spectrum_features(classic.periodogram(a), "w").select("w", "peak", "period"), classic.sample_entropy(a, "w"), classic.hurst(rows, "w"), criteria,
+    ]
+    out = reduce(lambda x, y: x.join(y, "w", "left"), [windows.drop("_sd"), *parts])
+    channel = F.element_at(F.array(*map(F.lit, CHANNELS)), (F.pmod("series", F.lit(2)) + 1).cast("int"))
+    out = out.withColumns({"user_id": F.floor(F.col("series") / 2), "channel": channel}).drop("w", "series")
+    return rounded(out, "user_id", "start", "channel", "n_bars", "ring_01", "ring_03", "ring_05", "tau_ac")
+
+
+#: The windows as series of their own, under the name the other queries' SQL gives a series.
+_WINDOWS = f"""ev AS (SELECT user_id, value AS x, hour(ts)::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+ws AS (SELECT DISTINCT user_id, st, channel FROM ev, unnest(range(0, (SELECT max(n) FROM ev), {STRIDE})) AS u(st), unnest([0, 1]) AS c(channel) WHERE st + {WIN} <= n),
+wr AS (SELECT (ws.user_id * 2 + channel) * 100000 + st AS w, ws.user_id AS owner, st, channel, ev.i - st AS i, CASE WHEN channel = 0 THEN x ELSE y END AS x FROM ws JOIN ev ON ev.user_id = ws.user_id AND ev.i BETWEEN st AND st + {WIN - 1}),
+s AS (SELECT w AS user_id, x, i, {WIN} AS n FROM wr QUALIFY stddev_pop(x) OVER (PARTITION BY w) > 1e-9)"""
+_of = lambda sql: sql.replace(S, _WINDOWS)
+WINDOW_VECTORS_SQL = f"""
+WITH {_WINDOWS}, names AS (SELECT DISTINCT w, owner, st, channel FROM wr)
+SELECT owner AS user_id, st AS start, CASE WHEN channel = 0 THEN 'x' ELSE 'y' END AS channel, m.* EXCLUDE (user_id), t.* EXCLUDE (user_id), sp.peak, sp.period, en.* EXCLUDE (user_id), hu.* EXCLUDE (user_id), cr.* EXCLUDE (user_id)
+FROM names LEFT JOIN ({_of(series.MOMENTS_SQL)}) m ON m.user_id = w LEFT JOIN ({_of(series.TAU_AC_SQL)}) t ON t.user_id = w LEFT JOIN ({_of(series.SPECTRUM_SQL)}) sp ON sp.user_id = w
+LEFT JOIN ({_of(series.SAMPEN_SQL)}) en ON en.user_id = w LEFT JOIN ({_of(series.HURST_SQL)}) hu ON hu.user_id = w LEFT JOIN ({_of(shapes.CRITERIA_SQL)}) cr ON cr.user_id = w"""
+
 SYSTEMS = {"topology": ("max_pers", "ring_03", "entropy"), "moments": ("mean", "skew", "kurtosis"), "dynamics": ("diff_mean", "diff_sd", "hurst")}
 
 
@@ -251,5 +297,6 @@ QUERIES = {
     "sample_bundle": (sample_bundle, SAMPLE_SQL),
     "entity_bundle": (entity_bundle, ENTITY_SQL),
     "window_bundle": (window_bundle, WINDOW_SQL),
+    "window_vectors": (window_vectors, WINDOW_VECTORS_SQL),
     "cell_comparison": (cell_comparison, CELL_SQL),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from simplicia.operators import classic, diagrams, embedding, evaluate, generators, homology, ranks, shape
+from simplicia.operators import classic, diagrams, embedding, evaluate, generators, homology, hull, neighbours, ranks, shape
 from simplicia.plans.evaluation import FEATURES, LONG, MONTHLY, _expanding_sql, monthly, months_of, rank_sql
 from simplicia.plans.series import EMB, arrays, dtm_of, indexed, pairs, rounded, takens
 from simplicia.plans.shapes import as_clouds, h0, persisted
@@ -43,6 +43,30 @@ def principal_shape(spark, sf_dir):
     return rounded(shape.principal_shape(shape.covariances(takens(spark, sf_dir), "user_id", c), "user_id", c), "user_id")
 
 
+def hull_2d(spark, sf_dir):
+    """Convex hull of the first two coordinates of every cloud."""
+    return rounded(hull.hull_features(takens(spark, sf_dir), "user_id", ["x0", "x1"]), "user_id")
+
+
+#: An edge of the hull has no point to its right, nor one on its line beyond its ends.
+HULL_SQL = f"""
+WITH {EMB}, n AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1), p AS (SELECT DISTINCT user_id, x0 AS x, x1 AS y FROM e),
+sg AS (SELECT a.user_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.user_id = b.user_id AND (a.x <> b.x OR a.y <> b.y)),
+t AS (SELECT sg.*, bool_or((bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax) < -1e-7 OR abs((bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax)) <= 1e-7 AND ((c.x - ax) * (bx - ax) + (c.y - ay) * (by_ - ay) < 0 OR (c.x - bx) * (ax - bx) + (c.y - by_) * (ay - by_) < 0)) AS bad,
+  bool_or(abs((bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax)) > 1e-7) AS wide FROM sg JOIN p c ON c.user_id = sg.user_id GROUP BY ALL),
+h AS (SELECT user_id, sum(ax * by_ - bx * ay) / 2 AS volume, sum(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2)) AS area, count(*) AS corners FROM t WHERE NOT bad AND wide GROUP BY 1)
+SELECT n.user_id, round(coalesce(volume, 0), 6) AS volume, round(coalesce(area, 0), 6) AS area, round(coalesce(area / (volume + 1e-12), 0), 6) AS ratio, round(coalesce(corners, 0) / n, 6) AS share FROM n LEFT JOIN h USING (user_id)"""
+
+
+def shape_vector(spark, sf_dir):
+    """Principal shape, box, nearest neighbours and hull of every cloud, side by side: the plain geometric vector."""
+    c, cloud = ["x0", "x1", "x2"], stored(takens(spark, sf_dir), "cloud")
+    near = stored(neighbours.nearest(cloud, "user_id", "i", c, 1), "nearest")
+    nn = near.groupBy("user_id").agg(F.avg("d").alias("nn_mean"), F.stddev_pop("d").alias("nn_sd")).join(ranks.quantiles(near, ["user_id"], "d", [0.9]).select("user_id", F.col("d").alias("nn_p90")), "user_id")
+    parts = [shape.principal_shape(shape.covariances(cloud, "user_id", c), "user_id", c), shape.box_features(cloud, "user_id", c), nn, hull.hull_features(cloud, "user_id", c)]
+    return rounded(reduce(lambda x, y: x.join(y, "user_id"), parts), "user_id", "n")
+
+
 def local_surface(spark, sf_dir):
     v = shape.local_surface(as_clouds(takens(spark, sf_dir)), "user_id")
     return v.select("user_id", F.posexplode("vector").alias("pos", "v")).filter("v > 0").select("user_id", "pos", F.round("v", 6).alias("v"))
@@ -158,6 +182,8 @@ QUERIES = {
     "covariances": (lambda s, d: rounded(shape.covariances(takens(s, d), "user_id", ["x0", "x1"]), "user_id"), f"WITH {EMB} SELECT user_id, round(covar_pop(x0, x0), 6) AS cov_x0_x0, round(covar_pop(x1, x0), 6) AS cov_x1_x0, round(covar_pop(x1, x1), 6) AS cov_x1_x1 FROM e GROUP BY 1"),
     "principal_shape": (principal_shape, None),
     "local_surface": (local_surface, None),
+    "hull_2d": (hull_2d, HULL_SQL),
+    "shape_vector": (shape_vector, None),
     "compare_filtrations": (compare_filtrations, None),
     "compare_selections": (compare_selections, None),
     "noise_robustness": (noise_robustness, None),
