@@ -3,6 +3,7 @@ window or sample, and compared by method."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,8 @@ from simplicia.plans.panels import DAILY, daily, read
 from simplicia.plans.series import EMB, ORDER, S, arrays, events, indexed, rounded, takens
 from simplicia.plans.shapes import TREE, h0
 from simplicia.sources import readers
-from simplicia.sources.store import stacked, stored
+from simplicia.sources.cache import FeatureCache
+from simplicia.sources.store import shared_dir, stacked, stored
 
 union = lambda parts: reduce(DataFrame.unionByName, parts)
 joined = lambda parts: reduce(lambda x, y: x.join(y, "user_id"), parts)
@@ -51,6 +53,29 @@ def restricted(spark, sf_dir):
     return rounded(li.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")), "l_suppkey", "n")
 
 
+def restricted_in_batches(spark, sf_dir):
+    """The rows of restricted_scan, read a few files at a time into a sink of their own."""
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey <= 5").select(F.col("s_suppkey").alias("l_suppkey"))
+    at = f"{shared_dir(spark).rstrip('/')}/scan-{uuid.uuid4().hex}"
+    li = readers.batched_scan(spark, f"{sf_dir}/lineitem.parquet", f"{at}/rows", f"{at}/done", ["l_suppkey", "l_shipdate", "l_quantity"], keys, "l_suppkey", "l_shipdate", "1995-01-01", files=4)
+    return rounded(li.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")), "l_suppkey", "n")
+
+
+def cached_bars(spark, sf_dir):
+    """Summaries of the H0 bars of every cloud by way of a feature store: half of the clouds first, then all of them, of which
+    only the other half is computed."""
+    clouds = shapes.clouds(spark, sf_dir)
+    store = FeatureCache(spark, f"{shared_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}", "n_bars long, longest double")
+
+    def bars(new):
+        got = homology.persistence(new, 0, keep=("content",))
+        finite = F.filter("bars", lambda b: b["death"] < float("inf"))
+        return got.select("content", F.size(finite).cast("long").alias("n_bars"), F.array_max(F.transform(finite, lambda b: b["death"])).alias("longest"))
+
+    store.materialise(clouds.filter("user_id % 2 = 0"), ["points"], bars)
+    return rounded(store.materialise(clouds, ["points"], bars).drop("points"), "user_id", "n_bars")
+
+
 def density(spark, sf_dir):
     """Density of the values of each event type, mapped to [-1, 1] and clipped, in ten bins."""
     e = events(spark, sf_dir).select("event_type", scalars.clip(F.col("x") / 50 - 1, -1.0, 1.0).alias("v"))
@@ -283,6 +308,8 @@ QUERIES = {
     "column_coverage": (coverage, f"WITH {DAILY}, c AS ({_COVER}) SELECT \"column\", round(c, 6) AS coverage, (c >= 0.3)::INT AS kept FROM c"),
     "median_imputed": (imputed, f"WITH {DAILY}, m AS (SELECT coalesce(median(buy), 0) AS b, coalesce(median(sell), 0) AS s FROM daily) SELECT supp, day::VARCHAR AS day, round(coalesce(buy, b), 6) AS buy, round(coalesce(sell, s), 6) AS sell FROM daily, m"),
     "restricted_scan": (restricted, "SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM lineitem WHERE l_shipdate >= DATE '1995-01-01' AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 5) GROUP BY 1"),
+    "batched_scan": (restricted_in_batches, "SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM lineitem WHERE l_shipdate >= DATE '1995-01-01' AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 5) GROUP BY 1"),
+    "cached_bars": (cached_bars, f"WITH {TREE} SELECT user_id, count(*) AS n_bars, round(max(death), 6) AS longest FROM h0 GROUP BY 1"),
     "density": (density, "WITH b AS (SELECT event_type, least(floor((least(greatest(value / 50 - 1, -1), 1) + 1) / 2 * 10), 9)::INT AS bin FROM events) SELECT event_type, bin, round(count(*) / (sum(count(*)) OVER (PARTITION BY event_type) * 0.2), 6) AS density FROM b GROUP BY 1, 2"),
     "histogram_2d": (histogram_2d, HISTOGRAM_2D_SQL),
     "per_channel_unit": (per_channel_unit, PER_CHANNEL_SQL),

@@ -21,6 +21,21 @@ def restricted_scan(spark: SparkSession, path: str, columns: list[str], keys: Da
     return df.join(keys.select(key), key, "left_semi")
 
 
+def batched_scan(spark: SparkSession, path: str, sink: str, checkpoint: str, columns: list[str], keys: DataFrame, key: str, date: str | None = None, since: str | None = None, files: int = 8) -> DataFrame:
+    """restricted_scan in batches of so many files: each is filtered before anything is kept, its rows are appended to the sink
+    and its files noted in the checkpoint, so a scan that stops goes on where it was and one that is done reads only new
+    files. Returns the sink."""
+    schema = spark.read.parquet(path).schema
+    named = f"{path[:-1]}[{path[-1]}]"  # a pattern for this one name, as a plain name would have to be a folder
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(named).select(*columns)
+    if date and since:
+        rows = rows.filter(F.col(date) >= since)
+    rows = rows.join(keys.select(key), key, "left_semi")
+    out = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(sink)
+
+
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
