@@ -191,6 +191,26 @@ def residuals(df: DataFrame, key: str, id_: str, y: str, factors: list[str]) ->
     return rows.join(betas, key).select(key, id_, (F.col("_y") - fit).alias("residual"))
 
 
+def fold_scores(rows: DataFrame, keys: list[str], fold: str, y: str, a: str, b: str) -> DataFrame:
+    """rows with score: least squares of y on a and b with intercept, fitted within each key on the other folds; null where
+    those don't determine it. One aggregate of sums by (keys, fold) gives all fits, as a fold's training sums are the key's
+    less its own."""
+    x = {"a": F.col(a).cast("double"), "b": F.col(b).cast("double"), "y": F.col(y).cast("double")}
+    full = F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(y).isNotNull()
+    names = ["a", "b", "y", "aa", "ab", "bb", "ay", "by"]
+    own = rows.filter(full).groupBy(*keys, fold).agg(F.count("*").alias("_n"), *(F.sum(x[n] if len(n) == 1 else x[n[0]] * x[n[1]]).alias(f"_{n}") for n in names))
+    rest = own.select(*keys, fold, *((F.sum(f"_{n}").over(Window.partitionBy(*keys)) - F.col(f"_{n}")).alias(f"_{n}") for n in ["n", *names]))
+    about = lambda p, q: F.col(f"_{p}{q}") - F.col(f"_{p}") * F.col(f"_{q}") / F.col("_n")
+    fit = rest.filter("_n > 2").withColumns({"_saa": about("a", "a"), "_sab": about("a", "b"), "_sbb": about("b", "b"), "_say": about("a", "y"), "_sby": about("b", "y")})
+    det = F.col("_saa") * F.col("_sbb") - F.col("_sab") * F.col("_sab")
+    fit = fit.withColumn("_det", F.when(det > 1e-9 * F.col("_saa") * F.col("_sbb"), det)).select(
+        *keys, fold, (F.col("_a") / F.col("_n")).alias("_ma"), (F.col("_b") / F.col("_n")).alias("_mb"), (F.col("_y") / F.col("_n")).alias("_my"),
+        ((F.col("_say") * F.col("_sbb") - F.col("_sby") * F.col("_sab")) / F.col("_det")).alias("_ca"), ((F.col("_sby") * F.col("_saa") - F.col("_say") * F.col("_sab")) / F.col("_det")).alias("_cb"),
+    )
+    score = F.col("_my") + F.col("_ca") * (F.col(a) - F.col("_ma")) + F.col("_cb") * (F.col(b) - F.col("_mb"))
+    return ranks.same(rows, fit, [*keys, fold], "left").withColumn("score", score).drop("_ma", "_mb", "_my", "_ca", "_cb")
+
+
 def permuted(df: DataFrame, key: str, id_: str, value: str, seeds: int) -> DataFrame:
     """seed, key, id and the value of another row of the same key, one random permutation for each seed."""
     rows = df.select(key, id_, value, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))

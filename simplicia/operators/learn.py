@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplicia.sources.store import stacked
+from simplicia.sources.store import stacked, stored
 
 
 def prepared(df: DataFrame, features: str, label: str) -> DataFrame:
@@ -28,8 +28,8 @@ def boosted(rounds: int = 100, depth: int = 3, seed: int = 42) -> GBTClassifier:
     return GBTClassifier(featuresCol="vector", labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed)
 
 
-def perceptron(inputs: int, classes: int, hidden: tuple[int, ...] = (128, 64), seed: int = 42) -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(featuresCol="vector", labelCol="label", layers=[inputs, *hidden, classes], seed=seed, maxIter=100)
+def perceptron(layers: list[int], steps: int = 100, seed: int = 42) -> MultilayerPerceptronClassifier:
+    return MultilayerPerceptronClassifier(featuresCol="vector", labelCol="label", layers=layers, seed=seed, maxIter=steps, tol=1e-9)
 
 
 def fourier_features(df: DataFrame, features: str, dim: int, size: int = 200, gamma: float | None = None, seed: int = 42) -> DataFrame:
@@ -59,16 +59,49 @@ def scaled_pipeline(classifier, k: int | None = None) -> Pipeline:
     return Pipeline(stages=[*steps, classifier.copy({classifier.featuresCol: last})])
 
 
-def cross_validated(df: DataFrame, classifier, fold: str, folds: int, keep: list[str]) -> DataFrame:
-    """Out-of-fold predictions: keep, fold, label, prediction."""
+def cross_validated(df: DataFrame, classifier, fold: str, folds: int, keep: list[str], k: int | None = None) -> DataFrame:
+    """Out-of-fold predictions: keep, fold, label, prediction; on the first k principal components on request."""
     out = None
-    for k in range(folds):
-        model: PipelineModel = scaled_pipeline(classifier).fit(df.filter(F.col(fold) != k))
-        part = model.transform(df.filter(F.col(fold) == k)).select(*keep, fold, "label", "prediction")
+    for f in range(folds):
+        model: PipelineModel = scaled_pipeline(classifier, k).fit(df.filter(F.col(fold) != f))
+        part = model.transform(df.filter(F.col(fold) == f)).select(*keep, fold, "label", "prediction")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def against_rest(df: DataFrame, classifier, classes: list[float], fold: str, folds: int, keep: list[str]) -> DataFrame:
+    """Out-of-fold probabilities of a two-class learner for any number of classes: one model for each class against the
+    rest and each fold, its probabilities scaled to a sum of 1. keep, fold, label, probability (a vector in the order of
+    classes) and prediction, ties to the earlier class. df: vector, label and fold; keep names a row."""
+    df = stored(df.select(*keep, fold, "label", "vector"), "against-rest")
+    parts = []
+    for k in range(folds):
+        train, test = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
+        for n, c in enumerate(classes):
+            model = classifier.fit(train.withColumn("label", (F.col("label") == c).cast("double")))
+            own = model.transform(test.withColumnRenamed("label", "_label"))
+            parts.append(own.select(*keep, fold, F.col("_label").alias("label"), F.lit(n).alias("n"), vector_to_array("probability")[1].alias("p")))
+    rows = stacked(parts, *keep).groupBy(*keep, fold, "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "p"))), lambda x: x["p"]).alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    share = F.transform("p", lambda x: F.when(total > 0, x / total).otherwise(1.0 / len(classes)))
+    scaled = rows.withColumn("p", share)
+    best = F.get(F.array(*(F.lit(float(c)) for c in classes)), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
+    return scaled.select(*keep, fold, "label", array_to_vector("p").alias("probability"), best.alias("prediction"))
+
+
+def log_loss(predicted: DataFrame) -> DataFrame:
+    """One row: loss (mean of -log of the label's probability), accuracy and n. predicted: label, probability, prediction; labels
+    number the places of the vector."""
+    p = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+    return predicted.agg(F.avg(-F.ln(F.greatest(p, F.lit(1e-15)))).alias("loss"), F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def two_phases(df: DataFrame, layers: list[int], first: int, second: int, seed: int = 42):
+    """A perceptron trained in two phases: the second starts from the weights of the first. Both models; df: vector, label."""
+    one = perceptron(layers, first, seed).fit(df)
+    return one, perceptron(layers, second, seed).setInitialWeights(one.weights).fit(df)
+
+
 def soft_votes(predicted: list[DataFrame], key: str) -> DataFrame:
     """key, label and the class with the highest mean probability over several models."""
     long = stacked([p.select(key, "label", F.posexplode(vector_to_array("probability")).alias("cls", "p")) for p in predicted], key)

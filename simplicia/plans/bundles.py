@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from simplicia.functions import scalars
 from simplicia.operators import classic, diagrams, embedding, evaluate, generators, homology, panel, ranks, shape
 from simplicia.plans import series, shapes
+from simplicia.plans.evaluation import seed_sql
 from simplicia.plans.panels import DAILY, daily, read
 from simplicia.plans.series import EMB, ORDER, S, arrays, events, indexed, rounded, takens
 from simplicia.plans.shapes import TREE, h0
@@ -301,6 +302,35 @@ a AS (SELECT cell, method, count(*) FILTER (WHERE volatile) AS n1, count(*) FILT
 b AS (SELECT cell, method, (s - n1 * (n1 + 1) / 2) / (n1 * n0) AS auc FROM a WHERE n1 > 0 AND n0 > 0 AND n1 + n0 >= 6), c AS (SELECT cell, method, round(greatest(auc, 1 - auc), 6) AS auc FROM b)
 SELECT cell, method, {_SYSTEM} AS system, auc, (row_number() OVER (PARTITION BY cell ORDER BY auc DESC, method) = 1)::INT AS best FROM c"""
 
+PAIRS_OF = {f"{s}:{a}+{b}": (s, a, b) for s, m in SYSTEMS.items() for k, a in enumerate(m) for b in m[k + 1 :]}
+
+
+def method_comparison(spark, sf_dir):
+    """Nine methods of three systems, each a set of features, in three cells of series: out-of-fold scores of a linear fit to
+    whether a series is volatile, their area under the curve, and the best method of a cell with ties by name."""
+    parts = stored(joined([shapes.flagship(spark, sf_dir), series.moments(spark, sf_dir), series.hurst(spark, sf_dir)]), "parts")
+    cut = ranks.column_quantiles(parts, ["sd"], 0.5).select(F.col("sd").alias("cut"))
+    cells = parts.join(F.broadcast(cut)).withColumns({"cell": F.pmod("user_id", F.lit(3)).cast("int"), "y": (F.col("sd") > F.col("cut")).cast("int"), "fold": evaluate.group_fold(F.col("user_id"), 3, seed=5)})
+    sets = F.array(*(F.struct(F.lit(name).alias("method"), F.lit(s).alias("system"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for name, (s, a, b) in PAIRS_OF.items()))
+    long = cells.select("user_id", "cell", "y", "fold", F.explode(sets).alias("m")).select("user_id", "cell", "y", "fold", "m.*")
+    scored = evaluate.fold_scores(long, ["cell", "method", "system"], "fold", "y", "a", "b").withColumn("score", F.round("score", 9))
+    a = evaluate.auc(scored, ["cell", "method", "system"], "score", "y").filter("auc IS NOT NULL").withColumn("auc", F.round("auc", 6))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("auc"), "method"))
+    return a.select("cell", "method", "system", "auc", (rank == 1).cast("int").alias("best"))
+
+
+_SETS = " UNION ALL ".join(f"SELECT user_id, cell, y, fold, '{name}' AS method, '{s}' AS system, {a}::DOUBLE AS a, {b}::DOUBLE AS b FROM c" for name, (s, a, b) in PAIRS_OF.items())
+METHOD_SQL = f"""
+WITH f AS (SELECT * FROM ({shapes.FLAGSHIP_SQL}) JOIN ({series.MOMENTS_SQL}) USING (user_id) JOIN ({series.HURST_SQL}) USING (user_id)),
+c AS (SELECT *, user_id % 3 AS cell, (sd > (SELECT quantile_cont(sd, 0.5) FROM f))::INT AS y, {seed_sql("'5'", 'user_id')} % 3 AS fold FROM f), l AS ({_SETS}),
+t AS (SELECT u.cell, u.method, u.fold, covar_pop(o.a, o.a) AS aa, covar_pop(o.a, o.b) AS ab, covar_pop(o.b, o.b) AS bb, covar_pop(o.a, o.y) AS ay, covar_pop(o.b, o.y) AS by_, avg(o.a) AS ma, avg(o.b) AS mb, avg(o.y) AS my
+  FROM (SELECT DISTINCT cell, method, fold FROM l) u JOIN l o ON o.cell = u.cell AND o.method = u.method AND o.fold <> u.fold GROUP BY 1, 2, 3 HAVING count(*) > 2),
+s AS (SELECT l.*, round(my + (ay * bb - by_ * ab) / d * (a - ma) + (by_ * aa - ay * ab) / d * (b - mb), 9) AS score FROM l JOIN (SELECT *, CASE WHEN aa * bb - ab * ab > 1e-9 * aa * bb THEN aa * bb - ab * ab END AS d FROM t) USING (cell, method, fold)),
+r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY cell, method, score) - 1) / 2 AS r FROM s WHERE score IS NOT NULL WINDOW w AS (PARTITION BY cell, method ORDER BY score)),
+g AS (SELECT cell, method, system, sum(y) AS n1, count(*) - sum(y) AS n0, sum(r) FILTER (WHERE y = 1) AS s FROM r GROUP BY 1, 2, 3),
+x AS (SELECT cell, method, system, round((s - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc FROM g WHERE n1 > 0 AND n0 > 0 AND n1 + n0 >= 6)
+SELECT cell, method, system, auc, (row_number() OVER (PARTITION BY cell ORDER BY auc DESC, method) = 1)::INT AS best FROM x"""
+
 _COVER = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", avg(({c} IS NOT NULL)::INT) AS c FROM daily" for c in ("buy", "sell", "other", "price"))
 QUERIES = {
     "bar_codes": (bar_codes, "SELECT strftime(ts, '%H%M') AS bar, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1"),
@@ -326,4 +356,5 @@ QUERIES = {
     "window_bundle": (window_bundle, WINDOW_SQL),
     "window_vectors": (window_vectors, WINDOW_VECTORS_SQL),
     "cell_comparison": (cell_comparison, CELL_SQL),
+    "method_comparison": (method_comparison, METHOD_SQL),
 }

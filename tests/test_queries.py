@@ -51,6 +51,32 @@ def test_against_sql(spark, duck, name):
     assert all(close(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
 
 
-@pytest.mark.parametrize("name", ["h1_features", "half_distances", "persistence_images", "ssa_share", "residual_many", "weighted_h1"])
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """200 partitions, which adaptive execution joins up as it likes."""
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+UNITED = ["compare_vectors", "dtm_weights", "false_neighbours", "h0_significant", "knn_r2", "selection_counts", "shape_weights", "topk_scan", "weighted_matrix", "window_vectors"]
+
+
+@pytest.mark.parametrize("name", UNITED)
+def test_against_sql_with_many_partitions(spark, duck, many_partitions, name):
+    test_against_sql(spark, duck, name)
+
+
+def test_one_matrix_a_cloud(spark, many_partitions):
+    from simplicia.operators import homology
+    from simplicia.plans import series
+
+    p = series.pairs(spark, SF)
+    m = homology.as_matrices(p, "user_id").collect()
+    assert len(m) == p.select("user_id").distinct().count() and all(len(r) == len(x["points"]) for x in m for r in x["points"])
+    assert QUERIES["compare_filtrations"](spark, SF).groupBy("filtration").count().select("count").distinct().count() == 1
