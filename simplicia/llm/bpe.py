@@ -30,6 +30,8 @@ from simplicia.llm.common import bounded_batches, chunked, raw_texts, sliced, sp
 
 #: Slots (a power of two) of a worker's cache of pairs of tokens; it bounds memory only.
 PAIR_SLOTS = 1 << 18
+#: Bytes of a piece beyond which it isn't advanced beside the others but alone, on plain dictionaries.
+LONG = 512
 #: Fixed values of byte-level BPE: the classes of characters that it cuts by, and what may follow an apostrophe. A
 #: piece is a contraction, or a run of one class with one space before it; of a run of white space before something
 #: else the last character is left to the next piece.
@@ -173,6 +175,7 @@ class PrefixCoder:
     spelled_at: np.ndarray  # by id: where its bytes begin; one more for the end
     classes: np.ndarray
     pairs: np.ndarray | None = field(default=None, repr=False)
+    plain: tuple | None = field(default=None, repr=False)
 
     @classmethod
     def of(cls, spec: str) -> PrefixCoder:
@@ -243,9 +246,84 @@ class PrefixCoder:
             self.pairs[at[new]] = known[new]
         return (left < 0) | (known & 1 == 1)
 
+    def _tables(self):
+        """Transitions, merges and known pairs as dictionaries and the arrays as lists, for pieces that go alone."""
+        if self.plain is None:
+            there = self.steps.keys >= 0
+            steps = dict(zip(self.steps.keys[there].tolist(), self.steps.values[there].tolist(), strict=True))
+            there = self.merges.keys >= 0
+            merges = dict(zip(self.merges.keys[there].tolist(), self.merges.values[there].tolist(), strict=True))
+            self.plain = steps, merges, {}, self.halves.tolist(), *(a.tolist() for a in (self.link, self.length, self.longest, self.shorter, self.size, self.id_of))
+        return self.plain
+
+    def encode_long(self, piece: bytes) -> list[int]:
+        """ids of one piece, a byte at a time: what encode_pieces does for many, where there is only one to go on with."""
+        steps, merges, known, halves, link, length, longest, shorter, size, id_of = self._tables()
+
+        def beside(x, y):
+            until = len(halves)
+            while True:
+                together = merges.get(x << 20 | y)
+                if together is not None and together < until:
+                    return False
+                if x < 256 and y < 256:
+                    return True
+                if x > y or y < 256:
+                    until, x = x, halves[x][1]
+                else:
+                    until, y = y + 1, halves[y][0]
+
+        if len(known) > PAIR_SLOTS:
+            known.clear()
+        last = [-1] * (len(piece) + 1)
+        state = matched = 0
+        for i, byte in enumerate(piece, 1):
+            after = steps.get(state << 8 | byte)
+            while after is None:
+                state = link[state]
+                matched = length[state]
+                after = steps.get(state << 8 | byte)
+            state, matched = after, matched + 1
+            token = longest[state]
+            while True:
+                n = size[token]
+                if n <= matched:
+                    left = last[i - n]
+                    if left < 0:
+                        break
+                    key = left << 20 | token
+                    fits = known.get(key)
+                    if fits is None:
+                        fits = known[key] = beside(left, token)
+                    if fits:
+                        break
+                token = shorter[token]
+            last[i] = token
+        out, at = [], len(piece)
+        while at:
+            out.append(id_of[last[at]])
+            at -= size[last[at]]
+        return out[::-1]
+
     def encode_pieces(self, data, begin, sizes):
-        """ids of all pieces, one after the other, and how many each has. The pieces go on by one byte a step, the
-        longest first in order, so that those still going on are the first ones."""
+        """ids of all pieces, one after the other, and how many each has. Pieces beyond LONG bytes go alone."""
+        far = np.flatnonzero(sizes > LONG)
+        if not len(far):
+            return self._encode_together(data, begin, sizes)
+        near = np.flatnonzero(sizes <= LONG)
+        ids, n = self._encode_together(data, begin[near], sizes[near])
+        alone = [np.array(self.encode_long(data[begin[k] : begin[k] + sizes[k]].tobytes()), np.int32) for k in far]
+        counts = np.empty(len(sizes), np.int32)
+        counts[near], counts[far] = n, [len(a) for a in alone]
+        first = np.cumsum(counts, dtype=np.int64) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        out[np.repeat(first[near] - (np.cumsum(n, dtype=np.int64) - n), n) + np.arange(len(ids))] = ids
+        for k, a in zip(far, alone, strict=True):
+            out[first[k] : first[k] + len(a)] = a
+        return out, counts
+
+    def _encode_together(self, data, begin, sizes):
+        """The pieces go on by one byte a step, the longest first in order, so that those still going on are the first ones."""
         order = np.argsort(-sizes, kind="stable")
         begin, sizes = begin[order], sizes[order]
         base = np.cumsum(sizes + 1) - (sizes + 1)

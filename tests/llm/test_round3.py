@@ -38,3 +38,25 @@ def test_conflicting_ids_lose_their_duplicates(spark):
     apart = spark.createDataFrame([(5, m), (5, m + "!"), (6, m + "?")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_removed"]) for r in lines.without_duplicates(apart).collect()) in ([(5, 0), (5, 1), (6, 0)], [(5, 0), (5, 1), (6, 1)])
     assert lines.without_duplicates(df).filter("doc_id is null and n_removed > 0").isEmpty()
+
+
+def test_one_long_piece_of_text():
+    """A piece of a million letters takes seconds, and its ids are the library's."""
+    import time
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from simplicia.llm import bpe
+
+    spec = open(bpe.default_vocabulary(), encoding="utf-8").read()
+    coder, library = bpe.PrefixCoder.of(spec), Tokenizer.from_str(spec)
+    rng = np.random.default_rng(0)
+    pieces = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in (511, 512, 513, 20_000)] + ["a" * 3000, "é" * 700, "short", "-" * 2000]
+    text = " ".join(pieces)
+    ids, at = coder.encode_texts([text.encode(), b"", "ß" .encode() * 900])
+    assert ids[at[0] : at[1]].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert ids[at[2] : at[3]].tolist() == library.encode("ß" * 900, add_special_tokens=False).ids
+    began = time.time()
+    coder.encode_texts(["".join(rng.choice(list("etaoinshrdlu"), 1_000_000)).encode()])
+    assert time.time() - began < 30  # about four on an idle machine
