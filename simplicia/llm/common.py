@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -51,9 +52,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    for tables in _RECORDED:
+        tables.append(out)
     return out
 
 
+_RECORDED: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def recorded(tables: list[DataFrame]):
+    """While it is open, tables that are stored are noted in the list, so that they can be released later."""
+    _RECORDED.append(tables)
+    try:
+        yield
+    finally:
+        _RECORDED.pop()
+
+
 def release(spark: SparkSession, *done: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more, and lets Spark's cleaner delete the shuffle files of stages whose
     results have been stored: it acts on what the garbage collector of the driver finds, which may come late in a small job
