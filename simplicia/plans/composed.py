@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from simplicia.operators import classic, diagrams, embedding, evaluate, generators, homology, hull, neighbours, ranks, shape
 from simplicia.plans.evaluation import FEATURES, LONG, MONTHLY, _expanding_sql, monthly, months_of, rank_sql
-from simplicia.plans.series import EMB, arrays, dtm_of, indexed, pairs, rounded, takens
-from simplicia.plans.shapes import as_clouds, h0, persisted
+from simplicia.plans.series import EMB, S, arrays, dtm_of, indexed, pairs, rounded, takens
+from simplicia.plans.shapes import TREE, as_clouds, h0, persisted
 from simplicia.sources.store import stacked, stored
 
 union = lambda parts: reduce(DataFrame.unionByName, parts)
@@ -123,6 +123,21 @@ def embedding_selection(spark, sf_dir):
     return stacked(parts, "criterion").groupBy("criterion").agg(F.max(best).alias("x")).select("criterion", "x.m", "x.tau", "x.separability")
 
 
+def _embedding_sql(m: int, tau: int) -> str:
+    """Separability of users by parity for one embedding: the tree of the delay embedding with these parameters."""
+    third = f"JOIN s c ON a.user_id = c.user_id AND c.i = a.i + {2 * tau}" if m > 2 else ""
+    tree = TREE.replace(EMB, f"{S}, e AS (SELECT a.user_id, a.i, a.x AS x0, b.x AS x1, {'c.x' if m > 2 else '0.0::DOUBLE'} AS x2 FROM s a JOIN s b ON a.user_id = b.user_id AND b.i = a.i + {tau} {third})")
+    return f"""(WITH {tree}, p AS (SELECT user_id, death AS p, max(death) OVER w AS top, sum(death) OVER w AS tot FROM h0 WINDOW w AS (PARTITION BY user_id)),
+u AS (SELECT user_id % 2 AS grp, max(p) AS max_pers, -sum(p / tot * ln(p / tot)) AS entropy, (count(*) FILTER (WHERE p > 0.3 * top))::DOUBLE AS ring_03 FROM p GROUP BY user_id),
+g AS (SELECT criterion, avg(v) FILTER (WHERE grp = 0) AS m0, avg(v) FILTER (WHERE grp = 1) AS m1, stddev_pop(v) FILTER (WHERE grp = 0) AS s0, stddev_pop(v) FILTER (WHERE grp = 1) AS s1 FROM u UNPIVOT (v FOR criterion IN (max_pers, entropy, ring_03)) GROUP BY 1)
+SELECT criterion, {m} AS m, {tau} AS tau, round(abs(m0 - m1) / ((s0 + s1) / 2 + 1e-9), 6) AS separability FROM g)"""
+
+
+EMBEDDING_SQL = f"""
+WITH a AS ({' UNION ALL '.join(f'SELECT * FROM {_embedding_sql(m, tau)}' for m in (2, 3) for tau in (1, 4))})
+SELECT criterion, m, tau, separability FROM a QUALIFY row_number() OVER (PARTITION BY criterion ORDER BY separability DESC, m, tau) = 1"""
+
+
 def ic_report(spark, sf_dir):
     """Test rank correlation of each purged fold: the three features with the largest |ic| on the training rows,
     weighted by it. Folds run over time, (month, supplier)."""
@@ -187,7 +202,7 @@ QUERIES = {
     "compare_filtrations": (compare_filtrations, None),
     "compare_selections": (compare_selections, None),
     "noise_robustness": (noise_robustness, None),
-    "embedding_selection": (embedding_selection, None),
+    "embedding_selection": (embedding_selection, EMBEDDING_SQL),
     "ic_report": (ic_report, IC_REPORT_SQL),
     "topk_scan": (topk_scan, TOPK_SCAN_SQL),
     "top_by_auc": (top_by_auc, TOP_AUC_SQL),
