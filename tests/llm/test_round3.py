@@ -60,3 +60,85 @@ def test_one_long_piece_of_text():
     began = time.time()
     coder.encode_texts(["".join(rng.choice(list("etaoinshrdlu"), 1_000_000)).encode()])
     assert time.time() - began < 30  # about four on an idle machine
+
+
+def plain_components(sets):
+    """Smallest number reachable by links, by all pairs."""
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= 75 * (len(a) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                up[y] = x
+    return [find(x) for x in range(len(sets))]
+
+
+def shingles(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
+@pytest.mark.parametrize("small, pivots", [(8, 4), (20, 16), (4, 1)])
+def test_large_regions_join_recursively(spark, monkeypatch, small, pivots):
+    """Groups of near copies, chains and strangers that share most of a passage, in regions cut again and again."""
+    import numpy as np
+
+    from simplicia.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", small)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    rng = np.random.default_rng(small)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for g in range(12):  # groups around texts of their own that share the passage's half
+        base = passage[:30] + [f"g{g}x{i}" for i in range(40)]
+        for _ in range(int(rng.integers(1, 12))):
+            t = list(base)
+            for k in rng.integers(30, 70, int(rng.integers(0, 3))):
+                t[k] = f"e{rng.integers(0, 10**6)}"
+            rows.append(t)
+    rows += [passage + [f"s{n}y{i}" for i in range(18)] for n in range(60)]  # strangers: about 0.6 of the union
+    chain = [f"c{i}" for i in range(80)]
+    rows += [passage + chain[k : k + 60] for k in range(0, 20, 2)]  # each links with its neighbours only
+    order = rng.permutation(len(rows))
+    texts = [rows[k] for k in order]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components([shingles(t) for t in texts])
+
+
+def test_a_split_keeps_every_link(spark):
+    """Each link lies within one of the regions that a split makes."""
+    import numpy as np
+
+    from simplicia.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(50)]
+    texts = []
+    for _ in range(90):
+        t = list(words)
+        for k in rng.integers(0, 50, int(rng.integers(0, 5))):
+            t[k] = f"e{rng.integers(0, 10**6)}"
+        texts.append(t)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found, _, classes = jaccard.join_classes(df)
+    cls = {r["doc_id"]: r["cls"] for r in found.select("doc_id", "cls").collect()}
+    rows = classes.select("cls").distinct().withColumns({"region": F.lit(7).cast("long"), "root": F.col("cls")}).select("region", "cls", "root")
+    cut, _ = jaccard._split(rows, jaccard.Verifier(df.select("doc_id", "text"), classes), 1)
+    members: dict = {}
+    for r in cut.collect():
+        members.setdefault(r["region"], set()).add(r["cls"])
+    sets = [shingles(t) for t in texts]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 100 * both >= 75 * (len(a) + len(sets[j]) - both) and cls[i] != cls[j]:
+                assert any({cls[i], cls[j]} <= m for m in members.values())
