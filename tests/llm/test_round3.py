@@ -142,3 +142,77 @@ def test_a_split_keeps_every_link(spark):
             both = len(a & sets[j])
             if 100 * both >= 75 * (len(a) + len(sets[j]) - both) and cls[i] != cls[j]:
                 assert any({cls[i], cls[j]} <= m for m in members.values())
+
+
+def test_gam_scores_are_sums_of_bins():
+    """Vectorised scores against a plain walk over the tables of one row."""
+    import bisect
+    import math
+
+    import numpy as np
+
+    from simplicia.llm import gam
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, len(gam.FEATURE_NAMES)))
+    x[:, 1] = rng.integers(0, 3, 700)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=700) > 0.5).astype(float)
+    m = gam.fit(x, y)
+    new = np.vstack([rng.normal(size=(50, x.shape[1])) * 3, x[:50]])
+    want = []
+    for row in new:
+        z = m.intercept + sum(t[bisect.bisect_right(c.tolist(), v)] for t, c, v in zip(m.tables, m.cuts, row, strict=True))
+        z += sum(t[bisect.bisect_right(m.coarse[a].tolist(), row[a]), bisect.bisect_right(m.coarse[b].tolist(), row[b])] for a, b, t in m.pairs)
+        want.append(1 / (1 + math.exp(-z)))
+    assert m.score(new) == pytest.approx(np.array(want)) and m.pairs
+
+
+def test_boosted_step_is_the_best_split():
+    """With two leaves a step is the best of all splits of the bins."""
+    import numpy as np
+
+    from simplicia.llm import gam
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(rng.integers(2, 12))
+        g, h = rng.normal(size=n) * 10, rng.random(n) * 5 + 0.1
+        step = gam._steps(g, h, 2)
+        gains = []
+        for k in range(1, n):
+            gains.append(sum(gam._steps(g[part].sum(keepdims=True), h[part].sum(keepdims=True), 1)[0] * g[part].sum() for part in (slice(0, k), slice(k, n))))
+        assert float((step * g).sum()) == pytest.approx(max([*gains, float((gam._steps(g, h, 1) * g).sum())]))
+
+
+def test_vote_of_hosts_against_plain_counting(spark):
+    """The consensus path of each host by plain sums of rounded shares."""
+    import collections
+
+    inner = lambda k, n: f"<div class='c{k}'><p>{'word ' * n}</p></div>"
+    pages = []
+    for k in range(24):
+        host = ["a.org", "b.org", None][k % 3]
+        page = f"<body><div class='top'><a href='/'>home page</a></div>{inner(k % 2, 30 + k)}<div class='low'>{inner(7, 4)}<p>tail</p></div></body>"
+        if k % 5 == 0:
+            page = f"<body><main><h1>T</h1>{inner(3, 25)}</main></body>"
+        pages.append((host, page))
+    pages += [("c.org", None), ("c.org", ""), ("c.org", "<p>plain</p>")]
+    got = {r["host"]: r["path"] for r in html.vote(spark.createDataFrame(pages, "host string, html string")).collect()}
+    tally: dict = collections.defaultdict(lambda: [0, 0, ""])
+    for host, page in pages:
+        out, found = html.blocks(page or "")
+        own: dict = collections.defaultdict(float)
+        for x, s in html.shares(out, found).items():
+            own[found[x].label, found[x].article, found[x].depth] += s
+        for (label, article, depth), s in own.items():
+            t = tally[host, label]
+            t[0], t[1], t[2] = t[0] + round(s * 1000), max(t[1], depth), max(t[2], article)
+    want = {}
+    for host in {h for h, _ in tally}:
+        mine = {label: t for (h, label), t in tally.items() if h == host}
+        top = max(t[0] for t in mine.values())
+        near = [(t[1], t[0], label, t[2]) for label, t in mine.items() if t[0] > 0 and t[0] >= html.NEARLY * top]
+        if near:
+            depth, share, label, article = max(near)
+            want[host] = article or label
+    assert got == want and {"a.org", "b.org", None} <= set(got)
