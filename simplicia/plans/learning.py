@@ -19,7 +19,7 @@ def labelled_vectors(spark, sf_dir) -> DataFrame:
 
 def forest_accuracy(spark, sf_dir):
     """Out-of-fold accuracy and macro F1 of a forest on labelled vectors."""
-    out = learn.cross_validated(labelled_vectors(spark, sf_dir), learn.forest(20), "fold", 3, ["vec_id"])
+    out = learn.cross_validated(stored(labelled_vectors(spark, sf_dir), "vectors"), learn.forest(20), "fold", 3, ["vec_id"])
     return rounded(evaluate.accuracy_f1(out, "label", "prediction"))
 
 
@@ -31,7 +31,7 @@ def topology_against_classic(spark, sf_dir):
     cut = ranks.column_quantiles(m, ["sd"], 0.5).select(F.col("sd").alias("cut"))
     topo = diagrams.fixed_vectors(h0(spark, sf_dir), "user_id", 0.0, 200.0, 12, 2).withColumnRenamed("vector", "topo")
     base = m.join(F.broadcast(cut)).select("user_id", (F.col("sd") > F.col("cut")).cast("int").alias("y"), F.array("mean", "skew", "kurtosis").alias("classic"))
-    df = evaluate.stratified(base.join(topo, "user_id").withColumn("both", F.concat("classic", "topo")), "y", "user_id", 3, 0.7)
+    df = stored(evaluate.stratified(base.join(topo, "user_id").withColumn("both", F.concat("classic", "topo")), "y", "user_id", 3, 0.7), "vectors")  # read by every fit
     rows = None
     for name in ("topo", "classic", "both"):
         ready = learn.prepared(df, name, "y").select("user_id", "vector", "label", "fold")
