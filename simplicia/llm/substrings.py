@@ -3,8 +3,8 @@
 The first level takes windows of half the length asked for. Of these only seeds are looked at: each full window is
 represented by the half window in it with the least hash (the leftmost of equals), so equal full windows have equal seeds
 at equal places and no repeat is lost, while a quarter of the places is enough. A seed that stands in one document
-only ends there; only the full windows around the others are formed and go to the second level. `longest_repeats` doubles
-on from there until nothing survives.
+only ends there; only the full windows around the others are formed and go to the second level, at which
+the windows asked for are reached. `longest_repeats` doubles on from there until no candidates survive.
 
 Every level is the same step (`_repeated`): minima and maxima of doc_id for each hash, combined before the shuffle, so a
 passage that a third of the documents share is no large group; then a join back, whose hot keys Spark splits, as the
@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -147,8 +148,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def repeated_windows(rows: DataFrame, length: int = WINDOW) -> DataFrame:
-    """doc_id, row and places: the windows of `length` words that start in an earlier document too. rows: of `keyed`."""
+def _doubled(rows: DataFrame, length: int) -> DataFrame:
+    """doc_id, row, pos, h1, h2: the windows of `length` words whose seed stands in more than one document; a stored table."""
     spark, named = rows.sparkSession, rows.filter(F.col("doc_id").isNotNull())
     kind = "doc_id long, row long, pos int, "
     first = stored(named.mapInArrow(_seed_rows(length), kind + "h1 long"), "substring-seeds")
@@ -159,7 +160,35 @@ def repeated_windows(rows: DataFrame, length: int = WINDOW) -> DataFrame:
         "substring-windows",
     )
     release(spark, candidates)
-    return _repeated(second, ["h1", "h2"], later=True, name="substring-repeats")
+    return second
+
+
+def repeated_windows(rows: DataFrame, length: int = WINDOW) -> DataFrame:
+    """doc_id, row and places: the windows of `length` words that start in an earlier document too. rows: of `keyed`."""
+    return _repeated(_doubled(rows, length), ["h1", "h2"], later=True, name="substring-repeats")
+
+
+def longest_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
+    """doc_id and longest of every row of docs: the greatest of length, 2 * length, 4 * length and so on at which one of its
+    windows starts in an earlier document too; 0 if none does. Windows that repeat at one length alone are extended, each by
+    the one that begins where it ends, until no candidates survive."""
+    spark, rows, keys = docs.sparkSession, keyed(docs), ["h1", "h2"]
+    level, size, found = _doubled(rows, length), length, []
+    while True:
+        documents = stored(level.groupBy(*keys).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last").drop("_last"), "substring-keys")
+        met = stored(level.join(documents.hint("shuffle_hash"), keys), "substring-survivors")
+        release(spark, level, documents)
+        if met.isEmpty():
+            break
+        found.append(stored(met.filter(F.col("doc_id") > F.col("_first")).select("doc_id", "row").distinct().withColumn("longest", F.lit(size)), "substring-longest"))
+        behind = met.select("doc_id", "row", (F.col("pos") - size).alias("pos"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+        longer = met.join(behind, ["doc_id", "row", "pos"]).select("doc_id", "row", "pos", F.xxhash64(*keys, "g1", "g2").alias("h1"), F.hash(*keys, "g1", "g2").alias("h2"))
+        level, size = stored(longer, "substring-windows"), 2 * size
+    own = rows.select("doc_id", "row")
+    if not found:
+        return own.select("doc_id", F.lit(0).alias("longest"))
+    best = reduce(DataFrame.unionByName, found).repartition("doc_id", "row").groupBy("doc_id", "row").agg(F.max("longest").alias("longest"))
+    return own.join(best, ["doc_id", "row"], "left").select("doc_id", F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
 def _cut(length: int):

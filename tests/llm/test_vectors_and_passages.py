@@ -208,3 +208,24 @@ def test_long_text_and_empty_table(spark):
     assert [(r[1], r[2]) for r in got] == [(12, 0), (400_000, 0), (100, 100)]
     assert cut(spark, [(None, "a " * 20)]) == plain_cut([(None, "a " * 20)], 13)
     assert substrings.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_doubling_goes_on_until_nothing_survives(spark):
+    """Longest level of every document against all windows of each level."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(130)]
+    texts = [passage[a : a + n] + [f"x{k}y{i}" for i in range(9)] for k, (a, n) in enumerate([(0, 130), (3, 55), (0, 13), (60, 30), (5, 110), (0, 12), (20, 4)])]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(20, " ".join(texts[0])), (20, " ".join(rng.permutation(passage))), (None, " ".join(texts[0])), (30, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["longest"]) for r in substrings.longest_repeats(df, 7).collect())
+    want = []
+    for i, t in rows:
+        best, size, w = 0, 7, (t or "").split()
+        while i is not None and size <= len(w):
+            own = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+            if any(j is not None and j < i and own & {tuple(u.split()[k : k + size]) for k in range(len(u.split()) - size + 1)} for j, u in rows if u):
+                best = size
+            size *= 2
+        want.append((-1 if i is None else i, best))
+    assert got == sorted(want) and max(b for _, b in want) == 112
+    assert {r["longest"] for r in substrings.longest_repeats(df.limit(1), 7).collect()} == {0}
