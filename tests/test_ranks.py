@@ -91,3 +91,13 @@ def test_expanding_correlation(spark, purge):
             past = [(x, y) for g, m, x, y in rows if g == f and m < at - purge]
             want = plain_ic(*zip(*past, strict=True)) if past else None
             assert got.get((f, at)) == (pytest.approx(want) if want is not None else None)
+
+
+def test_expanding_ranks_of_more_rows_than_the_cube_root_of_a_long(spark):
+    rows = spark.range(2_200_000).selectExpr("'f' AS feature", "cast(id % 2 AS int) AS number", "cast(id % 3 AS double) AS x", "cast(id % 3 + id % 2 AS double) AS y")
+    got = {r["number"]: r for r in ranks.expanding_spearman(rows, 2).collect()}
+    # the 2 x 3 cells of (parity, x) hold equal numbers of rows; y is x or x + 1, whose ranks go by 1/6, 2/6, 2/6 and 1/6
+    x, y = np.array([0, 1, 2, 0, 1, 2]), np.array([0, 1, 2, 1, 2, 3])
+    rank = lambda v: np.array([(v < k).sum() + ((v == k).sum() + 1) / 2 for k in v])
+    assert got[2]["n"] == 2_200_000 and abs(got[2]["ic"] - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-5
+    assert got[1]["ic"] == pytest.approx(1)
