@@ -102,7 +102,7 @@ def false_neighbours(cloud: DataFrame, key: str, coordinates: list[str], extra:
     dimension adds. cloud: key, i, the coordinates and that one."""
     near = nearest(cloud, key, "i", coordinates, 1)
     a, b = cloud.select(key, "i", F.col(extra).alias("ea")), cloud.select(key, F.col("i").alias("j"), F.col(extra).alias("eb"))
-    joined = near.join(a, [key, "i"]).join(b, [key, "j"])
+    joined = near.join(a.hint("merge"), [key, "i"]).join(b.hint("merge"), [key, "j"])  # a stored cloud is small as a file only
     ratio = F.sqrt(F.col("d") * F.col("d") + F.pow(F.col("ea") - F.col("eb"), 2)) / (F.col("d") + 1e-12)
     got = joined.groupBy(key).agg(F.avg((ratio > tolerance).cast("int")).alias("fnn"), F.count("*").alias("n"))
     return got.select(key, F.when(F.col("n") >= least, F.col("fnn")).alias("fnn"))
@@ -114,13 +114,14 @@ def neighbour_r2(cloud: DataFrame, coordinates: list[str], targets: DataFrame, k
     targets: key, i, target. Points without a target don't count as neighbours."""
     w = Window.partitionBy(key, "i").orderBy("r")
     targets = stored(targets, "targets")
-    t = targets.select(key, F.col("i").alias("j"), F.col("target").alias("tj"))
-    near = nearest(cloud.join(targets.select(key, "i"), [key, "i"]), key, "i", coordinates, k + exclude + 1).withColumnRenamed("rank", "r").join(t, [key, "j"])
+    t = targets.select(key, F.col("i").alias("j"), F.col("target").alias("tj")).hint("merge")  # small as a file only
+    known = stored(cloud.join(targets.select(key, "i").hint("merge"), [key, "i"]), "known")
+    near = nearest(known, key, "i", coordinates, k + exclude + 1).withColumnRenamed("rank", "r").join(t, [key, "j"])
     near = stored(near, "nearest")
     far = near.filter(F.abs(F.col("i") - F.col("j")) > exclude).withColumn("q", F.row_number().over(w)).filter(F.col("q") <= k)
     guess = far.groupBy(key, "i").agg(F.avg("tj").alias("guess"))
     first = near.filter("r = 1").select(key, "i", F.col("tj").alias("first"))
-    done = targets.join(guess, [key, "i"], "left").join(first, [key, "i"], "left").withColumn("e", F.col("target") - F.coalesce("guess", "first"))
+    done = targets.join(guess.hint("merge"), [key, "i"], "left").join(first.hint("merge"), [key, "i"], "left").withColumn("e", F.col("target") - F.coalesce("guess", "first"))
     got = done.groupBy(key).agg(F.avg(F.col("e") * F.col("e")).alias("res"), F.var_pop("target").alias("var"), F.count("*").alias("n"))
     return got.select(key, F.when((F.col("n") >= least) & (F.col("var") > 1e-12), 1 - F.col("res") / F.col("var")).alias("r2"))
 

@@ -65,3 +65,27 @@ def test_cells_of_one_cloud_are_many_keys(spark):
     near = neighbours.nearest(df, "k", "i", ["x0", "x1", "x2"], 4)
     assert near.count() == 12_000 and near.groupBy("i").count().filter("count <> 4").isEmpty()
     assert near.filter(F.col("rank") == 1).agg(F.max("d")).collect()[0][0] < 0.3
+
+
+@pytest.mark.parametrize("most", [0, 50])
+def test_kernel_and_grid_agree(spark, monkeypatch, most):
+    """All clouds through the grid, and those of up to 50 points through the kernel, against all through the kernel."""
+    c, df = ["x0", "x1", "x2"], frame(spark, 3)
+    near = lambda: sorted((r["k"], r["i"], r["rank"], r["j"], round(r["d"], 9)) for r in neighbours.nearest(df, "k", "i", c, 4).collect())
+    tree = lambda: sorted((r["k"], round(r["d"], 9)) for r in neighbours.spanning_edges(df, "k", "i", c).collect())
+    want = near(), tree()
+    monkeypatch.setattr(neighbours, "SMALL", most)
+    assert (near(), tree()) == want
+
+
+def test_no_broadcast_of_what_grows(spark):
+    """Small clouds are neither joined nor broadcast; the grid's joins sort."""
+    c, df = ["x0", "x1", "x2"], frame(spark, 3)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(neighbours.nearest(df, "k", "i", c, 4)) and "Join" not in plan(neighbours.spanning_edges(df, "k", "i", c))
+    assert "BroadcastHashJoin" not in plan(neighbours.nearest_by_cells(df, "k", "i", c, 4))
+
+
+def test_points_without_a_coordinate_are_left_out(spark):
+    df = spark.createDataFrame([(1, 5, 0.0), (1, 6, None), (1, 7, 2.0), (None, 8, 1.0)], "k int, i int, x0 double")
+    assert [tuple(r) for r in neighbours.nearest(df, "k", "i", ["x0"], 2).orderBy("i").collect()] == [(1, 5, 7, 2.0, 1), (1, 7, 5, 2.0, 1)]
