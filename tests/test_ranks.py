@@ -101,3 +101,17 @@ def test_expanding_ranks_of_more_rows_than_the_cube_root_of_a_long(spark):
     rank = lambda v: np.array([(v < k).sum() + ((v == k).sum() + 1) / 2 for k in v])
     assert got[2]["n"] == 2_200_000 and abs(got[2]["ic"] - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-5
     assert got[1]["ic"] == pytest.approx(1)
+
+
+def test_quantiles_of_many_small_keys_take_no_pass(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("if(id % 50 = 0, null, id % 50) AS k", "if(id % 7 = 0, null, cast(id * 37 % 101 AS double)) AS v")
+    got = ranks.quantiles(df, ["k"], "v", [0.0, 0.37, 0.9])
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    found = lambda d: {(r["k"], r["q"]): r["v"] for r in d.collect()}
+    want = {}
+    for k, v in df.filter("v IS NOT NULL").toPandas().assign(k=lambda f: f["k"].fillna(-1)).groupby("k")["v"]:
+        want |= {(None if k < 0 else int(k), q): np.quantile(v, q) for q in (0.0, 0.37, 0.9)}
+    assert found(got) == pytest.approx(want)
+    for few in (0, 55):  # by bins: all keys, and no key less than the largest
+        monkeypatch.setattr(ranks, "FEW", few)
+        assert found(ranks.quantiles(df, ["k"], "v", [0.0, 0.37, 0.9])) == pytest.approx(want)
