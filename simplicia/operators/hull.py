@@ -6,6 +6,8 @@ them, again and again while that helps, before one task sees what is left of a c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from simplicia.sources.store import stored
 BLOCK = 512
 #: Distances below this share of a cloud's extent are none.
 FLAT = 1e-9
+#: In two dimensions a cross product below this share of the squared extent is no turn; rounding makes less than a hundredth of it.
+TURN = 1e-13
 
 
 def hull_faces(p):
@@ -79,17 +83,45 @@ def hull_faces(p):
     return faces, np.array(kept, np.int64)
 
 
+def hull_ring(p):
+    """Numbers of the corners of a hull in two dimensions, around it; nothing for points on a line. Turns are told by cross products
+    of the coordinates as they are, down to TURN of the squared extent, so a corner that lies a hair off a long edge stays."""
+    import numpy as np
+
+    order = np.lexsort((p[:, 1], p[:, 0]))
+    x, y = p[:, 0].tolist(), p[:, 1].tolist()
+    flat = TURN * float((p.max(axis=0) - p.min(axis=0)).max()) ** 2 if len(p) else 0.0
+
+    def half(points):
+        out = []
+        for c in points:
+            while len(out) > 1:
+                a, b = out[-2], out[-1]
+                if (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a]) > flat:
+                    break
+                out.pop()
+            out.append(c)
+        return out[:-1]
+
+    ring = half(order.tolist()) + half(order[::-1].tolist())
+    return np.array(ring if len(ring) > 2 else [], np.int64)
+
+
 def hull_measures(p):
     """volume, area (in two dimensions: area and perimeter) and number of corners; zeros for flat clouds."""
     import numpy as np
 
+    if p.shape[1] == 2:
+        ring = p[hull_ring(p)]
+        if not len(ring):
+            return 0.0, 0.0, 0
+        q = ring - ring[0]
+        step = np.roll(q, -1, axis=0)
+        return abs(math.fsum(q[:, 0] * step[:, 1] - q[:, 1] * step[:, 0])) / 2, math.fsum(np.sqrt(((step - q) ** 2).sum(axis=1))), len(ring)
     faces, corners = hull_faces(p)
     if not len(faces):
         return 0.0, 0.0, 0
     q = p[faces] - p[corners[0]]
-    if p.shape[1] == 2:
-        parts, size = q[:, 0, 0] * q[:, 1, 1] - q[:, 0, 1] * q[:, 1, 0], np.linalg.norm(q[:, 1] - q[:, 0], axis=1)
-        return float(np.abs(parts).sum() / 2), float(size.sum()), len(corners)
     side = np.cross(q[:, 1] - q[:, 0], q[:, 2] - q[:, 0])
     return float(np.abs(np.einsum("ij,ij->i", q[:, 0], side)).sum() / 6), float(np.linalg.norm(side, axis=1).sum() / 2), len(corners)
 
@@ -101,7 +133,8 @@ def hull_features(cloud: DataFrame, key: str, coordinates: list[str]) -> DataFra
     points = f"{key} {kind}, " + ", ".join(f"{c} double" for c in coordinates)
 
     def corners(f):
-        _, kept = hull_faces(f[coordinates].to_numpy(float))
+        p = f[coordinates].to_numpy(float)
+        kept = hull_ring(p) if p.shape[1] == 2 else hull_faces(p)[1]
         return (f.iloc[kept] if len(kept) else f)[[key, *coordinates]]  # a flat block keeps all its points
 
     def measures(f):

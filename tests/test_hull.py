@@ -81,3 +81,16 @@ def test_blocks_are_merged(spark, monkeypatch):
             assert got[k]["ratio"] == pytest.approx(a / (v + 1e-12) if v else 0.0)
     empty = spark.createDataFrame([], "k string, x0 double, x1 double")
     assert hull.hull_features(empty, "k", ["x0", "x1"]).count() == 0
+
+
+def test_corner_a_hair_off_a_long_edge():
+    """Hundredths as in the tables: (0, 0), b and c make the least possible turn."""
+    b = (50_000, 20_001)
+    x = pow(b[1], -1, b[0])
+    c = (b[0] - x, (1 - b[1] * x) // b[0] + b[1])  # b x c is 1
+    ring = [(0, 0), (30_000, -20_000), b, c]
+    assert b[0] * c[1] - b[1] * c[0] == 1
+    twice = sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))
+    for order in itertools.permutations(ring):
+        volume, _, corners = hull.hull_measures(np.array(order) / 100)
+        assert corners == 4 and abs(volume - twice / 20_000) < 1e-8
