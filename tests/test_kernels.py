@@ -113,3 +113,17 @@ def test_distances_of_components_by_sorting():
     start = time.perf_counter()
     assert k.wasserstein(many(), many()) > 0 and k.bottleneck(many(), many()) > 0
     assert time.perf_counter() - start < 5  # minutes by assignment
+
+
+def test_apparent_pairs_are_told_in_one_go(monkeypatch):
+    """Facets are looked at one by one for the few columns that are reduced, not for every simplex; with ties as without."""
+    rng, plain, calls = np.random.default_rng(4), K._latest_facet, []
+    monkeypatch.setattr(K, "_latest_facet", lambda d, s: calls.append(s) or plain(d, s))
+    K.rips(K.distances(rng.random((40, 3))), 2)
+    assert len(calls) < 1000  # of more than 5,000 triangles
+    for points in (rng.random((12, 3)), rng.integers(0, 3, (12, 3)).astype(float)):
+        d = K.distances(points)
+        for size in (3, 4):
+            simplices = np.array([rng.permutation(c) for c in combinations(range(12), size)])
+            removed = K._removed_from_latest(d, simplices)
+            assert all(set(plain(d, tuple(s))[1]) == set(s) - {r} for s, r in zip(simplices.tolist(), removed.tolist(), strict=True))
