@@ -235,24 +235,20 @@ CHANNELS = ("x", "y")
 
 def window_vectors(spark, sf_dir):
     """The whole vector of every sliding window and channel: moments, criteria of the H0 diagram of the window's delay
-    embedding, and the classical vector. Distances are computed once for each series and channel and shared by the windows
-    that hold them. A channel without spread in a window is invalid and has nulls."""
+    embedding, and the classical vector. A window's distances are made where its diagram is, from its own values. A channel without spread in a window is invalid and has nulls."""
     e = events(spark, sf_dir).withColumn("y", F.hour("ts").cast("double"))
     both = embedding.indexed(e, "user_id", ORDER, *CHANNELS)
     cells = F.explode(F.array(*(F.struct(F.lit(k).alias("channel"), F.col(c).alias("v")) for k, c in enumerate(CHANNELS)))).alias("c")
     # a series for each user and channel
     s = stored(both.select("user_id", "i", cells).select((F.col("user_id") * 2 + F.col("c.channel")).alias("series"), "i", F.col("c.v").alias("x")), "channels")
-    sizes = s.groupBy("series").agg(F.count("*").alias("n"))
     name = (F.col("series") * 100_000 + F.col("start")).alias("w")
     rows = panel.window_rows(s, "series", ["x"], WIN, STRIDE).select(name, "series", "start", F.col("at").cast("int").alias("i"), "x")
     spread = rows.groupBy("w", "series", "start").agg(F.stddev_pop("x").alias("_sd"))
     windows = stored(spread, "windows")
     rows = stored(rows.drop("series", "start").join(windows.filter("_sd > 1e-9").select("w"), "w"), "window-rows")
-    edges = homology.near_in_time(embedding.takens(s, "series", "x", series.M, series.TAU), "series", series.POINT, WIN - (series.M - 1) * series.TAU)
-    inside = panel.window_edges(edges, sizes, "series", (series.M - 1) * series.TAU + 1, WIN, STRIDE).select(name, "i", "j", "d").join(windows.filter("_sd > 1e-9").select("w"), "w")
-    got = homology.persistence(homology.as_matrices(inside, "w"), 0, precomputed=True, keep=("w",))
-    criteria = diagrams.summary(homology.diagram(got, "w", dim=0), "w")
     a = stored(embedding.as_arrays(rows, "w", ["i"], "x"), "window-arrays")
+    got = homology.persistence(a.select("w", embedding.takens_points(F.col("x"), series.M, series.TAU).alias("points")), 0, keep=("w",))
+    criteria = diagrams.summary(homology.diagram(got, "w", dim=0), "w")
     parts = [
         classic.moments(rows, "w", "x"), classic.difference_moments(rows, "w", "x"), embedding.tau_autocorrelation(a).select("w", "tau_ac"),
         classic.spectrum_features(classic.periodogram(a), "w").select("w", "peak", "period"), classic.sample_entropy(a, "w"), classic.hurst(rows, "w"), criteria,
