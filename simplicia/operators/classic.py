@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from simplicia.functions import series as kernels
 from simplicia.functions.scalars import total
 from simplicia.operators.neighbours import nearest
 from simplicia.sources.store import stored
@@ -31,11 +31,7 @@ def difference_moments(series: DataFrame, key: str, value: str) -> DataFrame:
 
 def periodogram(arrays: DataFrame, x: str = "x") -> DataFrame:
     """Adds power: squared modulus of the Fourier sums at frequencies 0..n/2 of the centred series."""
-    mean = total(F.col(x)) / F.col("n")
-    df = arrays.withColumn("_c", F.transform(x, lambda v: v - mean))
-    part = lambda fn, k: F.aggregate(F.transform("_c", lambda v, t: v * fn(F.lit(2 * math.pi) * k * t / F.col("n"))), F.lit(0.0), lambda a, v: a + v)
-    power = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int")), lambda k: F.pow(part(F.cos, k), 2) + F.pow(part(F.sin, k), 2))
-    return df.withColumn("power", power).drop("_c")
+    return arrays.withColumn("power", kernels.each(kernels.power, lambda n: [None] * (n // 2 + 1), "array<double>", pa.list_(pa.float64()))(F.col(x)))
 
 
 def spectrum_features(spectra: DataFrame, key: str) -> DataFrame:
@@ -59,27 +55,8 @@ def spectrum_features(spectra: DataFrame, key: str) -> DataFrame:
 def sample_entropy(arrays: DataFrame, key: str, x: str = "x", m: int = 2, factor: float = 0.2, min_len: int = 50) -> DataFrame:
     """-log of the share of matching templates of m + 1 among those of m, self-matches left out; 0 for short or
     constant series and where a share is 0."""
-    mean = total(F.col(x)) / F.col("n")
-    df = arrays.withColumn("_r", factor * F.sqrt(total(F.transform(x, lambda v: (v - mean) * (v - mean))) / F.col("n")))
-
-    def share(size: int) -> Column:
-        n = F.col("n") - size + 1
-        near = lambda i, j: [F.abs(F.get(x, i + k) - F.get(x, j + k)) <= F.col("_r") for k in range(size)]
-
-        def both(i, j):
-            found = near(i, j)
-            out = found[0]
-            for f in found[1:]:
-                out = out & f
-            return out
-
-        steps = F.sequence(F.lit(0), n - 1)
-        hits = F.aggregate(steps, F.lit(0).cast("long"), lambda a, i: a + F.size(F.filter(steps, lambda j: (i != j) & both(i, j))))
-        return hits / (n * (n - 1))
-
-    df = df.withColumn("_ok", (F.col("n") >= min_len) & (F.col("_r") > 0))
-    df = df.withColumns({"_a": F.when(F.col("_ok"), share(m + 1)), "_b": F.when(F.col("_ok"), share(m))})
-    return df.select(key, F.when(F.col("_ok") & (F.col("_a") > 0) & (F.col("_b") > 0), -F.ln(F.col("_a") / F.col("_b"))).otherwise(0.0).alias("sample_entropy"))
+    found = kernels.each(lambda v: kernels.entropy(v, m, factor, min_len), lambda n: 0.0, "double", pa.float64())
+    return arrays.select(key, found(F.col(x)).alias("sample_entropy"))
 
 
 def hurst(series: DataFrame, key: str, value: str = "x", sizes: tuple[int, ...] = (8, 16, 32, 64, 128)) -> DataFrame:
