@@ -74,17 +74,18 @@ def against_rest(df: DataFrame, classifier, classes: list[float], fold: str, fol
     rest and each fold, its probabilities scaled to a sum of 1. keep, fold, label, probability (a vector in the order of
     classes) and prediction, ties to the earlier class. df: vector, label and fold; keep names a row."""
     df = stored(df.select(*keep, fold, "label", "vector"), "against-rest")
-    parts = []
+    out = None
     for k in range(folds):
-        train, test = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k)
+        train, own = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k).withColumnRenamed("label", "_label")
         for n, c in enumerate(classes):
             model = classifier.fit(train.withColumn("label", (F.col("label") == c).cast("double")))
-            own = model.transform(test.withColumnRenamed("label", "_label"))
-            parts.append(own.select(*keep, fold, F.col("_label").alias("label"), F.lit(n).alias("n"), vector_to_array("probability")[1].alias("p")))
-    rows = stacked(parts, *keep).groupBy(*keep, fold, "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "p"))), lambda x: x["p"]).alias("p"))
+            # the models of a fold see its rows one after the other, so no row is shuffled for them
+            own = model.transform(own).withColumn(f"_p{n}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        rows = own.select(*keep, fold, F.col("_label").alias("label"), F.array(*(f"_p{n}" for n in range(len(classes)))).alias("p"))
+        out = rows if out is None else out.unionByName(rows)
     total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
     share = F.transform("p", lambda x: F.when(total > 0, x / total).otherwise(1.0 / len(classes)))
-    scaled = rows.withColumn("p", share)
+    scaled = out.withColumn("p", share)
     best = F.get(F.array(*(F.lit(float(c)) for c in classes)), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
     return scaled.select(*keep, fold, "label", array_to_vector("p").alias("probability"), best.alias("prediction"))
 
@@ -104,9 +105,11 @@ def two_phases(df: DataFrame, layers: list[int], first: int, second: int, seed:
 
 def soft_votes(predicted: list[DataFrame], key: str) -> DataFrame:
     """key, label and the class with the highest mean probability over several models."""
-    long = stacked([p.select(key, "label", F.posexplode(vector_to_array("probability")).alias("cls", "p")) for p in predicted], key)
-    mean = long.groupBy(key, "label", "cls").agg(F.avg("p").alias("p"))
-    return mean.groupBy(key, "label").agg(F.max_by("cls", F.struct("p", -F.col("cls"))).cast("double").alias("prediction"))
+    long = stacked([p.select(key, "label", vector_to_array("probability").alias("p")) for p in predicted], key)
+    got = long.groupBy(key, "label").agg(F.collect_list("p").alias("ps"))  # a row for each model, its classes together
+    mean = F.transform(F.get("ps", F.lit(0)), lambda _, c: F.aggregate("ps", F.lit(0.0), lambda a, p: a + F.get(p, c)) / F.size("ps"))
+    best = got.select(key, "label", mean.alias("p"))
+    return best.select(key, "label", (F.array_position("p", F.array_max("p")) - 1).cast("double").alias("prediction"))
 
 
 def scaled_population(df: DataFrame, columns: list[str]) -> DataFrame:
