@@ -26,12 +26,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.llm.common import bounded_batches, chunked, raw_texts, sliced, spans, table
+from simplicia.llm.common import RUN_BYTES, bounded_batches, chunked, raw_texts, sliced, spans, table
 
 #: Slots (a power of two) of a worker's cache of pairs of tokens; it bounds memory only.
 PAIR_SLOTS = 1 << 18
 #: Bytes of a piece beyond which it isn't advanced beside the others but alone, on plain dictionaries.
 LONG = 512
+#: ids that are spelled at once, unless one text has more; it bounds memory only.
+RUN_IDS = 1 << 17
 #: Fixed values of byte-level BPE: the classes of characters that it cuts by, and what may follow an apostrophe. A
 #: piece is a contraction, or a run of one class with one space before it; of a run of white space before something
 #: else the last character is left to the next piece.
@@ -401,6 +403,15 @@ class PrefixCoder:
         found = np.flatnonzero(start[:n])
         return found if at is None else at[found]
 
+    def cut_runs(self, parts: list[bytes], sizes):
+        """cut of any number of texts, a run of them at a time: no piece goes beyond its text, and what cut holds is many
+        times its bytes."""
+        found, done = [np.zeros(0, np.int64)], 0
+        for i, j in chunked(parts, RUN_BYTES):
+            found.append(self.cut(b"".join(parts[i:j]), sizes[i:j]) + done)
+            done += int(sizes[i:j].sum())
+        return np.concatenate(found)
+
     def encode_texts(self, texts: list[bytes]):
         """ids of all texts, one after the other, and where each begins (one more for the end)."""
         import pyarrow as pa
@@ -410,7 +421,7 @@ class PrefixCoder:
             parts, owner, special = self._around_added(texts)
         joined = b"".join(parts)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        begin = self.cut(joined, sizes)
+        begin = self.cut_runs(parts, sizes)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(joined)).astype(np.int64)), pa.py_buffer(joined)])
         coded = pieces.dictionary_encode()
         codes = coded.indices.to_numpy()
@@ -446,11 +457,16 @@ class PrefixCoder:
         return self.encode_texts([text.encode()])[0].tolist()
 
     def decode_texts(self, ids, borders) -> list[bytes]:
-        """The texts in UTF-8; what isn't valid becomes U+FFFD."""
-        sizes = np.diff(self.spelled_at)[ids]
-        raw = spans(self.spelled, self.spelled_at[ids], sizes).tobytes()
-        ends = np.append(0, np.cumsum(sizes))[borders].tolist()
-        found = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        """The texts in UTF-8; what isn't valid becomes U+FFFD. Runs of texts of up to RUN_IDS ids are spelled at once."""
+        size_of, found, i = np.diff(self.spelled_at), [], 0
+        while i < len(borders) - 1:
+            j = max(i + 1, int(np.searchsorted(borders, borders[i] + RUN_IDS, side="right")) - 1)
+            run = ids[borders[i] : borders[j]]
+            sizes = size_of[run]
+            raw = spans(self.spelled, self.spelled_at[run], sizes).tobytes()
+            ends = np.append(0, np.cumsum(sizes))[borders[i : j + 1] - borders[i]].tolist()
+            found += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            i = j
         return [x if x.isascii() else x.decode("utf-8", "replace").encode() for x in found]
 
 
