@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ FREQUENT, CLASSES, BINS, ROWS, UPDATE, RATE, EPOCHS = 1 << 17, 32, 16, 1 << 15,
 #: CLASSES and ROWS are for up to so many distinct words; beyond it rows grow with their root and classes with the
 #: root of the root of the root, so that a task's changes to them stay below the text that it reads.
 DISTINCT = 1 << 22
+#: Gradients of a row that are added together with those of all others.
+TOGETHER = 24
 #: The end token, which no word equals.
 END = b"\n"
 #: Distinct words a task gathers before it sends them on.
@@ -48,7 +51,7 @@ def tokens_of(raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     words = np.ones(len(flat), bool)
     words[np.cumsum(lengths) - 1] = False
     flat[words] = codes
-    return [*distinct.to_pylist(), END], flat, lengths
+    return [*distinct.to_numpy(zero_copy_only=False).tolist(), END], flat, lengths  # to_pylist makes a scalar of each first
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -144,7 +147,7 @@ def contexts(raws: list[bytes], lex: Lexicon) -> tuple[list[bytes], np.ndarray,
     histories through a checksum."""
     distinct, flat, lengths = tokens_of(raws)
     n_frequent = len(lex.number)
-    known = np.fromiter((lex.number.get(w, -1) for w in distinct), np.int64, len(distinct))
+    known = np.fromiter(map(lex.number.get, distinct, repeat(-1)), np.int64, len(distinct))
     seen = known.copy()
     seen[known < 0] = [n_frequent + 1 + (zlib.crc32(distinct[i]) & 0xFFFF) for i in np.flatnonzero(known < 0).tolist()]
     known[known < 0] = n_frequent
@@ -171,7 +174,7 @@ def logits(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
     for r in rows[1:]:
         z += np.take(w, r, axis=0, mode="clip", out=more)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]  # numpy is slow at the greatest of short rows
     return z
 
 
@@ -179,7 +182,34 @@ def log_probability(w: np.ndarray, rows: np.ndarray, bias: np.ndarray, target: n
     """Natural log of the softmax at the target of each token."""
     z = logits(w, rows, bias)
     at = z[np.arange(len(z)), target]
-    return at - np.log(np.exp(z, out=z).sum(axis=1))
+    return at - np.log(row_sums(np.exp(z, out=z)))
+
+
+def row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def sums_by_row(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, the sum of g's lines for each, and how many lines those are. Most rows have a line or two, for
+    which np.add.reduceat is slow: the first TOGETHER lines of all rows are added rank by rank, and only the rest of a
+    frequent row by itself."""
+    order = np.argsort(rows, kind="stable")
+    found = rows[order]
+    first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    sizes = np.diff(np.append(first, len(rows)))
+    by_size = np.argsort(np.maximum(TOGETHER + 1 - sizes, 0).astype(np.uint8), kind="stable")
+    first, sizes = first[by_size], sizes[by_size]
+    longer = np.cumsum(np.bincount(np.minimum(sizes, TOGETHER + 1), minlength=TOGETHER + 2)[::-1])[::-1]  # by size: rows of that many lines or more
+    total = np.take(g, order[first], axis=0)
+    for k in range(1, TOGETHER):
+        n = longer[k + 1]
+        if not n:
+            break
+        total[:n] += np.take(g, order[first[:n] + k], axis=0)
+    for i in range(longer[TOGETHER + 1]):
+        rest = np.take(g, order[first[i] + TOGETHER : first[i] + sizes[i]], axis=0)
+        total[i] += np.ones(len(rest), g.dtype) @ rest
+    return found[first], total, sizes
 
 
 class Trainer:
@@ -194,19 +224,16 @@ class Trainer:
             return
         g = logits(self.w, rows, bias)
         np.exp(g, out=g)
-        g *= -1 / g.sum(axis=1, keepdims=True)
+        g *= (-1 / row_sums(g))[:, None]
         g[np.arange(len(target)), target] += 1
-        sorted_ = np.empty_like(g)
+        whole = self.w.view(f"V{self.w[0].nbytes}").ravel()  # a row as one value, which is written faster
         for r in rows:
-            order = np.argsort(r, kind="stable")
-            found = r[order]
-            first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-            at = found[first]
-            total = np.add.reduceat(np.take(g, order, axis=0, mode="clip", out=sorted_), first, axis=0)
+            at, total, n = sums_by_row(g, r)
             self.squares[at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
             total *= (RATE / np.sqrt(self.squares[at]))[:, None]
-            self.w[at] += total
-            self.used[at] += np.diff(np.append(first, len(r)))
+            total += np.take(self.w, at, axis=0)
+            whole[at] = total.view(whole.dtype).ravel()
+            self.used[at] += n
 
     def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows used, how often, and their changes times that."""
