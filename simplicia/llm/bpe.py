@@ -17,7 +17,6 @@ whole however long it is.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 from dataclasses import dataclass, field
@@ -26,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.llm.common import RUN_BYTES, bounded_batches, chunked, raw_texts, sliced, spans, table
+from simplicia.llm.common import RUN_BYTES, bounded_batches, chunked, give_back, raw_texts, sliced, spans, table
 
 #: Slots (a power of two) of a worker's cache of pairs of tokens; it bounds memory only.
 PAIR_SLOTS = 1 << 18
@@ -470,15 +469,21 @@ class PrefixCoder:
         return [x if x.isascii() else x.decode("utf-8", "replace").encode() for x in found]
 
 
-@functools.lru_cache(maxsize=2)
 def _coder(vocabulary: str) -> PrefixCoder:
     return PrefixCoder.of(open(vocabulary, encoding="utf-8").read())
 
 
+def _broadcast(spark: SparkSession, vocabulary: str):
+    """The coder for the tasks. The driver keeps neither it nor what its making took."""
+    shared = spark.sparkContext.broadcast(_coder(vocabulary))
+    give_back()
+    return shared
+
+
 def _coded(docs: DataFrame, vocabulary: str, text: str, keep: list[str], schema, columns) -> DataFrame:
     """keep of docs, and columns(raw texts, ids, borders, coder) as Arrow arrays behind them."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(_coder(vocabulary))
+    shared = _broadcast(docs.sparkSession, vocabulary)
 
     def run(batches):
         import pyarrow as pa

@@ -1,13 +1,15 @@
 """Memory of the Python kernels that the pipeline's executors hold: what is traced at the peak, as a multiple of the text."""
 
+import gc
 import random
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from simplicia.llm import bpe, jaccard
+from simplicia.llm import bpe, common, jaccard
 from simplicia.llm.common import spans
 
 
@@ -75,3 +77,24 @@ def test_spans_in_runs(sizes):
     begin = np.arange(len(sizes), dtype=np.int64) % 7
     want = [values[b : b + n] for b, n in zip(begin, sizes, strict=True)]
     assert np.array_equal(spans(values, begin, sizes), np.concatenate([np.zeros(0, np.int64), *want]))
+
+
+def test_driver_keeps_no_coder(spark):
+    """The broadcast is all that is left of it; the coder and what its making took stayed with the driver before."""
+    out = bpe.encoded(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), bpe.default_vocabulary(), ["doc_id"])
+    gc.collect()
+    assert not any(isinstance(x, bpe.PrefixCoder) for x in gc.get_objects())
+    assert out.collect()[0].round_trip
+
+
+@pytest.mark.parametrize("grown, runs", [(300, 0), (600, 1)])
+def test_storing_collects_a_grown_heap_of_the_driver(spark, monkeypatch, grown, runs):
+    """Once for tables stored shortly after each other, and not while the heap is far from its bound."""
+    done = []
+    heap = SimpleNamespace(totalMemory=lambda: grown, maxMemory=lambda: 1000)
+    jvm = SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap))), System=SimpleNamespace(gc=lambda: done.append(1)))
+    monkeypatch.setattr(common, "_TIDIED", [float("-inf")])
+    monkeypatch.setattr(spark.sparkContext, "_jvm", jvm)
+    for _ in range(3):
+        common.tidied(spark)
+    assert len(done) == runs
