@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simplicia.functions.scalars import linspace, soft_mask, total
+from simplicia.operators.homology import certain
 from simplicia.operators.ranks import column_quantiles
 
 
@@ -166,7 +167,7 @@ def distance_pairs(pairs: DataFrame, keys: list[str], a: str = "bars_a", b: str
 
 
 def images(persisted: DataFrame, key: str, dim: int, birth_range: tuple[float, float], pers_range: tuple[float, float], resolution: int = 20, sigma: float | None = None) -> DataFrame:
-    """key and image, the flattened persistence image of one dimension."""
+    """key and image, the flattened persistence image of one dimension. A cloud without diagram raises (`homology.certain`)."""
     kind = dict(persisted.dtypes)[key]
 
     def run(frames):
@@ -178,7 +179,7 @@ def images(persisted: DataFrame, key: str, dim: int, birth_range: tuple[float, f
             of = lambda bars: np.array([(x["birth"], x["death"]) for x in bars if x["dim"] == dim]).reshape(-1, 2)
             yield f[[key]].assign(image=[persistence_image(of(b), birth_range, pers_range, resolution, sigma).ravel().tolist() for b in f["bars"]])
 
-    return persisted.select(key, "bars").mapInPandas(run, f"{key} {kind}, image array<double>")
+    return certain(persisted, key).mapInPandas(run, f"{key} {kind}, image array<double>")
 
 
 def vector_sum(v: Column) -> Column:
