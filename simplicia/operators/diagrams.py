@@ -17,10 +17,9 @@ def with_persistence(dgm: DataFrame) -> DataFrame:
 
 def top_k(dgm: DataFrame, key: str, k: int) -> DataFrame:
     """key, rank 1..k and persistence, longest first, zero padded."""
-    w = Window.partitionBy(key).orderBy(F.desc("p"))
-    best = with_persistence(dgm).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    grid = dgm.select(key).distinct().select(key, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
-    return grid.join(best.select(key, "rank", "p"), [key, "rank"], "left").select(key, "rank", F.coalesce("p", F.lit(0.0)).alias("persistence"))
+    best = with_persistence(dgm).groupBy(key).agg(F.sort_array(F.collect_list("p"), asc=False).alias("p"))
+    padded = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda r: F.struct(r.alias("rank"), F.coalesce(F.get("p", r - 1), F.lit(0.0)).alias("persistence")))
+    return best.select(key, F.explode(padded).alias("b")).select(key, "b.*")
 
 
 def summary(dgm: DataFrame, key: str) -> DataFrame:
