@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler
@@ -74,11 +76,21 @@ def against_rest(df: DataFrame, classifier, classes: list[float], fold: str, fol
     rest and each fold, its probabilities scaled to a sum of 1. keep, fold, label, probability (a vector in the order of
     classes) and prediction, ties to the earlier class. df: vector, label and fold; keep names a row."""
     df = stored(df.select(*keep, fold, "label", "vector"), "against-rest")
+    fits = [(k, c) for k in range(folds) for c in classes]
+    spark = df.sparkSession
+
+    def fitted(at):
+        k, c = at
+        return classifier.fit(df.filter(F.col(fold) != k).withColumn("label", (F.col("label") == c).cast("double")))
+
+    # a round is some small jobs, so models are fitted side by side
+    with ThreadPoolExecutor(len(fits)) as pool:
+        models = dict(zip(fits, pool.map(inheritable_thread_target(spark)(fitted), fits), strict=True))
     out = None
     for k in range(folds):
-        train, own = df.filter(F.col(fold) != k), df.filter(F.col(fold) == k).withColumnRenamed("label", "_label")
+        own = df.filter(F.col(fold) == k).withColumnRenamed("label", "_label")
         for n, c in enumerate(classes):
-            model = classifier.fit(train.withColumn("label", (F.col("label") == c).cast("double")))
+            model = models[k, c]
             # the models of a fold see its rows one after the other, so no row is shuffled for them
             own = model.transform(own).withColumn(f"_p{n}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
         rows = own.select(*keep, fold, F.col("_label").alias("label"), F.array(*(f"_p{n}" for n in range(len(classes)))).alias("p"))
